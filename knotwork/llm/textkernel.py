@@ -14,6 +14,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators for letter words: every ASCII byte but letters and digits.
+ALNUM_SEP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: The same with digits as separators.
+LETTER_SEP = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,10 +52,10 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20):
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, word starts, word ends, and the offsets of each document's words."""
     low = _LOWER[data]
-    inside = ~_SEP[low]
+    inside = ~separators[low]
     n = len(low)
     if n == 0:
         none = np.zeros(0, np.int64)
