@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from knotwork.llm import jaccard_join
+from knotwork.llm import jaccard_join, langid, matroska, mixing, toxicity
 from knotwork.storage import read_table
 
 
@@ -13,13 +14,41 @@ def _small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, train_rows=_remainder(4) != 2)
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs, train_rows=_remainder(5) != 0)
+    return langid.predict(docs, model).withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False)))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     _small_batches(spark)
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rows(read_table(spark, sf_dir, "documents"))
+
+
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    return matroska.media_digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op6_ngram_jaccard": op6_ngram_jaccard}
+    return {f.__name__: f for f in (op1_toxicity, op5_language_id, op6_ngram_jaccard, op8_mix, op9_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
