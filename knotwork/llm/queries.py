@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import jaccard_join, langid, matroska, mixing, toxicity
+from knotwork.llm import jaccard_join, langid, lm, matroska, mixing, toxicity
 from knotwork.storage import read_table
 
 
@@ -47,8 +47,15 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    scored = lm.score(docs, _remainder(7) != 2)
+    return scored.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op5_language_id, op6_ngram_jaccard, op8_mix, op9_matroska)}
+    return {f.__name__: f for f in (op1_toxicity, op5_language_id, op6_ngram_jaccard, op8_mix, op9_matroska, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
