@@ -45,6 +45,9 @@ from knotwork.storage import cut, partitions
 LEAF_VOLUME, LEAF_DOCS = 150_000, 256
 BITS = 1024
 FLUSH = 1 << 20
+#: Shuffle partitions for each bucket of keys. A bucket gives one edge for each of its documents at
+#: most, so fewer and larger buckets repeat fewer edges; keys are packed, and a bucket stays tens of MB.
+KEY_PARTS = 4
 
 
 def size_classes(percent: int, top: int) -> list[int]:
@@ -415,7 +418,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = cut(set_table(rows, k=k))
     reps = table.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    coarse = connected_components(_coarse_edges(_routed(rows, k, percent, partitions(spark))))
+    coarse = connected_components(_coarse_edges(_routed(rows, k, percent, max(4, partitions(spark) // KEY_PARTS))))
     only = reps.join(coarse, reps["rep"] == coarse["node"]).select(F.col("rep").alias("doc_id"), "comp", F.col("n_shingles").alias("n"))
     several = only.groupBy("comp").agg(F.count("*").alias("many")).where("many > 1").select("comp")
     klass = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
