@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import jaccard_join, langid, lm, matroska, mixing, toxicity
+from knotwork.llm import jaccard_join, langid, lm, matroska, mixing, suffix_dedup, toxicity
 from knotwork.storage import read_table
 
 
@@ -26,6 +26,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    return suffix_dedup.repeat_table(read_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     _small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -55,7 +60,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op5_language_id, op6_ngram_jaccard, op8_mix, op9_matroska, op10_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op8_mix, op9_matroska, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
