@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is sized for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; for wide rows ``cut`` is too bulky."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
