@@ -1,4 +1,71 @@
-STAGES = []
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, mixture.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``. Between stages ``run`` writes Parquet to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from knotwork.llm import decontam, jaccard_join, mixing, suffix_dedup, toxicity
+from knotwork.llm.queries import remainder, small_batches
+from knotwork.storage import read_table, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic, scored as in op1."""
+    small_batches(spark)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), train_rows=remainder(4) != 2)
+    return toxicity.marked(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates.
+
+    Five words to a shingle and a similarity of 0.8. Rows without an id stay.
+    """
+    small_batches(spark)
+    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("other_")).distinct()
+    return docs.join(others, F.col("doc_id") == F.col("other_"), "left_anti").select(*docs.columns)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the bytes of strings of 200 bytes that occur elsewhere."""
+    small_batches(spark)
+    return suffix_dedup.remove_repeats(docs, length_col="n_chars").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    small_batches(spark)
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it, with ``copy_no`` from 1."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_array_dedup", repeated_passage_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("source_mixing", mixing_stage),
+]
+
+#: No stage but the last two comes near SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = table(docs)
+    return docs

@@ -5,41 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import jaccard_join, langid, lm, matroska, mixing, suffix_dedup, toxicity
+from knotwork.llm import decontam, jaccard_join, langid, lm, matroska, mixing, suffix_dedup, toxicity
 from knotwork.storage import read_table
 
 
-def _small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few documents, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
-def _remainder(n: int) -> Column:
+def remainder(n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    model = toxicity.fit(docs, labels, train_rows=_remainder(4) != 2)
-    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+    model = toxicity.fit(docs, labels, train_rows=remainder(4) != 2)
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontam.leak_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     return suffix_dedup.repeat_table(read_table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
-    model = langid.fit(docs, train_rows=_remainder(5) != 0)
-    return langid.predict(docs, model).withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False)))
+    model = langid.fit(docs, train_rows=remainder(5) != 0)
+    return langid.predict(docs, model).withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False)))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
@@ -48,19 +53,19 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     return matroska.media_digest(read_table(spark, sf_dir, "documents"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
-    scored = lm.score(docs, _remainder(7) != 2)
-    return scored.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+    scored = lm.score(docs, remainder(7) != 2)
+    return scored.withColumn("held_out", F.coalesce(remainder(7) == 2, F.lit(False)))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op8_mix, op9_matroska, op10_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op8_mix, op9_matroska, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:

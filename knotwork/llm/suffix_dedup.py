@@ -399,11 +399,11 @@ def repeat_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(each, "cid").drop("cid")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, length_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated strings cut out of the text.
 
     A cut may split a character of several bytes; what is left of it goes too. A text that
-    lost nothing stays as it was, null included.
+    lost nothing stays as it was, null included. ``length_col``, if there, follows the text.
     """
     each = repeats(docs, text_col, length, True).select(F.col("cid").alias("cid_"), F.col("n_removed").alias("removed_"), "kept")
 
@@ -415,4 +415,5 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200) -
     each = each.where("removed_ > 0").mapInArrow(decode, "cid_ binary, removed_ long, kept_ string")
     keyed = docs.withColumn("cid_", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     joined = keyed.join(each, "cid_", "left")
-    return joined.select(*(F.when(F.col("removed_").isNull(), F.col(c)).otherwise(F.col("kept_")).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    changed = {text_col: F.col("kept_")} | ({length_col: F.length("kept_").cast("long")} if length_col else {})
+    return joined.select(*(F.when(F.col("removed_").isNull(), F.col(c)).otherwise(changed[c]).alias(c) if c in changed else F.col(c) for c in docs.columns))

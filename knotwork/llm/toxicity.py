@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knotwork.llm.textkernel import _KEEP, ALNUM_SEP, mix, slices, utf8, word_hashes, words
 
@@ -174,22 +175,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``(doc_id, score, predicted, n_hits, worst_start, worst_end, worst_score)``.
+    """The id and the columns of ``marked``."""
+    return marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), model, "text", threshold).drop("text")
+
+
+def marked(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs`` with ``score, predicted, n_hits, worst_start, worst_end, worst_score``.
 
     ``n_hits`` counts sentences at or above the threshold; the last three give the bytes and
     the probability of the most offending sentence, null where no sentence has a feature.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
+    added = [("score", "double"), ("predicted", "int"), ("n_hits", "long"), ("worst_start", "long"), ("worst_end", "long"), ("worst_score", "double")]
+    names = [*docs.columns, *(n for n, _ in added)]
 
     def run(batches):
         m = Model(*shared.value)
         p0 = float(_sigmoid(m.bias))
-        names = ["doc_id", "score", "predicted", "n_hits", "worst_start", "worst_end", "worst_score"]
         for batch in batches:
             n = batch.num_rows
             none_log, hits = np.full(n, np.log1p(-p0)), np.zeros(n, np.int64)
             start, end, worst = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.nan)
-            for a, _, rows in instances(batch.column(1), m):
+            for a, _, rows in instances(batch.column(text_col), m):
                 if not len(rows):
                     continue
                 key, where = np.unique(rows[:, :3], axis=0, return_inverse=True)
@@ -202,9 +209,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = np.clip(-np.expm1(none_log), 0.0, 1.0)
             hit = np.isnan(worst)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(hits), pa.array(start, mask=hit), pa.array(end, mask=hit), pa.array(worst, mask=hit)], names=names
+                [*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(hits), pa.array(start, mask=hit), pa.array(end, mask=hit), pa.array(worst, mask=hit)], names=names
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int, n_hits long, worst_start long, worst_end long, worst_score double")
+    schema = T.StructType([*docs.schema.fields])
+    for name, kind in added:
+        schema = T.StructType([*schema.fields, T.StructField(name, {"double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType()}[kind])])
+    return docs.mapInArrow(run, schema)
