@@ -13,7 +13,7 @@ and never shuffled. Items travel in blocks of at most ``BLOCK`` words, each of w
 the documents again, so memory is bounded for any benchmark. Items are few and short next to
 documents; the item table itself is read to the driver block by block.
 
-Words are runs of ASCII letters and digits and all other bytes, A-Z lower-cased. Items with
+Words are runs of ASCII letters and digits and all other bytes, of the lower-cased text. Items with
 fewer words than a gram use all their words as one gram; null or empty items match nothing,
 like null or empty documents. Repeated items and documents give a row each. Ties: of equal
 alignments the first one counts. Extra columns are carried by ``clean`` and ``marked`` only.
@@ -155,7 +155,7 @@ def _choose(items: Items, held: np.ndarray, total: int) -> None:
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
     """Items in blocks of at most ``BLOCK`` words (or one longer item)."""
     ids, texts, held = [], [], 0
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).orderBy("i", "t")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t")).orderBy("i", "t")
     for r in rows.toLocalIterator():
         size = len(r.t.split())
         if ids and held + size > BLOCK:
@@ -229,14 +229,15 @@ def _seeded(docs: DataFrame, items: Items, text_col: str, threshold: float) -> D
 
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``leaks``: the items found in each row, as (item_id, score, n_seeds, start, end) in words."""
-    out, texts = docs.withColumn("leaks", F.array().cast(_LEAK)), docs.select(F.col(text_col).cast("string").alias("t"))
+    low = F.lower(F.col(text_col).cast("string")).alias("t")
+    out, texts = docs.select("*", low.alias("low_"), F.array().cast(_LEAK).alias("leaks")), docs.select(low)
     for items in _blocks(benchmark, item_id, item_text):
         items.prepare()
         if not len(items.key):
             continue
         _choose(items, *_document_counts(texts, items))
-        out = _seeded(out, items, text_col, threshold).withColumn("leaks", F.concat("leaks", "leaks_")).drop("leaks_")
-    return out
+        out = _seeded(out, items, "low_", threshold).withColumn("leaks", F.concat("leaks", "leaks_")).drop("leaks_")
+    return out.drop("low_")
 
 
 def leak_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
