@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import decontam, jaccard_join, langid, lm, matroska, mixing, suffix_dedup, toxicity
+from knotwork.llm import chat, decontam, jaccard_join, langid, lm, matroska, mixing, suffix_dedup, token_scan, toxicity
 from knotwork.storage import read_table
 
 
@@ -31,6 +31,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_scan.token_counts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "closed")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return suffix_dedup.repeat_table(read_table(spark, sf_dir, "documents"))
@@ -48,6 +53,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(read_table(spark, sf_dir, "documents"))
 
@@ -65,8 +74,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op8_mix, op9_matroska, op10_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op7_chat_rotation, op8_mix, op9_matroska, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_rotation": chat.ROTATE_SQL}
