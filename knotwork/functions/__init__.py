@@ -1 +1 @@
-
+"""Column and aggregate helpers."""

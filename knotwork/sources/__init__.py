@@ -1 +1 @@
-
+"""Graphs from tables and files, and sinks for clusterings."""
