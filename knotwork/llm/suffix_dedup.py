@@ -14,9 +14,9 @@ sorting (``induced.py``), in shards that together hold every string that can rep
    one with a count, and their strings repeat: a passage in a third of all documents costs
    a row for each task. All grams with different contexts go on.
 3. *Sorting.* Those contexts, one of each kind, meet in shards by gram. A shard is one text
-   with a unique separator after each context, is sorted by induction, and the common
-   prefix of neighbouring suffixes decides: a string repeats if the suffix before or after
-   it shares ``length`` bytes.
+   with a separator after each context and is sorted by induction. Of the suffixes with
+   ``length`` bytes left in their context, a string repeats if the one before or after it
+   shares ``length`` bytes.
 4. *Removal.* The repeated strings of a text are united and cut out, once for each text.
 
 Texts travel keyed by a 128-bit digest. Null is the empty text. Repeated rows are copies of
@@ -266,14 +266,12 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     size = np.array([len(p) for p in pieces], np.int64)
     base = np.cumsum(size + 1) - size - 1
     total = int(size.sum()) + len(pieces)
-    text = np.zeros(total + 1, np.int64)
-    raw = np.zeros(total + 8, np.uint8)
-    for b, p in zip(base.tolist(), pieces):
-        raw[b : b + len(p)] = np.frombuffer(p, np.uint8)
-    text[:total] = raw[:total].astype(np.int64) + len(pieces) + 1
-    ends = base + size
-    text[ends] = np.arange(1, len(pieces) + 1)
-    order = suffix_array(text)
+    joined = b"\0".join([*pieces, bytes(8)])
+    raw = np.frombuffer(joined, np.uint8)
+    text = raw[:total].astype(np.int16) + np.int16(2)
+    # symbol 1 after each piece, 0 at the very end
+    text[base + size] = 1
+    order = suffix_array(np.append(text, np.int16(0)))
     room = np.zeros(total + 1, bool)
     change = np.zeros(total + 2, np.int64)
     long_ = size >= length
