@@ -1,2 +1,88 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries of the solvers, and SQL of those whose answer SQL can compute."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from knotwork import catalog
+from knotwork.operators import cost, moves
+from knotwork.plans import solve
+from knotwork.storage import cut
+
+_EXACT_SMALL = f"""WITH RECURSIVE {catalog._E}, {catalog._COMP},
+k AS (SELECT comp, node, row_number() OVER (PARTITION BY comp ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY comp) AS n FROM comp),
+pairs AS (SELECT x.comp, x.i AS i, y.i AS j, CASE WHEN e.u IS NULL THEN 0 ELSE 1 END AS edge FROM k x JOIN k y ON x.comp = y.comp AND x.node < y.node AND x.n <= 8
+  LEFT JOIN e ON e.u = x.node AND e.v = y.node),
+parts AS (SELECT [0] AS p, 0 AS m UNION ALL SELECT list_append(p, q.g), greatest(m, q.g) FROM parts, (SELECT unnest(range(8)) AS g) q WHERE len(p) < 8 AND q.g <= m + 1),
+sizes AS (SELECT DISTINCT comp, n FROM k WHERE n <= 8),
+numbered AS (SELECT p, row_number() OVER () AS id FROM parts)
+SELECT comp, CAST(min(c) AS BIGINT) AS cost FROM (
+  SELECT s.comp, t.id, sum(CASE WHEN (t.p[pairs.i + 1] = t.p[pairs.j + 1]) = (pairs.edge = 1) THEN 0 ELSE 1 END) AS c
+  FROM sizes s JOIN numbered t ON len(t.p) = s.n JOIN pairs ON pairs.comp = s.comp GROUP BY 1, 2) GROUP BY 1"""
+
+
+def exact_cost_small(spark, sf_dir):
+    """Optimal cost of every component of at most 8 nodes."""
+    r = solve.exact(catalog._emb(spark, sf_dir))
+    return r.groupBy("comp").agg(F.count("*").alias("n"), F.max("cost").alias("cost")).where("n <= 8").select("comp", "cost")
+
+
+def exact_assignment(spark, sf_dir):
+    """Optimal clusters of the embedding graph."""
+    return solve.exact(catalog._emb(spark, sf_dir)).select("comp", "node", "cluster", "cost", "lower", "proved")
+
+
+def exact_edits(spark, sf_dir):
+    """Minimum edit list of the embedding graph."""
+    e = catalog._emb(spark, sf_dir)
+    return cost.edit_list(e, cut(solve.exact(e).select("node", "cluster")))
+
+
+def exact_verified(spark, sf_dir):
+    """The verifier's row for the optimal clustering."""
+    e = catalog._emb(spark, sf_dir)
+    from knotwork.operators.graph import ends
+
+    return cost.verify(e, ends(e), cut(solve.exact(e).select("node", "cluster")))
+
+
+def lower_bounds(spark, sf_dir):
+    return solve.lower_bounds(catalog._emb(spark, sf_dir))
+
+
+def heuristic_portfolio(spark, sf_dir):
+    return solve.heuristic(catalog._emb(spark, sf_dir)).select("comp", "node", "cluster", "cost")
+
+
+def _refiner(step):
+    def query(spark, sf_dir):
+        return solve.refined(catalog._emb(spark, sf_dir), step).select("comp", "node", "cluster", "cost")
+
+    query.__name__ = f"refine_{step}"
+    return query
+
+
+def mutations(spark, sf_dir):
+    """All five mutations of the components of the embedding graph, with the cost after each."""
+    from knotwork.operators.components import connected_components
+
+    e = catalog._emb(spark, sf_dir)
+    a = cut(connected_components(e).withColumnRenamed("comp", "cluster"))
+    made = {
+        "large": moves.isolate_large(a, 3, 0.5, 1), "large_neighbors": moves.isolate_large_and_neighbors(e, a, 3, 0.5, 1), "isolate": moves.isolate_nodes(a, 0.25, 1),
+        "move": moves.move_nodes(e, moves.isolate_nodes(a, 0.5, 2), 0.25, 1), "split": moves.split_clusters(e, a, 0.5, 1),
+    }
+    out = None
+    for name, b in made.items():
+        row = cost.objectives(e, b).select(F.lit(name).alias("mutation"), "clusters", "edits")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def queries() -> dict:
+    steps = [_refiner(s) for s in ("boundary_fm", "localized_fm", "remove_clusters", "split_clusters", "swap_nodes")]
+    return {f.__name__: f for f in (exact_cost_small, exact_assignment, exact_edits, exact_verified, lower_bounds, heuristic_portfolio, mutations, *steps)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"exact_cost_small": _EXACT_SMALL}

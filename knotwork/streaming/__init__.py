@@ -1 +1 @@
-
+"""Structured Streaming over edge streams."""
