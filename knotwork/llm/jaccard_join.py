@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from knotwork.llm.textkernel import mix, shingle_sets
+from knotwork.llm.textkernel import mix, release, shingle_sets
 from knotwork.operators.components import connected_components
 from knotwork.storage import cut, partitions
 
@@ -47,7 +47,7 @@ BITS = 1024
 FLUSH = 1 << 20
 #: Shuffle partitions for each bucket of keys. A bucket gives one edge for each of its documents at
 #: most, so fewer and larger buckets repeat fewer edges; keys are packed, and a bucket stays tens of MB.
-KEY_PARTS = 4
+KEY_PARTS = 2
 
 
 def size_classes(percent: int, top: int) -> list[int]:
@@ -249,20 +249,29 @@ def _coarse_edges(packed: DataFrame) -> DataFrame:
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-        docs = np.concatenate(
-            [np.frombuffer(i.as_py(), np.int64)[np.frombuffer(o.as_py(), np.uint32)] for i, o in zip(table.column("ids"), table.column("owner"))]
-        )
-        order = np.lexsort((docs, keys))
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
+        names = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]
+        every = np.unique(np.concatenate(names))
+        place = [np.searchsorted(every, x).astype(np.uint32) for x in names]
+        docs = np.concatenate([p[np.frombuffer(o.as_buffer(), np.uint32)] for p, o in zip(place, table.column("owner"))])
+        order = np.argsort(keys)
         keys, docs = keys[order], docs[order]
+        del order
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
-        low = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pair = np.unique(np.stack([low, docs], 1)[low != docs], axis=0)
+        del keys
+        start = np.flatnonzero(new)
+        many = np.diff(np.append(start, len(docs)))
+        low = np.repeat(np.minimum.reduceat(docs, start), many)
+        some = low != docs
+        # positions in the sorted ids, so the smaller position is the smaller id
+        pair = np.unique(low[some].astype(np.uint64) << np.uint64(32) | docs[some])
+        pair = np.stack([every[(pair >> np.uint64(32)).astype(np.int64)], every[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]], 1)
         forest = Forest()
         for a, b in pair.tolist():
             forest.join(a, b)
         rows = forest.edges()
+        release()
         return pa.table([pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], schema=schema)
 
     return packed.groupBy("bucket").applyInArrow(run, "u long, v long")
