@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.induced import suffix_array
-from knotwork.llm.textkernel import mix, slices, utf8
+from knotwork.llm.textkernel import mix, release, utf8
 from knotwork.storage import cut, partitions
 
 GRAM, SHARD, GROUP = 32, 2_000_000, 24_000_000
@@ -218,6 +218,7 @@ def _compare(found: DataFrame, length: int, groups: int) -> DataFrame:
         pick = head[sort]
         o = owner[pick]
         rows += _pack(_target(cid[o], groups), 1, cid[o], start[pick], count[pick] + length - 1, gram[pick], (many == 1)[sort])
+        release()
         return _rows(_CUT_NAMES, rows, _CUT_KINDS)
 
     return found.groupBy("bucket").applyInArrow(run, _CUTS)
@@ -256,6 +257,8 @@ def _fetch(texts: DataFrame, cuts: DataFrame, groups: int, shards: int) -> DataF
         for s, items in parts.items():
             at = np.array([i for i, _ in items])
             rows.append((s, cid[at].tobytes(), start[at].tobytes(), size[at].tobytes(), need[at].tobytes(), b"".join(x for _, x in items)))
+        del parts
+        release()
         return _rows(names, rows, kinds)
 
     return texts.withColumn("t", _key(groups)).groupBy("t").cogroup(cuts.where("kind = 1").groupBy("t")).applyInArrow(run, "shard long, cids binary, start binary, size binary, need binary, data binary")
@@ -306,6 +309,7 @@ def _sorted(fetched: DataFrame, length: int, groups: int) -> DataFrame:
             need.append(np.frombuffer(r["need"], bool))
         cid, start, need = np.concatenate(cid), np.concatenate(start), np.concatenate(need)
         found = repeated_starts(pieces, length)
+        release()
         owner, a, b = [], [], []
         for i in np.flatnonzero(need):
             s = found[i]
@@ -357,6 +361,7 @@ def _removed(texts: DataFrame, cuts: DataFrame, groups: int, with_text: bool) ->
                 left = [raw[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), n])]
                 kept = b"".join(left)
             rows.append((c, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        release()
         return _rows(names, rows, kinds)
 
     return texts.withColumn("t", _key(groups)).groupBy("t").cogroup(cuts.groupBy("t")).applyInArrow(run, "cid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
