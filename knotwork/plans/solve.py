@@ -26,6 +26,8 @@ from knotwork.storage import cut
 
 #: Largest component that a kernel takes: a dense matrix of that many nodes.
 KERNEL_NODES = 600
+#: Largest component that is searched for a proof; larger ones get a heuristic and a bound.
+EXACT_NODES = 40
 
 
 def component_edges(edges: DataFrame, comps: DataFrame, most: int = KERNEL_NODES) -> tuple[DataFrame, DataFrame]:
@@ -53,11 +55,12 @@ def _rows(comp: int, ids: np.ndarray, label: np.ndarray, value: int, lower: int,
     return pd.DataFrame({"comp": comp, "node": ids, "cluster": named, "cost": value, "lower": lower, "proved": proved, "counters": counters})
 
 
-def exact(edges: DataFrame, nodes_limit: int = 20_000, seconds: float | None = None, seed: int = 1, most: int = KERNEL_NODES) -> DataFrame:
+def exact(edges: DataFrame, nodes_limit: int = 2000, seconds: float | None = None, seed: int = 1, most: int = KERNEL_NODES, searched: int = EXACT_NODES) -> DataFrame:
     """(comp, node, cluster, cost, lower, proved, counters): an optimal clustering of every component.
 
-    A component whose effort runs out, or that is too large for a kernel, has its best known
-    clustering, a lower bound and ``proved`` false. Only nodes with an edge appear.
+    A component whose effort runs out, or with more than ``searched`` nodes, has its best known
+    clustering and a lower bound, and is proved only if both agree. Only nodes with an edge
+    appear.
     """
     e = cut(edges)
     comps = cut(connected_components(e))
@@ -65,6 +68,10 @@ def exact(edges: DataFrame, nodes_limit: int = 20_000, seconds: float | None = N
 
     def run(key, pdf):
         x, ids = local_instance(pdf)
+        if len(ids) > searched:
+            label, value, _ = portfolio(x, Settings(), seed)
+            lower = bounds.lower_bound(x, seed=seed)
+            return _rows(int(key[0]), ids, label, value, lower, lower == value, "portfolio=1")
         s = search.solve(x, nodes=nodes_limit, seconds=seconds, seed=seed)
         label = np.zeros(len(ids), int)
         for k, c in enumerate(s.cliques):
