@@ -46,6 +46,11 @@ def exact_verified(spark, sf_dir):
     return cost.verify(e, ends(e), cut(solve.exact(e).select("node", "cluster")))
 
 
+def exact_counters(spark, sf_dir):
+    """How often each rule applied, for each component."""
+    return solve.exact(catalog._emb(spark, sf_dir)).select("comp", "proved", "counters").distinct()
+
+
 def lower_bounds(spark, sf_dir):
     return solve.lower_bounds(catalog._emb(spark, sf_dir))
 
@@ -81,7 +86,7 @@ def mutations(spark, sf_dir):
 
 def queries() -> dict:
     steps = [_refiner(s) for s in ("boundary_fm", "localized_fm", "remove_clusters", "split_clusters", "swap_nodes")]
-    return {f.__name__: f for f in (exact_cost_small, exact_assignment, exact_edits, exact_verified, lower_bounds, heuristic_portfolio, mutations, *steps)}
+    return {f.__name__: f for f in (exact_cost_small, exact_assignment, exact_edits, exact_verified, exact_counters, lower_bounds, heuristic_portfolio, mutations, *steps)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -125,9 +125,10 @@ def _replicated(edges: DataFrame, replicas: int, kernel, most: int) -> DataFrame
 
 def heuristic(edges: DataFrame, settings: Settings | None = None, replicas: int = 2, steps: int = 60, most: int = KERNEL_NODES) -> DataFrame:
     """Portfolio of evolutions on every component; the columns of ``exact`` with lower 0."""
-    cfg = settings or Settings()
+    given = settings or Settings()
 
     def kernel(x: Instance, seed: int):
+        cfg = given.for_size(len(x), int((x.s > 0).sum() // 2))
         if not (cfg.use_evolution or cfg.use_localized):
             st = refine.State(x)
             rng = random.Random(cfg.seed + seed)

@@ -76,3 +76,17 @@ def test_edge_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("deg").collect())) == [(1, 1), (2, 2), (3, 1)]
+
+
+@pytest.mark.parametrize("kind", ["exact", "heuristic"])
+def test_command_line(spark, tmp_path, capsys, kind):
+    from knotwork.__main__ import main
+
+    path = write(tmp_path / "g.gr", GR)
+    args = [kind, "--graph", path, "--num-repititions", "1", "--write-to-file", "true", "--csv", "true", "--print-result-line", "true"]
+    assert main(args, spark) == 1
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "3 4" and "modifications=1" in out[1] and out[2].startswith(f"{path},1,")
+    assert files.read_solution(spark, path + ".sol").count() == 6
+    with pytest.raises(SystemExit):
+        main(["other"], spark)
