@@ -1,5 +1,7 @@
 """Settings: option names, INI files, command lines.
 
+Option names (spelling included) and default values are fixed values.
+
 Options are given on a command line or in an INI file of ``key=value`` lines with ``#``
 comments; the command line wins. Unknown keys of a file are ignored with a warning.
 """
