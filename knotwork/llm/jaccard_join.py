@@ -39,15 +39,15 @@ from pyspark.sql.window import Window as W
 
 from knotwork.llm.textkernel import mix, release, shingle_sets
 from knotwork.operators.components import connected_components
-from knotwork.storage import cut, partitions
+from knotwork.storage import cut
 
 #: Shingles in a leaf, and documents in one.
 LEAF_VOLUME, LEAF_DOCS = 150_000, 256
 BITS = 1024
 FLUSH = 1 << 20
-#: Shuffle partitions for each bucket of keys. A bucket gives one edge for each of its documents at
-#: most, so fewer and larger buckets repeat fewer edges; keys are packed, and a bucket stays tens of MB.
-KEY_PARTS = 2
+#: Bytes of packed keys in a bucket, about. A bucket gives one edge for each of its documents at
+#: most, so buckets by volume repeat fewer edges than buckets by partitions.
+BUCKET_BYTES = 24_000_000
 
 
 def size_classes(percent: int, top: int) -> list[int]:
@@ -423,11 +423,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``component_id`` is the smallest doc_id that links reach, the document included.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = cut(set_table(rows, k=k))
     reps = table.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    coarse = connected_components(_coarse_edges(_routed(rows, k, percent, max(4, partitions(spark) // KEY_PARTS))))
+    # a set sends about 2 (100 - p) / p keys for each shingle, of 12 bytes
+    total = reps.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(2, total * 24 * (100 - percent) // percent // BUCKET_BYTES)
+    coarse = connected_components(_coarse_edges(_routed(rows, k, percent, buckets)))
     only = reps.join(coarse, reps["rep"] == coarse["node"]).select(F.col("rep").alias("doc_id"), "comp", F.col("n_shingles").alias("n"))
     several = only.groupBy("comp").agg(F.count("*").alias("many")).where("many > 1").select("comp")
     klass = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
