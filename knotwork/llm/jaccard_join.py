@@ -28,13 +28,10 @@ Columns of the input other than the id and the text are never read.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from knotwork.llm.textkernel import mix, release, shingle_sets
@@ -277,7 +274,7 @@ def _coarse_edges(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
-_BLOCK = "comp long, leaf long, lo long, hi long, power int, any binary, all binary, ids binary, sizes binary, tokens binary"
+_BLOCK = "comp long, leaf long, lo long, hi long, power int, any binary, all binary, bits binary, ids binary, sizes binary, tokens binary"
 
 
 def _leaf_blocks(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -299,8 +296,8 @@ def _leaf_blocks(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         powers = {max(0, int(s).bit_length() - 10) for s in (size[0], size[-1])}
         return pa.table(
             [[x] for x in (table.column("comp")[0].as_py(), table.column("leaf")[0].as_py(), int(size[0]), int(size[-1]), powers.pop() if len(powers) == 1 else -1,
-                           np.bitwise_or.reduce(bits).tobytes(), np.bitwise_and.reduce(bits).tobytes(), ids.tobytes(), size.tobytes(), np.concatenate(rows).tobytes())],
-            schema=pa.schema([("comp", pa.int64()), ("leaf", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("power", pa.int32()), ("any", pa.binary()), ("all", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]),
+                           np.bitwise_or.reduce(bits).tobytes(), np.bitwise_and.reduce(bits).tobytes(), bits.tobytes(), ids.tobytes(), size.tobytes(), np.concatenate(rows).tobytes())],
+            schema=pa.schema([("comp", pa.int64()), ("leaf", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("power", pa.int32()), ("any", pa.binary()), ("all", pa.binary()), ("bits", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]),
         )
 
     rows = members.join(docs, "doc_id").select("comp", "leaf", "doc_id", "text")
@@ -393,8 +390,29 @@ def _self_check(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.select("ids", "sizes", "tokens").mapInArrow(run, "u long, v long")
 
 
+def survivors(size_a, bits_a, label_a, size_b, bits_b, label_b, percent: int) -> np.ndarray:
+    """Document pairs of two leaves, of different components, whose bitmaps allow a link.
+
+    At most ``|x| - |bits of x that y lacks|`` shingles of x can be in y, and likewise for y.
+    """
+    def power(size):
+        return np.array([max(0, int(n).bit_length() - 10) for n in size])
+
+    x, y = (np.unpackbits(b, axis=1).astype(np.float32) for b in (bits_a, bits_b))
+    both = (x @ y.T).astype(np.int64)
+    comparable = power(size_a)[:, None] == power(size_b)[None, :]
+    only_a = np.where(comparable, x.sum(1).astype(np.int64)[:, None] - both, 0)
+    only_b = np.where(comparable, y.sum(1).astype(np.int64)[None, :] - both, 0)
+    most = np.minimum(size_a[:, None] - only_a, size_b[None, :] - only_b)
+    return ((100 + percent) * most >= percent * (size_a[:, None] + size_b[None, :])) & (label_a[:, None] != label_b[None, :])
+
+
 def _open_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Leaf pairs that the dual traversal leaves, given the components found so far."""
+    """Leaf pairs that the dual traversal leaves, given the components found so far.
+
+    The traversal sees one light row for each leaf. Leaf pairs that it leaves are screened by
+    their documents' bitmaps, a few dozen kilobytes a leaf, before any set is fetched.
+    """
 
     def ids(batches):
         for batch in batches:
@@ -402,11 +420,12 @@ def _open_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             yield _arrow(out, pa.schema([("comp", pa.int64()), ("leaf", pa.int64()), ("doc_id", pa.int64())]))
 
     flat = nodes.select("comp", "leaf", "ids").mapInArrow(ids, "comp long, leaf long, doc_id long")
-    label = (
+    label = cut(
         flat.join(labels.select(F.col("node").alias("doc_id"), F.col("comp").alias("at")), "doc_id", "left")
         .groupBy("comp", "leaf")
-        .agg(F.min(F.coalesce("at", "doc_id")).alias("m"), F.max(F.coalesce("at", "doc_id")).alias("x"))
-        .select("comp", "leaf", F.when(F.col("m") == F.col("x"), F.col("m")).alias("label"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("doc_id", F.coalesce("at", "doc_id").alias("at")))).alias("at"))
+        .withColumn("m", F.array_min(F.map_values("at")))
+        .withColumn("label", F.when(F.col("m") == F.array_max(F.map_values("at")), F.col("m")))
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -414,8 +433,22 @@ def _open_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         comp, pairs = table.column("comp")[0].as_py(), node_pairs(rows, percent)
         return pa.table([pa.array([comp] * len(pairs), pa.int64()), pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["comp", "a", "b"])
 
-    light = nodes.select("comp", "leaf", "lo", "hi", "power", "any", "all").join(label, ["comp", "leaf"])
-    return light.groupBy("comp").applyInArrow(run, "comp long, a long, b long")
+    light = nodes.select("comp", "leaf", "lo", "hi", "power", "any", "all").join(label.select("comp", "leaf", "label"), ["comp", "leaf"])
+    pairs = light.groupBy("comp").applyInArrow(run, "comp long, a long, b long")
+
+    def screen(batches):
+        def side(r, s):
+            size = np.frombuffer(r[f"{s}_sizes"], np.int64)
+            at = dict(r[f"{s}_at"])
+            return size, np.frombuffer(r[f"{s}_bits"], np.uint8).reshape(len(size), -1), np.array([at[i] for i in np.frombuffer(r[f"{s}_ids"], np.int64).tolist()], np.int64)
+
+        for batch in batches:
+            keep = [bool(survivors(*side(r, "a"), *side(r, "b"), percent).any()) for r in batch.to_pylist()]
+            yield batch.select(["comp", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = nodes.select("comp", "leaf", "ids", "sizes", "bits").join(label.select("comp", "leaf", "at"), ["comp", "leaf"])
+    side = lambda s: held.select("comp", F.col("leaf").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("ids", "sizes", "bits", "at")))
+    return pairs.join(side("a"), ["comp", "a"]).join(side("b"), ["comp", "b"]).mapInArrow(screen, "comp long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:

@@ -106,6 +106,19 @@ def test_signature_tree_prunes_only_impossible_pairs():
     assert want <= kept and len(kept) < 190
 
 
+def test_screening_keeps_every_link():
+    rng = np.random.default_rng(8)
+    for size in (30, 300, 2000):
+        base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+        make = lambda: [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 62, k, dtype=np.uint64)])) for k in rng.integers(0, size // 3, 12)]
+        a, b = make(), make()
+        n = [np.array([len(t) for t in x]) for x in (a, b)]
+        bits = [np.stack([jaccard_join.bitmap(t) for t in x]) for x in (a, b)]
+        left = jaccard_join.survivors(n[0], bits[0], np.arange(12), n[1], bits[1], np.arange(12) + 50, 85)
+        assert all(left[i, j] for i, j in jaccard_join.linked(a, b, 85))
+        assert not jaccard_join.survivors(n[0], bits[0], np.zeros(12), n[1], bits[1], np.zeros(12), 85).any()
+
+
 def brute_repeats(rows, length=200):
     raw = [(r[1] or "").encode() for r in rows]
     seen = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
