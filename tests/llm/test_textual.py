@@ -423,3 +423,32 @@ def test_shingle_sets_of_slices():
     texts = pa.array(["a b c d e", None, "", "x Y", "a b c d e"] * 3)
     got = [s.tolist() for s in shingle_sets(texts.slice(1, 9), 4)]
     assert [len(s) for s in got] == [0, 0, 1, 2, 2, 0, 0, 1, 2] and got[3] == got[4] == got[8]
+
+
+def test_lm_gathers_from_every_document(spark):
+    rng = random.Random(11)
+    texts = [" ".join(words(rng, 12, "fr" if i % 2 else "en")) + f" x{i}   y café{i}" for i in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    model = lm.train_on(docs, F.lit(True))
+    enc, count = lm.encoder(), np.zeros(lm.IDS)
+    for t in texts:
+        for w in re.findall(r"[^\x20\x09-\x0D]+", t):
+            np.add.at(count, enc.encode_ordinary(" " + w.lower()), 1)
+        count[lm.END_ID] += 1
+    soft = count + 0.02
+    assert np.allclose(10**model.share, soft / np.bincount(model.klass, soft, minlength=lm.CLASSES)[model.klass])
+    assert set(np.argsort(-count, kind="stable")[: lm.SINGLE]) == set(np.flatnonzero(model.klass < lm.SINGLE))
+
+
+def test_lm_trains_on_windows_of_every_shard(spark, docs, monkeypatch):
+    ids = np.arange(100).astype(np.int32)
+    number = np.arange(lm.IDS, dtype=np.int32)
+    inputs, targets, _ = lm._windows(number, ids, np.array([0, 30, 30, 100]))
+    _, span = lm._draw(ids, np.array([0, 30, 30, 100]), np.arange(3).astype(np.uint64), 1.0)
+    assert np.array_equal(np.where(span[:, : lm.WINDOW] < lm.IDS, span[:, : lm.WINDOW], span[:, : lm.WINDOW].astype(int) - lm.BEFORE + lm.INPUTS + 1), inputs)
+    assert np.array_equal(np.where(span[:, lm.STRIDE + 1 :] < lm.IDS, span[:, lm.STRIDE + 1 :].astype(int), -1), targets)
+    monkeypatch.setattr(lm, "STEPS", 20)
+    monkeypatch.setattr(lm, "SHARD", 300)
+    one, two = (lm.train_on(d, F.lit(True)) for d in (docs, docs.repartition(7)))
+    assert all(np.allclose(one.weights[n], two.weights[n], atol=1e-4) for n in one.weights)
+    assert np.array_equal(one.klass, two.klass)
