@@ -2,9 +2,11 @@
 
 Every word n-gram of the test items is counted over all documents (documents that hold it).
 A gram is a seed unless it is common: held by more than ``COMMON`` of the documents and also
-by more than ``FACTOR`` times the item's median gram. Rarity is relative to the item, so an
-item that leaked into a third of the corpus, which makes all its grams frequent, keeps its
-seeds. Where a document holds a seed, the passage around it is aligned with the item: local
+by more than ``FACTOR`` times the item's ``HIGH`` quantile of the grams that occur at all.
+Rarity is relative to the item, so an item that leaked into a third of the corpus keeps its
+seeds, whole or as an edited version of which a tenth of the grams that occur is left, even
+beside chance hits of the others; of fewer than ten grams none is dropped. Where a document
+holds a seed, the passage around it is aligned with the item: local
 alignment over words, with match 2 and mismatch and gap -1. The score is the alignment's
 share of the best possible one; paraphrased or edited copies lose one to three points a word.
 
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from knotwork.llm.textkernel import _P, ALNUM_SEP, mix, slices, utf8, word_hashes, words
 
-GRAM, COMMON, FACTOR, BLOCK, THRESHOLD = 3, 0.001, 8, 500_000, 0.5
+GRAM, COMMON, FACTOR, HIGH, BLOCK, THRESHOLD = 3, 0.001, 8, 0.9, 500_000, 0.5
 
 
 def grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -147,8 +149,10 @@ def _choose(items: Items, held: np.ndarray, total: int) -> None:
     """Keep the seeds."""
     of = np.searchsorted(items.unique, items.key)
     frequency = held[of]
-    median = np.array([np.median(frequency[items.item == i]) if (items.item == i).any() else 0 for i in range(len(items.ids))])
-    items.keep((frequency <= COMMON * total) | (frequency <= FACTOR * median[items.item]))
+    # grams that no document holds say nothing about how common the others are
+    own = [frequency[(items.item == i) & (frequency > 0)] for i in range(len(items.ids))]
+    usual = np.array([np.quantile(x, HIGH, method="higher") if len(x) else 0 for x in own])
+    items.keep((frequency <= COMMON * total) | (frequency <= FACTOR * usual[items.item]))
     items.prepare()
 
 

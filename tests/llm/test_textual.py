@@ -352,6 +352,18 @@ def test_decontamination(spark):
         decontam.BLOCK = old
 
 
+@pytest.mark.parametrize("total", [60, 1500])
+def test_decontamination_of_one_edited_version(spark, total):
+    rng = random.Random(total)
+    item = words(rng, 80)
+    edited = [f"edit{j}" if j % 4 == 3 else w for j, w in enumerate(item)]
+    rows = [(i, " ".join([*words(rng, 20), *(edited if i % 15 == 0 else words(rng, 20)), *words(rng, 20)]), "en", "a", 0, None, None) for i in range(total)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for more in ([], [(total, " ".join(item), "en", "a", 0, None, None)]):
+        found = decontam.leak_table(spark.createDataFrame(rows + more, SCHEMA), bench).collect()
+        assert {r.doc_id for r in found} == {*range(0, total, 15), *(r[0] for r in more)}
+
+
 def test_alignment_against_plain_table():
     rng = np.random.default_rng(2)
     for _ in range(40):
