@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from knotwork.llm import decontam, jaccard_join, mixing, suffix_dedup, toxicity
 from knotwork.llm.queries import remainder, small_batches
-from knotwork.storage import read_table, table
+from knotwork.storage import cut, read_table, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +23,28 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """One row of each group of near duplicates: that of the smallest id, of ids before none.
 
-    Five words to a shingle and a similarity of 0.8. Rows without an id stay.
+    Five words to a shingle and a similarity of 0.8. Rows are told apart by a 64-bit hash of id
+    and text, so rows without an id are members of their groups like all others, different
+    texts of one id are different documents, and of repeated rows one stays.
     """
     small_batches(spark)
-    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("other_")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("other_"), "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("key_", F.xxhash64("doc_id", "text"))
+    groups = jaccard_components(keyed)
+    ids = keyed.groupBy("key_").agg(F.first("doc_id").alias("id_"), F.count("*").alias("many_"))
+    rank = F.struct(F.col("id_").isNull(), "id_", "key_", "many_")
+    stay = cut(ids.join(groups, "key_").groupBy("component_id").agg(F.min(rank).alias("best_")).select("best_.key_", "best_.many_"))
+    rows = keyed.join(stay, "key_")
+    one = W.partitionBy("key_").orderBy(*docs.columns)
+    several = rows.where("many_ > 1").withColumn("nth_", F.row_number().over(one)).where("nth_ = 1")
+    return rows.where("many_ = 1").select(*docs.columns).unionByName(several.select(*docs.columns))
+
+
+def jaccard_components(keyed: DataFrame) -> DataFrame:
+    """``(key_, component_id)`` of every key."""
+    found = jaccard_join.jaccard_components(keyed, id_col="key_", k=5, percent=80)
+    return found.select(F.col("doc_id").alias("key_"), "component_id").distinct()
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
