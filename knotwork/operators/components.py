@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.operators.skew import lookup
 from knotwork.storage import cut
 
 
@@ -58,25 +59,20 @@ def _contract_partitions(e: DataFrame, block: int = 1 << 20) -> DataFrame:
     return e.mapInArrow(run, "u long, v long")
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, many: int, most: int) -> DataFrame:
     """For every node, link its larger neighbours to the smallest node around it."""
     both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(
         e.select(F.col("v").alias("a"), F.col("u").alias("b"))
     )
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return (
-        both.where("b > a")
-        .join(low, "a")
-        .select(F.col("m").alias("u"), F.col("b").alias("v"))
-        .where("u < v")
-        .distinct()
-    )
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    joined = lookup(both.where("b > a"), low, ["a"], "n", 2 * many, most)
+    return joined.select(F.col("m").alias("u"), F.col("b").alias("v")).where("u < v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, many: int, most: int) -> DataFrame:
     """For every node, link it and its smaller neighbours to the smallest of them."""
-    low = e.groupBy("v").agg(F.min("u").alias("m"))
-    joined = e.join(low, "v")
+    low = e.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+    joined = lookup(e, low, ["v"], "n", 2 * many, most)
     return (
         joined.select(F.col("m").alias("u"), F.col("u").alias("v"))
         .unionByName(low.select(F.col("m").alias("u"), "v"))
@@ -85,30 +81,35 @@ def _small_star(e: DataFrame) -> DataFrame:
     )
 
 
-def _is_stars(e: DataFrame) -> bool:
-    """Every node hangs on exactly one other, which hangs on none."""
+def _state(e: DataFrame) -> tuple[bool, int, int]:
+    """Whether every node hangs on exactly one other, which hangs on none; the edges, and the
+    most edges of a node."""
     seen = e.select(F.col("v").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
         e.select(F.col("u").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
     )
-    each = seen.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
-    return not each.agg(F.bool_or((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0)))).first()[0]
+    each = seen.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"), F.count("*").alias("degree"))
+    open_, many, most = each.agg(F.bool_or((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))), F.sum("hangs"), F.max("degree")).first()
+    return not open_, many or 0, most or 0
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``edges(u, v)`` to ``(node, comp)`` with comp the smallest node of the component.
 
     Only nodes with an edge appear. Self loops and repeated edges are ignored, null
     ends too; no edges give no rows. Converged when every node hangs on exactly one
-    root and no root hangs on another node.
+    root and no root hangs on another node; raises if that takes more than ``max_rounds``.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(
         F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v")
     )
     e = cut(_contract_partitions(e).distinct())
-    for _ in range(max_rounds):
-        if _is_stars(e):
+    for _ in range(max_rounds + 1):
+        done, many, most = _state(e)
+        if done:
             break
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(_large_star(e, many, most), 2 * many, 2 * many))
+    else:
+        raise RuntimeError(f"components have not converged after {max_rounds} rounds")
     return e.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(
         e.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct()
     )
