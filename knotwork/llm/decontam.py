@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knotwork.llm.textkernel import _P, ALNUM_SEP, mix, slices, utf8, word_hashes, words
+from knotwork.storage import packed, unpacked
 
 GRAM, COMMON, FACTOR, HIGH, BLOCK, THRESHOLD = 3, 0.001, 8, 0.9, 500_000, 0.5
 
@@ -231,17 +232,23 @@ def _seeded(docs: DataFrame, items: Items, text_col: str, threshold: float) -> D
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("leaks_", _LEAK)]))
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``leaks``: the items found in each row, as (item_id, score, n_seeds, start, end) in words."""
-    low = F.lower(F.col(text_col).cast("string")).alias("t")
-    out, texts = docs.select("*", low.alias("low_"), F.array().cast(_LEAK).alias("leaks")), docs.select(low)
+def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``(row, leaks)``: every row of ``docs`` as a struct, and the items found in it, as (item_id,
+    score, n_seeds, start, end) in words."""
+    low = F.lower(F.col(f"`{text_col}`").cast("string")).alias("t")
+    out, texts = packed(docs).withColumns({"t": F.lower(F.col(f"row.`{text_col}`").cast("string")), "leaks": F.array().cast(_LEAK)}), docs.select(low)
     for items in _blocks(benchmark, item_id, item_text):
         items.prepare()
         if not len(items.key):
             continue
         _choose(items, *_document_counts(texts, items))
-        out = _seeded(out, items, "low_", threshold).withColumn("leaks", F.concat("leaks", "leaks_")).drop("leaks_")
-    return out.drop("low_")
+        out = _seeded(out, items, "t", threshold).withColumn("leaks", F.concat("leaks", "leaks_")).drop("leaks_")
+    return out.drop("t")
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``leaks`` as in ``found``; a column of that name is replaced."""
+    return unpacked(found(docs, benchmark, **options), docs.columns, {"leaks": F.col("leaks")})
 
 
 def leak_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -252,4 +259,4 @@ def leak_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    return marked(docs, benchmark, **options).where(F.size("leaks") == 0).drop("leaks")
+    return unpacked(found(docs, benchmark, **options).where(F.size("leaks") == 0), docs.columns)

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotwork.llm.textkernel import _KEEP, ALNUM_SEP, mix, slices, utf8, word_hashes, words
+from knotwork.llm.textkernel import _KEEP, ALNUM_SEP, mix, release, slices, utf8, word_hashes, words
+from knotwork.storage import packed, unpacked
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_FEATURES = 1500, 2500, 20_000
 PREFIXES = (4, 5, 6)
@@ -171,7 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids, so the broadcast is bounded
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), F.col(id_col) == F.col("picked_")).select("y", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).toPandas()
     rows = rows.drop_duplicates().sort_values(["text", "y"])
-    return train(rows["text"].tolist(), rows["y"].to_numpy())
+    model = train(rows["text"].tolist(), rows["y"].to_numpy())
+    del rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -179,15 +183,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), model, "text", threshold).drop("text")
 
 
+_ADDED = {"score": T.DoubleType(), "predicted": T.IntegerType(), "n_hits": T.LongType(), "worst_start": T.LongType(), "worst_end": T.LongType(), "worst_score": T.DoubleType()}
+
+
 def marked(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score, predicted, n_hits, worst_start, worst_end, worst_score``.
+    """``docs`` with the columns of ``scored``; columns of these names are replaced."""
+    return unpacked(scored(docs, model, text_col, threshold), docs.columns, {n: F.col(n) for n in _ADDED})
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``(row, score, predicted, n_hits, worst_start, worst_end, worst_score)``, rows as structs.
 
     ``n_hits`` counts sentences at or above the threshold; the last three give the bytes and
     the probability of the most offending sentence, null where no sentence has a feature.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
-    added = [("score", "double"), ("predicted", "int"), ("n_hits", "long"), ("worst_start", "long"), ("worst_end", "long"), ("worst_score", "double")]
-    names = [*docs.columns, *(n for n, _ in added)]
+    names, at = ["row", *_ADDED], docs.columns.index(text_col)
+    held = packed(docs)
 
     def run(batches):
         m = Model(*shared.value)
@@ -196,7 +208,7 @@ def marked(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
             n = batch.num_rows
             none_log, hits = np.full(n, np.log1p(-p0)), np.zeros(n, np.int64)
             start, end, worst = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.nan)
-            for a, _, rows in instances(batch.column(text_col), m):
+            for a, _, rows in instances(batch.column(0).flatten()[at], m):
                 if not len(rows):
                     continue
                 key, where = np.unique(rows[:, :3], axis=0, return_inverse=True)
@@ -212,7 +224,4 @@ def marked(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
                 [*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(hits), pa.array(start, mask=hit), pa.array(end, mask=hit), pa.array(worst, mask=hit)], names=names
             )
 
-    schema = T.StructType([*docs.schema.fields])
-    for name, kind in added:
-        schema = T.StructType([*schema.fields, T.StructField(name, {"double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType()}[kind])])
-    return docs.mapInArrow(run, schema)
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, *(T.StructField(n, kind) for n, kind in _ADDED.items())]))
