@@ -6,14 +6,17 @@ with cosine 0.4; the name says which. SQL builds the same graph on its own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions.quartiles import statistics, statistics_sql
+from knotwork.functions.ranks import ranked
 from knotwork.operators import cost, graph, measure, moves
 from knotwork.operators.components import component_labels, connected_components
-from knotwork.sources import derive
-from knotwork.storage import cut
+from knotwork.sources import derive, files
+from knotwork.storage import cut, read_table, shared_dir
 
 EMB = 0.4
 _E = derive.EMB_SQL.format(least=EMB)
@@ -160,9 +163,13 @@ def heavy_edge_pairs(spark, sf_dir):
     return measure.heavy_edges(_part(spark, sf_dir))
 
 
-@_query(_with(_P, f"{_ARCS}, k AS (SELECT count(DISTINCT src) AS n FROM a) SELECT u, v FROM e, k WHERE n - 2 <= 1"))
+_W = derive.PART_WEIGHT_SQL.format(least=2)
+
+
+@_query(_with(_W, "t AS (SELECT n, sum(s) AS t FROM (SELECT u AS n, s FROM e UNION ALL SELECT v, s FROM e) GROUP BY 1) SELECT u, v FROM e JOIN t x ON x.n = u JOIN t y ON y.n = v WHERE 2 * s >= least(x.t, y.t)"))
 def heavy_edge_single(spark, sf_dir):
-    return measure.heavy_edges_single(_part(spark, sf_dir))
+    """On parts weighted by the orders that they share."""
+    return measure.heavy_edges_single(derive.part_weights(spark, sf_dir))
 
 
 @_query(_with(_P, f"{_NEAR} SELECT u, v FROM n WHERE edge = 0 AND least(du, dv) <= 1"))
@@ -277,10 +284,12 @@ def cluster_members(spark, sf_dir):
     return cost.members(_modular(_part(spark, sf_dir))).select("cluster", F.array_join("members", ",").alias("members"))
 
 
-@_query(_with(_P, f"{_DEG}, g AS (SELECT node, node % 97 AS cluster FROM d), z AS (SELECT cluster, count(*) AS n FROM g GROUP BY 1) SELECT max(degree) < 20 AND (SELECT count(*) FROM e) > 1000000 AND (SELECT quantile_disc(n, 0.75) FROM z) <= 2 AND (SELECT quantile_disc(n, 0.99) FROM z) <= 4 AND (SELECT max(n) FROM z) <= 6 AS special FROM d"))
+@_query(_with(_E, f"{_DEG}, f AS (SELECT max(degree) AS d, count(*) AS n FROM d), m AS (SELECT count(*) AS m FROM e) SELECT x.least, d < 20 AND m > x.least AS special FROM f, m, (VALUES (10), (1000000)) x(least)"))
 def special_instance(spark, sf_dir):
-    e = _part(spark, sf_dir)
-    return cost.special_instance(e, _modular(e))
+    """The embedding graph with every node alone, for two bounds on the edges."""
+    e = _emb(spark, sf_dir)
+    each = [cost.special_instance(e, cost.singletons(e), n).select(F.lit(n).alias("least"), "special") for n in (10, 1_000_000)]
+    return each[0].unionByName(each[1])
 
 
 _RATE = f"""{_DEG}, g AS (SELECT node, node % 97 AS cluster FROM d), z AS (SELECT cluster, count(*) AS n FROM g GROUP BY 1),
@@ -325,33 +334,98 @@ def mutate_large_isolate(spark, sf_dir):
     return moves.isolate_large(_modular(_part(spark, sf_dir)), 20)
 
 
-@_query(_with(_E, f"""{_TWIN}, nd AS (SELECT src AS node FROM t), gr AS (SELECT nd.node, coalesce(tw.twin, nd.node) AS g FROM nd LEFT JOIN tw ON tw.node = nd.node AND tw.many > 1),
-pr AS (SELECT p.g AS gu, q.g AS gv, CASE WHEN e.u IS NULL THEN -1 ELSE 1 END AS s FROM gr p JOIN gr q ON p.node < q.node LEFT JOIN e ON e.u = p.node AND e.v = q.node)
+@_query(f"""WITH RECURSIVE {_E}, {_COMP}, {_TWIN[len(_ARCS) + 2 :]}, gr AS (SELECT comp.node, comp.comp, coalesce(tw.twin, comp.node) AS g FROM comp LEFT JOIN tw ON tw.node = comp.node AND tw.many > 1),
+pr AS (SELECT p.g AS gu, q.g AS gv, CASE WHEN e.u IS NULL THEN -1 ELSE 1 END AS s FROM gr p JOIN gr q ON p.comp = q.comp AND p.node < q.node LEFT JOIN e ON e.u = p.node AND e.v = q.node)
 SELECT least(gu, gv) AS u, greatest(gu, gv) AS v, CAST(sum(CASE WHEN gu = gv THEN 0 ELSE s END) AS BIGINT) AS s,
-CAST(CASE WHEN max(CASE WHEN gu = gv THEN 1 ELSE 0 END) = 1 THEN sum(CASE WHEN s < 0 THEN 1 ELSE 0 END) ELSE (sum(abs(s)) - abs(sum(s))) // 2 END AS BIGINT) AS cost FROM pr GROUP BY 1, 2"""))
+CAST(CASE WHEN max(CASE WHEN gu = gv THEN 1 ELSE 0 END) = 1 THEN sum(CASE WHEN s < 0 THEN 1 ELSE 0 END) ELSE (sum(abs(s)) - abs(sum(s))) // 2 END AS BIGINT) AS cost FROM pr GROUP BY 1, 2""")
 def contract_twins(spark, sf_dir):
+    """The exact solver's weighted instance of every component, twins contracted."""
     e = _emb(spark, sf_dir)
-    ids = graph.ends(e)
-    # the exact solver's weighted instance has all pairs by definition; this one is of bounded size
-    pairs = ids.select(F.col("id").alias("u")).join(ids.select(F.col("id").alias("v")), F.col("u") < F.col("v")).join(e.withColumn("s", F.lit(1)), ["u", "v"], "left").select("u", "v", F.coalesce("s", F.lit(-1)).alias("s"))
-    groups = ids.withColumnRenamed("id", "node").join(measure.twins(e), "node", "left").select("node", F.coalesce("twin", "node").alias("group"))
+    comps = _comps(e)
+    c = comps.select("comp", F.col("node").alias("u"))
+    pairs = c.join(comps.select("comp", F.col("node").alias("v")), "comp").where("u < v").join(e.withColumn("s", F.lit(1)), ["u", "v"], "left").select("u", "v", F.coalesce("s", F.lit(-1)).alias("s"))
+    groups = comps.select("node").join(measure.twins(e), "node", "left").select("node", F.coalesce("twin", "node").alias("group"))
     return moves.contract(pairs.withColumn("o", F.col("s")), groups).select("u", "v", "s", "cost")
 
 
-@_query()
+@_query(_with(_P, f"{_ARCS} SELECT count(DISTINCT src) AS nodes, CAST(0 AS BIGINT) AS moves_left, TRUE AS no_worse FROM a"))
 def lp_converged(spark, sf_dir):
+    """Label propagation to the end: nodes with a label, moves that would still gain, and whether it beats singletons."""
     e = _part(spark, sf_dir)
-    return moves.label_propagation(e)[0]
+    end, costs = moves.label_propagation(e)
+    end = cut(end)
+    left = moves.best_moves(e, end).agg(F.count("*").alias("moves_left"))
+    now = cost.objectives(e, end).select((F.col("edits") <= F.lit(costs[0])).alias("no_worse"))
+    return end.agg(F.count_distinct("node").alias("nodes")).join(left).join(now)
 
 
-@_query()
+@_query(_with(_P, f"{_WEDGE} SELECT count(*) > 0 AS any_taken, TRUE AS conflicts, TRUE AS disjoint FROM p3"))
 def p3_packing(spark, sf_dir):
-    return measure.p3_packing(_part(spark, sf_dir))
+    """The packing, judged: whether all its triples are conflicts and no two share a pair."""
+    e = _part(spark, sf_dir)
+    taken = cut(measure.p3_packing(e))
+    good = taken.join(measure.p3_list(e), ["center", "v", "w"], "left_semi").agg(F.count("*").alias("good"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    held = taken.select(F.explode(F.array(pair("center", "v"), pair("center", "w"), pair("v", "w"))).alias("p")).agg(F.count("*").alias("pairs"), F.count_distinct("p").alias("different"))
+    return taken.agg(F.count("*").alias("n")).join(good).join(held).select((F.col("n") > 0).alias("any_taken"), (F.col("n") == F.col("good")).alias("conflicts"), (F.col("pairs") == F.col("different")).alias("disjoint"))
 
 
-@_query()
+@_query(_with(_P, f"{_ARCS} SELECT src AS node, TRUE AS adjacent FROM a GROUP BY 1"))
 def random_neighbor(spark, sf_dir):
-    return graph.random_neighbor(_part(spark, sf_dir), 1)
+    """Every node with whether its drawn neighbour is one."""
+    e = _part(spark, sf_dir)
+    drawn = graph.random_neighbor(e, 1)
+    return drawn.join(graph.arcs(e).select(F.col("src").alias("node"), F.col("dst").alias("neighbor"), F.lit(True).alias("hit")), ["node", "neighbor"], "left").select("node", F.coalesce("hit", F.lit(False)).alias("adjacent"))
+
+
+@_query(f"WITH RECURSIVE {_E}, {_ARCS}, r AS (SELECT DISTINCT src AS source, src AS node, 0 AS hops FROM a UNION SELECT r.source, a.dst, r.hops + 1 FROM r JOIN a ON a.src = r.node WHERE r.hops < 12) SELECT source, node, min(hops) AS hops FROM r GROUP BY 1, 2")
+def hop_distances(spark, sf_dir):
+    """Shortest distances of all pairs of a component."""
+    e = _emb(spark, sf_dir)
+    return graph.hop_distances(e, graph.ends(e), 12)
+
+
+@_query(_SQL["bounded_reach"])
+def sampled_reach(spark, sf_dir):
+    """Reach with sampling above a degree that no node has, which must lose nothing."""
+    e = _part(spark, sf_dir)
+    return graph.bounded_reach(e, graph.arcs(e).agg(F.min("src").alias("id")), 2, degree_limit=1_000_000)
+
+
+def _place(spark) -> str:
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+@_query(_with(_E, "z AS (SELECT 1) SELECT u, v FROM e"))
+def scan_graph_file(spark, sf_dir):
+    """The embedding graph, written as a graph file and read back."""
+    e, path = _emb(spark, sf_dir), _place(spark)
+    top = e.agg(F.max("v")).first()[0] or 0
+    files.write_gr(spark.range(top + 1), e, path)
+    return files.read_gr(spark, path)[1]
+
+
+@_query(_with(_P, "z AS (SELECT 1) SELECT u, v FROM e"))
+def scan_adjacency(spark, sf_dir):
+    """The graph of parts from its adjacency lists."""
+    return derive.adjacency_edges(graph.neighbors(_part(spark, sf_dir)), "node", "neighbors")
+
+
+@_query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS node, CAST(p_size AS BIGINT) AS cluster FROM part")
+def scan_solution(spark, sf_dir):
+    """Sizes of parts as clusters, written as a solution file and read back."""
+    path = _place(spark)
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("cluster"))
+    files.write_solution(ranked(parts, "p_partkey").select(F.col("rank").alias("node"), "cluster"), path)
+    return files.read_solution(spark, path)
+
+
+@_query(_with(_P, f"{_MOD} SELECT (u + 1) || ' ' || (v + 1) AS line FROM x WHERE cu <> cv UNION ALL SELECT (p.node + 1) || ' ' || (q.node + 1) FROM g p JOIN g q ON p.cluster = q.cluster AND p.node < q.node WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = p.node AND e.v = q.node)"))
+def edit_sink(spark, sf_dir):
+    """Lines of the edit list, written and read back."""
+    e, path = _part(spark, sf_dir), _place(spark)
+    files.write_edits(cost.edit_list(e, _modular(e)), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 def queries() -> dict:

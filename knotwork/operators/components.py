@@ -1,9 +1,11 @@
 """Connected components by local contraction and alternating star contractions.
 
 First every partition replaces its edges by a spanning forest of stars, so at most one edge
-for each of its nodes goes on. Then rounds of stars: each is two aggregations with map-side
-combine, so a hub costs one partial minimum per map task and never a collected neighbour
-list. The number of rounds grows with the logarithm of the component size.
+for each of its nodes goes on. A forest of at most ``ONE_TASK`` edges, which is a few dozen
+megabytes whatever the input, is finished by one task in the same way. A larger one goes through
+rounds of stars: each is two aggregations with map-side combine, so a hub costs one partial
+minimum per map task and never a collected neighbour list. The number of rounds grows with the
+logarithm of the component size.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from knotwork.operators.skew import lookup
 from knotwork.storage import cut
 
 
+#: Edges that one task contracts at once.
+ONE_TASK = 1 << 20
+
+
 def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (smallest node, node) of the components of some edges."""
     ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -39,7 +45,10 @@ def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[up[moved]], ids[moved]
 
 
-def _contract_partitions(e: DataFrame, block: int = 1 << 20) -> DataFrame:
+def _contract_partitions(e: DataFrame, block: int | None = None) -> DataFrame:
+    """A forest for each partition; complete if the partition has at most ``block`` edges."""
+    block = block or ONE_TASK
+
     def run(batches):
         u, v, held = [], [], 0
         for batch in batches:
@@ -103,6 +112,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v")
     )
     e = cut(_contract_partitions(e).distinct())
+    if e.count() <= ONE_TASK:
+        e = cut(_contract_partitions(e.coalesce(1)))
+        return _labels(e)
     for _ in range(max_rounds + 1):
         done, many, most = _state(e)
         if done:
@@ -110,8 +122,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         e = cut(_small_star(_large_star(e, many, most), 2 * many, 2 * many))
     else:
         raise RuntimeError(f"components have not converged after {max_rounds} rounds")
-    return e.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(
-        e.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct()
+    return _labels(e)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(
+        stars.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct()
     )
 
 

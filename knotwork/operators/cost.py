@@ -95,17 +95,17 @@ def cluster_statistics(edges: DataFrame, assign: DataFrame) -> DataFrame:
     return out
 
 
-def special_instance(edges: DataFrame, assign: DataFrame) -> DataFrame:
+def special_instance(edges: DataFrame, assign: DataFrame, least: int = 1_000_000) -> DataFrame:
     """One row: ``special``, true for very large sparse graphs whose clusters are tiny.
 
-    Degree below 20, over a million edges, and cluster sizes of at most 2 at the upper
+    Degree below 20, more than ``least`` edges, and cluster sizes of at most 2 at the upper
     quartile, 4 at the last percentile and 6 at most.
     """
     from knotwork.operators.graph import degrees
 
     top = degrees(edges).agg(F.coalesce(F.max("degree"), F.lit(0)).alias("d"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).alias("m"))
     sizes = cluster_sizes(assign).agg(F.coalesce(F.max("size"), F.lit(0)).alias("x"), F.expr("percentile_disc(0.75) within group (order by size)").alias("q"), F.expr("percentile_disc(0.99) within group (order by size)").alias("p"))
-    return top.join(sizes).select(((F.col("d") < 20) & (F.col("m") > 1_000_000) & (F.col("q") <= 2) & (F.col("p") <= 4) & (F.col("x") <= 6)).alias("special"))
+    return top.join(sizes).select(((F.col("d") < 20) & (F.col("m") > least) & (F.col("q") <= 2) & (F.col("p") <= 4) & (F.col("x") <= 6)).alias("special"))
 
 
 def verify(edges: DataFrame, nodes: DataFrame, assign: DataFrame, claimed: int | None = None) -> DataFrame:

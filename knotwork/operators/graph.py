@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.storage import cut
+
 
 def arcs(edges: DataFrame) -> DataFrame:
     """Both directions of every edge: (src, dst)."""
@@ -75,11 +77,58 @@ def set_operation(kind: str, a: Column, b: Column) -> Column:
     return F.array_sort(made())
 
 
+def wedges(edges: DataFrame, part: int = 1024) -> DataFrame:
+    """(center, v, w) with v < w for every pair of neighbours of a node.
+
+    The neighbours of a node are dealt over parts of about ``part``, and every pair of its parts
+    meets on its own, so a hub of degree d is (d / part) ** 2 groups of bounded size.
+    """
+    a = arcs(edges).join(degrees(edges).select(F.col("node").alias("src"), F.ceil(F.col("degree") / part).cast("int").alias("parts")), "src")
+    own, others = F.pmod(F.xxhash64("dst"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = a.select("src", F.col("dst").alias("v"), own.alias("i"), others.alias("j"))
+    right = a.select("src", F.col("dst").alias("w"), own.alias("j"), others.alias("i"))
+    return left.join(right, ["src", "i", "j"]).where("v < w").select(F.col("src").alias("center"), "v", "w")
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(x, y, z): every triangle once, listed at its end of lowest (degree, id), so hubs list few."""
+    d = degrees(edges)
+    ranked = edges.join(d.select(F.col("node").alias("u"), F.col("degree").alias("du")), "u").join(d.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v")
+    first = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    out = ranked.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("y"))
+    wedge = out.join(out.select("x", F.col("y").alias("z")), "x").where("y < z")
+    return wedge.join(edges.select(F.col("u").alias("y"), F.col("v").alias("z")), ["y", "z"]).select("x", "y", "z")
+
+
+def edge_triangles(edges: DataFrame) -> DataFrame:
+    """(u, v, common) of every edge: the common neighbours of its ends."""
+    pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    held = triangles(edges).select(F.explode(F.array(pair("x", "y"), pair("x", "z"), pair("y", "z"))).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("common"))
+    return edges.select("u", "v").join(held, ["u", "v"], "left").select("u", "v", F.coalesce("common", F.lit(0)).alias("common"))
+
+
 def common_neighbors(edges: DataFrame) -> DataFrame:
     """(u, v, common) for pairs with a shared neighbour, adjacent or not."""
+    return wedges(edges).groupBy(F.col("v").alias("u"), F.col("w").alias("v")).agg(F.count("*").alias("common"))
+
+
+def hop_distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, hops): shortest distances from every node of ``start(id)``, 0 to itself.
+
+    Breadth first from all sources at once, a join and an anti-join a hop, until no pair is new
+    or ``most`` hops are reached. The result has a row for every pair within reach.
+    """
     a = arcs(edges)
-    w = a.select("src", F.col("dst").alias("u")).join(a.select("src", F.col("dst").alias("v")), "src").where("u < v")
-    return w.groupBy("u", "v").agg(F.count("*").alias("common"))
+    front = cut(start.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct())
+    seen, hops = front, 0
+    while most is None or hops < most:
+        hops += 1
+        following = front.select("source", F.col("node").alias("src")).join(a, "src").select("source", F.col("dst").alias("node")).distinct()
+        front = cut(following.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    return seen
 
 
 def bounded_reach(edges: DataFrame, start: DataFrame, depth: int, degree_limit: int | None = None, seed: int = 0) -> DataFrame:

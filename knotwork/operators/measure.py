@@ -1,9 +1,10 @@
 """Measurements over a graph: conflict triples, closeness of pairs, reduction tables.
 
 A conflict triple (P3) is a centre with two neighbours that are not adjacent. A graph is a
-disjoint union of cliques iff it has none. Wedges are joined once on their centre; where only
-a count is wanted, ``sum of C(degree, 2) - 3 * triangles`` avoids listing them, and triangles
-are listed along edges directed from lower to higher (degree, id), so hubs stay cheap.
+disjoint union of cliques iff it has none. Wedges are joined on their centre, a hub's in parts
+of bounded size. What concerns edges only needs triangles, which are listed along edges directed
+from lower to higher (degree, id); conflict triples of a pair follow from degrees and common
+neighbours, and their number is ``sum of C(degree, 2) - 3 * triangles``.
 """
 
 from __future__ import annotations
@@ -12,37 +13,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from knotwork.operators.graph import arcs, common_neighbors, degrees, ends
+from knotwork.operators.graph import arcs, common_neighbors, degrees, edge_triangles, ends, triangles, wedges
 
 
 def p3_list(edges: DataFrame) -> DataFrame:
     """(center, v, w) with v < w of every conflict triple."""
-    a = arcs(edges)
-    wedge = a.select(F.col("src").alias("center"), F.col("dst").alias("v")).join(a.select(F.col("src").alias("center"), F.col("dst").alias("w")), "center").where("v < w")
-    return wedge.join(edges.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_anti").select("center", "v", "w")
+    return wedges(edges).join(edges.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_anti").select("center", "v", "w")
 
 
 def p3_per_pair(edges: DataFrame) -> DataFrame:
-    """(u, v, p3): conflict triples that hold each pair."""
-    pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    return (
-        p3_list(edges).select(F.explode(F.array(pair("center", "v"), pair("center", "w"), pair("v", "w"))).alias("p"))
-        .groupBy("p.u", "p.v").agg(F.count("*").alias("p3"))
-    )
+    """(u, v, p3): conflict triples that hold each pair.
+
+    An edge is in one with every neighbour of one end only, another pair with every common one.
+    """
+    around = F.when(F.col("edge") == 1, F.col("du") + F.col("dv") - 2 - 2 * F.col("common")).otherwise(F.col("common"))
+    return near_pairs(edges).select("u", "v", around.cast("long").alias("p3")).where("p3 > 0")
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
     """One row: triangles and conflict triples."""
-    d = degrees(edges)
-    ranked = edges.join(d.select(F.col("node").alias("u"), F.col("degree").alias("du")), "u").join(d.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v")
-    first = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    out = ranked.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("b"))
-    wedge = out.select("a", F.col("b").alias("x")).join(out.select("a", F.col("b").alias("y")), "a").where("x < y")
-    closed = wedge.join(edges.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"]).agg(F.count("*").alias("triangles"))
-    pairs = d.agg(F.coalesce(F.sum(F.col("degree") * (F.col("degree") - 1) / 2), F.lit(0)).cast("long").alias("wedges"))
+    closed = triangles(edges).agg(F.count("*").alias("triangles"))
+    pairs = degrees(edges).agg(F.coalesce(F.sum(F.col("degree") * (F.col("degree") - 1) / 2), F.lit(0)).cast("long").alias("wedges"))
     return closed.join(pairs).select("triangles", (F.col("wedges") - 3 * F.col("triangles")).alias("p3"))
 
 
+def close_edges(edges: DataFrame) -> DataFrame:
+    """(u, v, common, du, dv) of every edge."""
+    d = degrees(edges)
+    return edge_triangles(edges).join(d.select(F.col("node").alias("u"), F.col("degree").alias("du")), "u").join(d.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v").select("u", "v", "common", "du", "dv")
+
+
 def near_pairs(edges: DataFrame) -> DataFrame:
     """(u, v, edge, common, du, dv) for adjacent pairs and pairs with a shared neighbour."""
     d = degrees(edges)
@@ -94,16 +94,16 @@ def twins(edges: DataFrame) -> DataFrame:
 
 def heavy_edges(edges: DataFrame) -> DataFrame:
     """(u, v): adjacent pairs that may be merged because standing alone costs no more than splitting."""
-    return near_pairs(edges).where("edge = 1 and du + dv - 2 <= 1 + common").select("u", "v")
-
+    return close_edges(edges).where("du + dv - 2 <= 1 + common").select("u", "v")
 
-def heavy_edges_single(edges: DataFrame) -> DataFrame:
-    """(u, v): adjacent pairs where one end's other neighbours weigh at most the edge, in a ±1 graph.
 
-    The sum of |s(v, w)| over all other w is at most 1 only in graphs of up to 3 nodes.
-    """
-    n = ends(edges).agg(F.count("*").alias("n"))
-    return edges.join(n).where("n - 2 <= 1").select("u", "v")
+def heavy_edges_single(pairs: DataFrame) -> DataFrame:
+    """(u, v): positive pairs of ``pairs(u, v, s)`` that weigh at least as much as all other weights at
+    one end together, in absolute value. Pairs that are not listed weigh nothing."""
+    both = pairs.select("u", "s").unionByName(pairs.select(F.col("v").alias("u"), "s"))
+    total = both.groupBy("u").agg(F.sum(F.abs("s")).alias("t"))
+    held = pairs.where("s > 0").join(total.withColumnRenamed("t", "tu"), "u").join(total.select(F.col("u").alias("v"), F.col("t").alias("tv")), "v")
+    return held.where("2 * s >= least(tu, tv)").select("u", "v")
 
 
 def heavy_non_edges(edges: DataFrame) -> DataFrame:
@@ -119,8 +119,7 @@ def kernel_candidates(edges: DataFrame) -> DataFrame:
     a = arcs(edges)
     d = degrees(edges)
     # edges among the neighbours of a node are its triangles
-    common = common_neighbors(edges).join(edges, ["u", "v"])
-    tri = arcs(common.select("u", "v")).join(common.select("u", "v", "common"), F.least("src", "dst").eqNullSafe(F.col("u")) & F.greatest("src", "dst").eqNullSafe(F.col("v"))).groupBy(F.col("src").alias("node")).agg((F.sum("common") / 2).cast("long").alias("inside"))
+    tri = triangles(edges).select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count("*").alias("inside"))
     spread = a.join(d.select(F.col("node").alias("dst"), "degree"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("degree").alias("around"))
     size = F.col("degree") + 1
     inner = F.col("degree") + F.coalesce("inside", F.lit(0))
@@ -133,7 +132,7 @@ def kernel_candidates(edges: DataFrame) -> DataFrame:
 
 def similarity(edges: DataFrame) -> DataFrame:
     """(u, v, score) of adjacent pairs: 1 + common neighbours - conflict triples that hold the pair."""
-    return near_pairs(edges).where("edge = 1").select("u", "v", (1 + F.col("common") - (F.col("du") + F.col("dv") - 2 - 2 * F.col("common"))).cast("long").alias("score"))
+    return close_edges(edges).select("u", "v", (1 + F.col("common") - (F.col("du") + F.col("dv") - 2 - 2 * F.col("common"))).cast("long").alias("score"))
 
 
 def top_similar(edges: DataFrame, k: int = 10) -> DataFrame:
@@ -143,7 +142,8 @@ def top_similar(edges: DataFrame, k: int = 10) -> DataFrame:
 
 def branching_edges(edges: DataFrame, comps: DataFrame) -> DataFrame:
     """(comp, u, v, p3): for each component the edge in most conflict triples, first in order on ties."""
-    held = edges.join(p3_per_pair(edges), ["u", "v"]).join(comps.select(F.col("node").alias("u"), "comp"), "u")
+    counted = close_edges(edges).select("u", "v", (F.col("du") + F.col("dv") - 2 - 2 * F.col("common")).cast("long").alias("p3")).where("p3 > 0")
+    held = counted.join(comps.select(F.col("node").alias("u"), "comp"), "u")
     best = held.groupBy("comp").agg(F.min_by(F.struct("u", "v", "p3"), F.struct(-F.col("p3"), "u", "v")).alias("b"))
     return best.select("comp", "b.u", "b.v", "b.p3")
 

@@ -1,11 +1,13 @@
 """Evolutionary search on one component, and the portfolio that runs it.
 
-All limits are steps, not seconds, so a seed gives the same result on every machine; an
-optional deadline only stops early.
+Steps decide, so a seed gives the same result on every machine as long as no deadline is met;
+a deadline only stops early.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import random
 import time
 from collections import deque
@@ -19,6 +21,8 @@ from knotwork.plans.instance import Instance
 from knotwork.plans.refine import State
 from knotwork.sources.config import Settings
 
+log = logging.getLogger("knotwork")
+
 
 class Mutation(Enum):
     """Kinds of mutation, in the order of the bits that enable them."""
@@ -87,7 +91,7 @@ def improve(st: State, cfg: Settings, rng: random.Random, rounds: int, first: bo
     """Label propagation, then swapping, removing and splitting as the situation asks."""
     total = refine.label_propagation(st, rounds, rng, "random" if first or cfg.evo_random_order else cfg.lp_order, cfg.lp_window, cfg.lp_least, target, cfg.lp_target_distance)
     if special or first:
-        for _ in range(cfg.swap_rounds):
+        for _ in range(cfg.first_swap_rounds if first else cfg.swap_rounds):
             d = refine.swap_nodes(st, rng, cfg.swap_largest)
             total += d
             if d == 0:
@@ -191,53 +195,78 @@ def localized_step(st: State, cfg: Settings, rng: random.Random) -> int:
     return delta
 
 
-def portfolio(x: Instance, cfg: Settings, seed: int = 1, steps: int = 60, deadline: float | None = None) -> tuple[np.ndarray, int, list[int]]:
+def is_special(x: Instance, label: np.ndarray, edges: int = 1_000_000) -> bool:
+    """Large and sparse, with tiny clusters: degree below 20, more than ``edges`` edges, and cluster
+    sizes of at most 2 at the upper quartile, 4 at the last percentile and 6 at most."""
+    degree = (x.s > 0).sum(1)
+    if degree.max(initial=0) >= 20 or degree.sum() // 2 <= edges:
+        return False
+    size = np.sort(np.unique(label, return_counts=True)[1])
+    at = lambda q: size[max(0, math.ceil(q * len(size)) - 1)]
+    return bool(at(0.75) <= 2 and at(0.99) <= 4 and size[-1] <= 6)
+
+
+def portfolio(x: Instance, cfg: Settings, seed: int = 1, deadline: float | None = None, label: np.ndarray | None = None, lower: int = 0) -> tuple[np.ndarray, int, list[int]]:
     """Bursts of both evolutions; the one that gained more per step runs next.
 
-    Returns labels, cost, and the best cost after each burst. Ties go to the pool three times
-    in four. An idle strategy is tried again after seven bursts if it gained little last time.
+    Returns labels, cost, and the best cost after each burst. The first state is the best of
+    ``first_tries`` starts, or ``label``. Bursts go on until both evolutions have had their steps,
+    the deadline passes or the cost meets ``lower``. Ties go to the pool three times in four. A
+    strategy that has been idle for seven bursts is tried again if it gained little last time.
     """
     rng = random.Random(seed)
     evo = Evolution(x, cfg, rng)
+    evo.special = label is not None and is_special(x, label, cfg.special_edges)
     best = None
-    for _ in range(max(1, cfg.first_tries)):
+    late = lambda: deadline is not None and time.monotonic() > deadline
+    until = time.monotonic() + cfg.first_seconds
+    for _ in range(max(1, cfg.first_tries if label is None else 1)):
         evo.pool.clear()
-        evo.start()
-        cost, label = min(evo.pool, key=lambda m: m[0])
+        evo.start(label)
+        cost, found = min(evo.pool, key=lambda m: m[0])
         if best is None or cost < best[0]:
-            best = (cost, label.copy())
-        if best[0] == 0:
-            return best[1], 0, [0]
+            best = (cost, found.copy())
+        if best[0] <= lower or time.monotonic() > until or late():
+            break
     evo.pool[0] = [best[0], best[1].copy()]
+    evo.special = is_special(x, best[1], cfg.special_edges)
     history, rate, idle = [best[0]], {"evolution": None, "localized": None}, {"evolution": 0, "localized": 0}
-    burst = max(1, steps // 6)
-    for _ in range(6):
-        if deadline is not None and time.monotonic() > deadline:
+    left = {"evolution": cfg.evo_steps if cfg.use_evolution else 0, "localized": cfg.local_steps if cfg.use_localized else 0}
+    size = {"evolution": cfg.burst, "localized": cfg.burst * cfg.local_per_step}
+    ends = time.monotonic() + cfg.evo_seconds
+    while best[0] > lower and not late():
+        if time.monotonic() > ends:
+            left["evolution"] = 0
+        able = [k for k in rate if left[k] > 0]
+        if not able:
             break
-        unknown = [k for k, r in rate.items() if r is None]
-        stale = [k for k in rate if idle[k] >= 7 and rate[k] is not None and rate[k] < 0.05]
+        unknown = [k for k in able if rate[k] is None]
+        stale = [k for k in able if idle[k] >= 7 and rate[k] is not None and rate[k] < 0.05]
         if unknown or stale:
             pick = (unknown or stale)[0]
-        elif rate["evolution"] == rate["localized"]:
+        elif len(able) == 2 and rate["evolution"] == rate["localized"]:
             pick = "evolution" if rng.random() < 0.75 else "localized"
         else:
-            pick = max(rate, key=rate.get)
-        before = best[0]
+            pick = max(able, key=rate.get)
+        before, steps = best[0], min(size[pick], left[pick])
+        left[pick] -= steps
         if pick == "evolution":
-            for _ in range(burst):
+            for _ in range(steps):
                 evo.step()
-            cost, label = min(evo.pool, key=lambda m: m[0])
+            cost, found = min(evo.pool, key=lambda m: m[0])
         else:
             st = State(x, best[1])
-            for _ in range(burst * cfg.local_per_step):
+            for _ in range(steps):
                 localized_step(st, cfg, rng)
-            cost, label = st.cost(), st.label
+            cost, found = st.cost(), st.label
             if cost <= best[0]:
-                evo.pool[0] = [cost, label.copy()]
+                evo.pool[0] = [cost, found.copy()]
         if cost < best[0]:
-            best = (cost, label.copy())
-        rate[pick] = (before - best[0]) / burst
+            best = (cost, found.copy())
+        rate[pick] = (before - best[0]) / max(1, steps)
         for k in idle:
             idle[k] = 0 if k == pick else idle[k] + 1
         history.append(best[0])
+        if cfg.evo_detailed:
+            log.info("%s %d steps: %d", pick, steps, best[0])
     return best[1], best[0], history

@@ -69,6 +69,20 @@ class State:
         c = int(rng.choice(ties.tolist()) if rng else ties[0])
         return c, self.delta(u, c)
 
+    def best_many(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``best`` of many nodes at once, without randomness."""
+        rows, own = np.arange(len(nodes)), self.label[nodes]
+        gain = self.into[nodes].astype(float)
+        gain[:, self.size == 0] = -np.inf
+        inside = gain[rows, own]
+        gain[rows, own] = -np.inf
+        if (e := self.empty()) is not None:
+            gain[self.size[own] > 1, e] = 0
+        to = gain.argmax(1)
+        top = gain[rows, to]
+        stay = top == -np.inf
+        return np.where(stay, own, to), np.where(stay, 0, inside - np.where(stay, 0, top)).astype(np.int64)
+
     def restore(self, label: np.ndarray) -> None:
         """Go back to a saved labelling."""
         for u in np.flatnonzero(self.label != label):
@@ -113,17 +127,32 @@ def label_propagation(st: State, rounds: int, rng: random.Random, order: str = "
     return total
 
 
-def boundary_fm(st: State, rng: random.Random, fraction: float = 0.1, least: int = 50) -> int:
-    """One pass of moves by best change first, worsening ones too; keeps the best prefix."""
-    heap = []
-    for u in range(st.n):
-        c, d = st.best(u)
-        heapq.heappush(heap, (d, u, c))
-    moved, log, total, best, keep, idle = set(), [], 0, 0, 0, 0
-    most = max(int(fraction * st.n), least)
+def boundary_fm(st: State, rng: random.Random, fraction: float = 0.1, least: int = 50, passes: int = 10, window: int = 5, gain: int = 5) -> int:
+    """Passes of FM; ends after ``passes``, with a pass that gains nothing, or when the last
+    ``window`` passes gained less than ``gain`` together."""
+    total, recent = 0, deque(maxlen=window)
+    for _ in range(passes):
+        now = _fm_pass(st, max(int(fraction * st.n), least))
+        total += now
+        recent.append(-now)
+        if now == 0 or (len(recent) == window and sum(recent) < gain):
+            break
+    return total
+
+
+def _fm_pass(st: State, most: int) -> int:
+    """Every node moves once at most, best change first, worsening ones too; keeps the best prefix.
+
+    A move changes the gains of its neighbours and of both clusters' members only; theirs are
+    renewed in the queue, and an entry that has become worse is renewed when it is popped.
+    """
+    moved, log, total, best, keep, idle = np.zeros(st.n, bool), [], 0, 0, 0, 0
+    to, change = st.best_many(np.arange(st.n))
+    heap = list(zip(change.tolist(), range(st.n), to.tolist()))
+    heapq.heapify(heap)
     while heap and idle < most:
         d, u, c = heapq.heappop(heap)
-        if u in moved:
+        if moved[u]:
             continue
         c2, d2 = st.best(u)
         if c2 == st.label[u]:
@@ -131,12 +160,18 @@ def boundary_fm(st: State, rng: random.Random, fraction: float = 0.1, least: int
         if d2 > d:
             heapq.heappush(heap, (d2, u, c2))
             continue
-        log.append((u, int(st.label[u])))
+        old = int(st.label[u])
+        log.append((u, old))
         total += st.move(u, c2)
-        moved.add(u)
+        moved[u] = True
         idle += 1
         if total < best:
             best, keep, idle = total, len(log), 0
+        near = np.flatnonzero(~moved & ((st.s[u] > 0) | (st.label == old) | (st.label == c2)))
+        if len(near):
+            to, change = st.best_many(near)
+            for entry in zip(change.tolist(), near.tolist(), to.tolist()):
+                heapq.heappush(heap, entry)
     for u, old in reversed(log[keep:]):
         st.move(u, old)
     return best
@@ -261,10 +296,12 @@ def swap_nodes(st: State, rng: random.Random, most: int = 32) -> int:
     return total
 
 
-def best_of_runs(x: Instance, runs: int = 20, rounds: int = 500, seed: int = 1) -> tuple[np.ndarray, int]:
-    """Best labels and cost of several shuffled label propagations from singletons."""
+def best_of_runs(x: Instance, runs: int = 200, rounds: int = 500, seed: int = 1, lower: int = 0) -> tuple[np.ndarray, int]:
+    """Best labels and cost of several shuffled label propagations from singletons; stops at ``lower``."""
     best, cost = np.arange(len(x)), State(x).cost()
     for r in range(runs):
+        if cost <= lower:
+            break
         st = State(x)
         label_propagation(st, rounds, random.Random(seed * 1000 + r), "random")
         now = st.cost()

@@ -15,6 +15,10 @@ from knotwork.plans.refine import best_of_runs
 
 #: Components up to this size are solved by the subset dynamic program.
 TABLE_NODES = 11
+#: Shuffled label propagations for the upper bound, and their rounds.
+UPPER_RUNS, UPPER_ROUNDS = 200, 500
+#: Effort for certificates of clusters, which are a shortcut only.
+CERTIFICATE_NODES, CERTIFICATE_SECONDS = 20_000, 5.0
 
 
 @dataclass
@@ -71,13 +75,13 @@ def subset_table(x: Instance) -> Solution:
 class Search:
     """Branch and bound on one instance."""
 
-    def __init__(self, nodes: int = 20_000, seconds: float | None = None):
+    def __init__(self, nodes: int | None = None, seconds: float | None = None):
         self.nodes, self.until = nodes, None if seconds is None else time.monotonic() + seconds
         self.counters: Counter = Counter()
 
     def _tick(self) -> None:
         self.counters["nodes"] += 1
-        if self.counters["nodes"] > self.nodes or (self.until and time.monotonic() > self.until):
+        if (self.nodes is not None and self.counters["nodes"] > self.nodes) or (self.until and time.monotonic() > self.until):
             raise OutOfEffort
 
     def within(self, x: Instance, budget: int) -> Instance | None:
@@ -217,14 +221,19 @@ def cluster_certificates(x: Instance, label: np.ndarray, search: Search, most: i
     return out
 
 
-def solve(x: Instance, limit: int | None = None, nodes: int = 20_000, seconds: float | None = None, seed: int = 1) -> Solution:
-    """Solve one instance; ``worked`` is false if effort or budget ran out, with the best found so far."""
+def solve(x: Instance, limit: int | None = None, nodes: int | None = None, seconds: float | None = None, seed: int = 1, table: int | None = None) -> Solution:
+    """Solve one instance; ``worked`` is false if effort or budget ran out, with the best found so far.
+
+    Without ``nodes`` and ``seconds`` the search goes on until it has a proof. Instances up to
+    ``table`` nodes, and what reductions leave of that size, go to the subset dynamic program.
+    """
     counters: Counter = Counter()
-    if len(x) <= TABLE_NODES:
+    table = TABLE_NODES if table is None else table
+    if len(x) <= table:
         s = subset_table(x)
         s.worked &= limit is None or s.cost <= limit
         return s
-    upper_label, upper = best_of_runs(x, runs=20, rounds=200, seed=seed)
+    upper_label, upper = best_of_runs(x, runs=UPPER_RUNS, rounds=UPPER_ROUNDS, seed=seed, lower=bounds.lower_bound(x))
     upper += x.spent
     found = [sorted(sum((x.members[i] for i in np.flatnonzero(upper_label == c)), [])) for c in np.unique(upper_label)]
     fallback = Solution(False, upper, sorted(found), 0, counters)
@@ -232,7 +241,7 @@ def solve(x: Instance, limit: int | None = None, nodes: int = 20_000, seconds: f
     search.counters = counters
     spent, cliques, lower, proved = 0, [], 0, True
     try:
-        frozen = cluster_certificates(x, upper_label, Search(nodes // 10 + 1, None if seconds is None else seconds / 4)) if x.unit else []
+        frozen = cluster_certificates(x, upper_label, Search(CERTIFICATE_NODES if nodes is None else nodes // 10 + 1, CERTIFICATE_SECONDS if seconds is None else seconds / 4)) if x.unit else []
         done = [i for c in frozen for i in c]
         if frozen:
             counters["cluster_certificates"] += len(frozen)
@@ -256,7 +265,7 @@ def solve(x: Instance, limit: int | None = None, nodes: int = 20_000, seconds: f
                 p.spent = 0
                 lower += bounds.lower_bound(p)
             for p in parts:
-                if len(p) <= TABLE_NODES:
+                if len(p) <= table:
                     s = subset_table(p)
                     if not s.worked:
                         raise Infeasible("a component has no finite solution")

@@ -8,8 +8,10 @@ whatever their size. Heuristic replicas are rows too: every component takes its
 
 from __future__ import annotations
 
+import logging
 import random
 import time
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -18,23 +20,34 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import cost, moves
 from knotwork.operators.components import connected_components
+from knotwork.operators.measure import p3_packing
 from knotwork.plans import bounds, refine, search
 from knotwork.plans.evolve import portfolio
 from knotwork.plans.instance import Instance
 from knotwork.sources.config import Settings
 from knotwork.storage import cut
 
+log = logging.getLogger("knotwork")
+
 #: Largest component that a kernel takes: a dense matrix of that many nodes.
 KERNEL_NODES = 600
-#: Largest component that is searched for a proof; larger ones get a heuristic and a bound.
-EXACT_NODES = 40
 
 
-def component_edges(edges: DataFrame, comps: DataFrame, most: int = KERNEL_NODES) -> tuple[DataFrame, DataFrame]:
-    """(comp, u, v) of components up to ``most`` nodes, and the (comp) of larger ones."""
+def component_edges(edges: DataFrame, comps: DataFrame, most: int = KERNEL_NODES, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(comp, u, v) of components up to ``most`` nodes, and the (comp) of larger ones.
+
+    With ``start(node, cluster)`` also the clusters ``su`` and ``sv`` of the ends; a node that it
+    leaves out starts alone.
+    """
     sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
-    with_comp = edges.join(comps.select(F.col("node").alias("u"), "comp"), "u")
-    return with_comp.join(sizes.where(F.col("n") <= most).select("comp"), "comp", "left_semi").select("comp", "u", "v"), sizes.where(F.col("n") > most).select("comp")
+    with_comp, cols = edges.join(comps.select(F.col("node").alias("u"), "comp"), "u"), ["comp", "u", "v"]
+    if start is not None:
+        for end in "uv":
+            own = start.select(F.col("node").alias(end), F.col("cluster").alias(f"s{end}"))
+            # clusters are told apart from nodes that are alone by their sign
+            with_comp = with_comp.join(own, end, "left").withColumn(f"s{end}", F.coalesce(f"s{end}", -1 - F.col(end)))
+        cols += ["su", "sv"]
+    return with_comp.join(sizes.where(F.col("n") <= most).select("comp"), "comp", "left_semi").select(*cols), sizes.where(F.col("n") > most).select("comp")
 
 
 def local_instance(pdf: pd.DataFrame) -> tuple[Instance, np.ndarray]:
@@ -55,12 +68,14 @@ def _rows(comp: int, ids: np.ndarray, label: np.ndarray, value: int, lower: int,
     return pd.DataFrame({"comp": comp, "node": ids, "cluster": named, "cost": value, "lower": lower, "proved": proved, "counters": counters})
 
 
-def exact(edges: DataFrame, nodes_limit: int = 2000, seconds: float | None = None, seed: int = 1, most: int = KERNEL_NODES, searched: int = EXACT_NODES) -> DataFrame:
+def exact(edges: DataFrame, nodes_limit: int | None = None, seconds: float | None = None, seed: int = 1, most: int = KERNEL_NODES, table: int | None = None) -> DataFrame:
     """(comp, node, cluster, cost, lower, proved, counters): an optimal clustering of every component.
 
-    A component whose effort runs out, or with more than ``searched`` nodes, has its best known
-    clustering and a lower bound, and is proved only if both agree. Only nodes with an edge
-    appear.
+    Every component of up to ``most`` nodes is searched until it is proved, or for ``nodes_limit``
+    search nodes and ``seconds``, if given. One whose effort runs out has the better of the
+    search's and the portfolio's clustering and a lower bound, and is proved only if both agree.
+    Larger components, which no kernel takes, have label propagation and a packing bound. Only
+    nodes with an edge appear.
     """
     e = cut(edges)
     comps = cut(connected_components(e))
@@ -68,93 +83,145 @@ def exact(edges: DataFrame, nodes_limit: int = 2000, seconds: float | None = Non
 
     def run(key, pdf):
         x, ids = local_instance(pdf)
-        if len(ids) > searched:
-            label, value, _ = portfolio(x, Settings(), seed)
-            lower = bounds.lower_bound(x, seed=seed)
-            return _rows(int(key[0]), ids, label, value, lower, lower == value, "portfolio=1")
-        s = search.solve(x, nodes=nodes_limit, seconds=seconds, seed=seed)
-        label = np.zeros(len(ids), int)
+        s = search.solve(x, nodes=nodes_limit, seconds=seconds, seed=seed, table=table)
+        label, value, lower, proved = np.zeros(len(ids), int), s.cost, s.lower, s.worked
         for k, c in enumerate(s.cliques):
             label[c] = k
+        if not proved:
+            lower = max(lower, bounds.lower_bound(x, seed=seed))
+            found, cost_, _ = portfolio(x, Settings(first_tries=4, evo_steps=60, local_steps=1200), seed, None if seconds is None else time.monotonic() + seconds, label, lower)
+            if cost_ < value:
+                label, value = found, cost_
+            proved = lower == value
         counters = ",".join(f"{k}={v}" for k, v in sorted(s.counters.items()))
-        return _rows(int(key[0]), ids, label, s.cost, s.lower, s.worked, counters)
+        return _rows(int(key[0]), ids, label, value, lower, proved, counters)
 
     return small.groupBy("comp").applyInPandas(run, _RESULT).unionByName(_large(e, comps, large))
 
 
-def _large(edges: DataFrame, comps: DataFrame, large: DataFrame) -> DataFrame:
-    """Components beyond the kernels, by distributed label propagation."""
+def _large(edges: DataFrame, comps: DataFrame, large: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Components beyond the kernels, by distributed label propagation and a packing of triples."""
     empty = comps.limit(0).select("comp", "node", F.col("node").alias("cluster"), F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("lower"), F.lit(False).alias("proved"), F.lit("").alias("counters"))
     if large.limit(1).count() == 0:
         return empty
-    part = cut(edges.join(comps.join(large, "comp", "left_semi").select(F.col("node").alias("u"), "comp"), "u").select("u", "v", "comp"))
+    inside = comps.join(large, "comp", "left_semi")
+    part = cut(edges.join(inside.select(F.col("node").alias("u"), "comp"), "u").select("u", "v", "comp"))
     flat = part.select("u", "v")
-    assign, _ = moves.label_propagation(flat)
+    first = None if start is None else cut(inside.join(start, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster")))
+    assign, _ = moves.label_propagation(flat, first)
     table = cost.cluster_table(flat, assign).join(assign.join(comps, "node").groupBy("cluster").agg(F.min("comp").alias("comp")), "cluster")
     value = table.groupBy("comp").agg(F.sum(F.col("size") * (F.col("size") - 1) / 2 - F.col("internal") + F.col("external") / 2).cast("long").alias("cost"))
-    return assign.join(comps, "node").join(value, "comp").select("comp", "node", "cluster", "cost", F.lit(0).cast("long").alias("lower"), F.lit(False).alias("proved"), F.lit("label_propagation").alias("counters"))
+    packed = p3_packing(flat).join(comps.select(F.col("node").alias("center"), "comp"), "center").groupBy("comp").agg(F.count("*").alias("lower"))
+    both = value.join(packed, "comp", "left").select("comp", "cost", F.coalesce("lower", F.lit(0)).cast("long").alias("lower"))
+    return assign.join(comps, "node").join(both, "comp").select("comp", "node", "cluster", "cost", "lower", (F.col("cost") == F.col("lower")).alias("proved"), F.lit("label_propagation").alias("counters"))
 
 
 def lower_bounds(edges: DataFrame, most: int = KERNEL_NODES) -> DataFrame:
-    """(comp, p3, star, bipartite): packing bounds of every component a kernel takes."""
+    """(comp, p3, star, bipartite): packing bounds of every component.
+
+    A component that no kernel takes has the distributed packing of triples as all three.
+    """
     e = cut(edges)
-    small, _ = component_edges(e, cut(connected_components(e)), most)
+    comps = cut(connected_components(e))
+    small, large = component_edges(e, comps, most)
 
     def run(key, pdf):
         x, _ = local_instance(pdf)
         return pd.DataFrame({"comp": [key[0]], "p3": [bounds.p3_packing(x).value], "star": [bounds.star_packing(x).value], "bipartite": [bounds.bipartite_bound(x)]})
 
-    return small.groupBy("comp").applyInPandas(run, "comp long, p3 long, star long, bipartite long")
+    out = small.groupBy("comp").applyInPandas(run, "comp long, p3 long, star long, bipartite long")
+    if large.limit(1).count() == 0:
+        return out
+    inside = comps.join(large, "comp", "left_semi")
+    held = p3_packing(cut(e.join(inside.select(F.col("node").alias("u")), "u"))).join(inside.select(F.col("node").alias("center"), "comp"), "center").groupBy("comp").agg(F.count("*").alias("p3"))
+    return out.unionByName(large.join(held, "comp", "left").select("comp", *(F.coalesce("p3", F.lit(0)).alias(c) for c in ("p3", "star", "bipartite"))))
 
 
-def _replicated(edges: DataFrame, replicas: int, kernel, most: int) -> DataFrame:
-    """Run ``kernel(instance, seed) -> (label, cost)`` on every component and replica, keep the best of each component."""
+def _replicated(edges: DataFrame, replicas: int, kernel, most: int, start: DataFrame | None = None, first: int = 0) -> DataFrame:
+    """Run ``kernel(instance, seed, label) -> (label, cost, lower)`` on every component and replica,
+    numbered from ``first``; keep the best of each component. ``label`` is that of ``start`` or None."""
     e = cut(edges)
     comps = cut(connected_components(e))
-    small, large = component_edges(e, comps, most)
+    small, large = component_edges(e, comps, most, start)
+    started = start is not None
 
     def run(key, pdf):
         x, ids = local_instance(pdf)
-        label, value = kernel(x, int(key[0]) * 1009 + int(key[1]))
-        return _rows(int(key[0]), ids, label, value, 0, value == 0, "").assign(replica=int(key[1]))
-
-    rows = cut(small.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).groupBy("comp", "replica").applyInPandas(run, _RESULT + ", replica int"))
+        given = None
+        if started:
+            given = np.zeros(len(ids), np.int64)
+            for end in "uv":
+                given[np.searchsorted(ids, pdf[end].to_numpy())] = pdf[f"s{end}"].to_numpy()
+        label, value, lower = kernel(x, int(key[0]) * 1009 + int(key[1]), given)
+        return _rows(int(key[0]), ids, label, value, lower, value == lower, "").assign(replica=int(key[1]))
+
+    rows = cut(small.withColumn("replica", F.explode(F.sequence(F.lit(first), F.lit(first + replicas - 1)))).groupBy("comp", "replica").applyInPandas(run, _RESULT + ", replica int"))
     best = rows.groupBy("comp").agg(F.min_by("replica", F.struct("cost", "replica")).alias("replica"))
-    return rows.join(best, ["comp", "replica"], "left_semi").drop("replica").unionByName(_large(e, comps, large))
+    return rows.join(best, ["comp", "replica"], "left_semi").drop("replica").unionByName(_large(e, comps, large, start))
+
 
+def heuristic(edges: DataFrame, settings: Settings | None = None, replicas: int = 2, most: int = KERNEL_NODES, start: DataFrame | None = None, first: int = 0) -> DataFrame:
+    """Portfolio of evolutions on every component; the columns of ``exact``.
 
-def heuristic(edges: DataFrame, settings: Settings | None = None, replicas: int = 2, steps: int = 60, most: int = KERNEL_NODES) -> DataFrame:
-    """Portfolio of evolutions on every component; the columns of ``exact`` with lower 0."""
+    Every replica obeys the settings' steps and seconds, and ends at once where its cost meets
+    the component's packing bound. It starts from ``start(node, cluster)`` if given.
+    """
     given = settings or Settings()
 
-    def kernel(x: Instance, seed: int):
+    def kernel(x: Instance, seed: int, label):
         cfg = given.for_size(len(x), int((x.s > 0).sum() // 2))
+        lower = bounds.lower_bound(x)
         if not (cfg.use_evolution or cfg.use_localized):
-            st = refine.State(x)
+            st = refine.State(x, label)
             rng = random.Random(cfg.seed + seed)
             if cfg.use_lp:
-                refine.label_propagation(st, cfg.lp_rounds, rng, cfg.lp_order, cfg.lp_window, cfg.lp_least)
+                refine.label_propagation(st, cfg.lp_rounds, rng, "random" if cfg.lp_shuffle else cfg.lp_order, cfg.lp_window, cfg.lp_least)
             if cfg.use_boundary_fm:
-                refine.boundary_fm(st, rng, cfg.fm_fruitless)
+                refine.boundary_fm(st, rng, cfg.fm_fruitless, passes=cfg.fm_rounds, window=cfg.fm_window, gain=cfg.fm_least)
             if cfg.use_localized_fm:
                 refine.localized_fm(st, rng, cfg.fm_seeds)
-            return st.label, st.cost()
-        label, value, _ = portfolio(x, cfg, cfg.seed + seed, steps, time.monotonic() + cfg.seconds)
-        return label, value
+            return st.label, st.cost(), lower
+        label, value, _ = portfolio(x, cfg, cfg.seed + seed, time.monotonic() + cfg.seconds, label, lower)
+        return label, value, lower
+
+    return _replicated(edges, replicas, kernel, most, start, first)
 
-    return _replicated(edges, replicas, kernel, most)
+
+def restarts(edges: DataFrame, settings: Settings, most: int = KERNEL_NODES, start: DataFrame | None = None) -> tuple[DataFrame, list[int]]:
+    """The best of repeated runs of ``heuristic`` for every component, and the cost after each restart.
+
+    ``at_once`` restarts run side by side. It ends after ``repetitions`` of them, after
+    ``fruitless`` ones without a gain, after ``seconds``, or when every component is proved.
+    """
+    e, best, costs, done, idle, until = cut(edges), None, [], 0, 0, time.monotonic() + settings.seconds
+    while done < max(1, settings.repetitions):
+        now = min(settings.at_once, max(1, settings.repetitions) - done)
+        cfg = replace(settings, seconds=max(0.0, until - time.monotonic()))
+        got = cut(heuristic(e, cfg, now, most, start, done))
+        if best is not None:
+            both = best.withColumn("old", F.lit(0)).unionByName(got.withColumn("old", F.lit(1)))
+            better = both.groupBy("comp").agg(F.min_by("old", F.struct("cost", "old")).alias("old"))
+            got = cut(both.join(better, ["comp", "old"], "left_semi").drop("old"))
+        best, done = got, done + now
+        total, open_ = best.groupBy("comp").agg(F.first("cost").alias("cost"), F.first("proved").alias("proved")).agg(F.coalesce(F.sum("cost"), F.lit(0)), F.count_if(~F.col("proved"))).first()
+        idle = 0 if not costs or total < costs[-1] else idle + now
+        costs.append(int(total))
+        log.info("restart %d of %d: %d edits, %d components open", done, settings.repetitions, total, open_)
+        if idle >= settings.fruitless or not open_ or time.monotonic() > until:
+            break
+    return best, costs
 
 
 def refined(edges: DataFrame, step: str, replicas: int = 1, most: int = KERNEL_NODES) -> DataFrame:
     """One refiner after label propagation: boundary_fm, localized_fm, remove_clusters, split_clusters or swap_nodes."""
     refiner = {f.__name__: f for f in (refine.boundary_fm, refine.localized_fm, refine.remove_clusters, refine.split_clusters, refine.swap_nodes)}[step]
 
-    def kernel(x: Instance, seed: int):
+    def kernel(x: Instance, seed: int, label):
         rng = random.Random(seed)
-        st = refine.State(x)
+        st = refine.State(x, label)
         refine.label_propagation(st, 100, rng)
         refiner(st, rng)
-        return st.label, st.cost()
+        return st.label, st.cost(), 0
 
     return _replicated(edges, replicas, kernel, most)
 
@@ -171,6 +238,9 @@ class Clusterer:
     def heuristic(self, **options) -> DataFrame:
         return heuristic(self.edges, **options)
 
+    def restarts(self, settings: Settings, **options) -> DataFrame:
+        return restarts(self.edges, settings, **options)[0]
+
     def assignment(self, result: DataFrame) -> DataFrame:
         """assign(node, cluster), with isolated nodes of the graph by themselves."""
         own = result.select("node", "cluster")

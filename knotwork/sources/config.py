@@ -88,12 +88,24 @@ class Settings:
     fm_window: int = _option("r-fm-early-exit-window", 5, "passes of a window")
     fm_fruitless: float = _option("r-fm-fraction-fruitless-moves", 0.1, "fraction of nodes to move without a gain")
     fm_seeds: int = _option("r-fm-seed-nodes", 5, "seed nodes of localized FM")
-    first_tries: int = 1
+    #: Starts of the portfolio, at most, and their seconds; steps of a burst of the pool, and of
+    #: localized steps for each; edges of a special instance; replicas of a restart that run at once.
+    first_tries: int = 100
+    first_seconds: float = 10.0
+    burst: int = 10
     local_per_step: int = 20
+    special_edges: int = 1_000_000
+    at_once: int = 4
+
+    #: Options that are read and checked, and change nothing.
+    IDLE = ("lp_map_degree", "min_test", "max_test")
 
     def __post_init__(self):
         if self.lp_order not in ("none", "random", "degree_increasing", "degree_decreasing"):
             raise ValueError(f"unknown node order {self.lp_order!r}")
+        for name in self.IDLE:
+            if getattr(self, name) != type(self).__dataclass_fields__[name].default:
+                log.warning("option %s has no effect", type(self).__dataclass_fields__[name].metadata["option"])
         if len(self.mutations) != 5 or set(self.mutations) - {"0", "1"}:
             raise ValueError("enabled mutations are five bits")
 
@@ -116,7 +128,7 @@ class Settings:
         if m > 1_000_000:
             out.evo_seconds *= 1.5
         if n < 10_000:
-            out.local_steps = max(1, out.local_steps // 100)
+            out.local_steps = -(-out.local_steps // 100)
         if n > 50_000:
             out.evo_steps = out.local_steps = 2**62
         return out

@@ -62,9 +62,14 @@ def similarity_edges(vectors: DataFrame, id_col: str, vec_col: str, least: float
 
 def together_edges(rows: DataFrame, group_col: str, item_col: str, least: int) -> DataFrame:
     """Pairs of items that share at least ``least`` groups; groups are small (orders, baskets)."""
+    return together_weights(rows, group_col, item_col, least).select("u", "v")
+
+
+def together_weights(rows: DataFrame, group_col: str, item_col: str, least: int) -> DataFrame:
+    """(u, v, s) of the same pairs, with the number of groups that they share."""
     held = rows.select(F.col(group_col).alias("g"), F.col(item_col).cast("long").alias("i")).distinct()
     pairs = held.withColumnRenamed("i", "u").join(held.withColumnRenamed("i", "v"), "g").where("u < v")
-    return pairs.groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("u", "v")
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("s")).where(F.col("s") >= least)
 
 
 def emb_graph(spark: SparkSession, sf_dir: str, least: float = 0.4) -> DataFrame:
@@ -77,6 +82,11 @@ def part_graph(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
     return together_edges(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", least)
 
 
+def part_weights(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
+    """The same pairs, weighted by the orders that they share."""
+    return together_weights(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", least)
+
+
 def adjacency_edges(lists: DataFrame, id_col: str = "id", list_col: str = "neighbors") -> DataFrame:
     """Edges from adjacency lists."""
     return normalise(lists.select(F.col(id_col).alias("u"), F.explode(list_col).alias("v")))
@@ -84,5 +94,8 @@ def adjacency_edges(lists: DataFrame, id_col: str = "id", list_col: str = "neigh
 
 EMB_SQL = """e AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
   WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {least})"""
+#: The same pairs with the number of orders that they share.
+PART_WEIGHT_SQL = """e AS MATERIALIZED (SELECT a.p AS u, b.p AS v, count(*) AS s FROM (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) a
+  JOIN (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {least})"""
 PART_SQL = """e AS MATERIALIZED (SELECT a.p AS u, b.p AS v FROM (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) a
   JOIN (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {least})"""

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from knotwork.functions.ranks import ranked
 from knotwork.sources.derive import normalise
+from knotwork.storage import partitions
 
 
 class BadFile(ValueError):
@@ -45,28 +47,39 @@ def numbered_graph(folder: str, number: int) -> str:
     return f"{folder}/exact{number:03d}.gr"
 
 
+def _write_sorted(rows: DataFrame, path: str, value: str, *order: str) -> None:
+    """Write one column as text, in order over all parts: part files are ranges of the order."""
+    n = partitions(rows.sparkSession)
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(value).write.mode("overwrite").text(path)
+
+
 def write_gr(nodes: DataFrame, edges: DataFrame, path: str, word: str = "cep") -> None:
-    """Write a graph file: header first, then the edges in order."""
+    """Write a graph: header first, then the edges in order, in parts whose names are in order."""
     n, m = nodes.count(), edges.count()
     head = nodes.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"), F.lit(f"p {word} {n} {m}").alias("line"))
     body = edges.select(F.lit(1).alias("k"), "u", "v", F.concat_ws(" ", F.col("u") + 1, F.col("v") + 1).alias("line"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("k", "u", "v").select("line").write.mode("overwrite").text(path)
+    _write_sorted(head.unionByName(body), path, "line", "k", "u", "v")
 
 
 def read_solution(spark: SparkSession, path: str) -> DataFrame:
-    """assign(node, cluster) of a solution file: the line number is the node.
+    """assign(node, cluster) of a solution file, or a folder of parts in order of their names.
 
-    Numbers the lines of one file by reading it whole, since a split file has no line numbers.
+    The number of a line is its node. A part is read whole, since a split file has no line
+    numbers; parts are numbered through by their numbers of lines.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("node", "x"))
-    return whole.where("trim(x) <> ''").select(F.col("node").cast("long").alias("node"), F.trim("x").cast("long").alias("cluster"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim("value"), "\n").alias("x"))
+    parts = whole.where("size(x) > 1 or trim(x[0]) <> ''").withColumn("n", F.size("x"))
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    lines = parts.join(F.broadcast(starts), "file").select("start", F.posexplode("x").alias("at", "line"))
+    return lines.select((F.col("start") + F.col("at")).cast("long").alias("node"), F.trim("line").cast("long").alias("cluster")).where("cluster is not null")
 
 
 def write_solution(assign: DataFrame, path: str) -> None:
     """Inverse of ``read_solution``: one cluster id a line, in order of nodes from 0."""
     if not path:
         raise ValueError("no file name")
-    assign.coalesce(1).sortWithinPartitions("node").select(F.col("cluster").cast("string")).write.mode("overwrite").text(path)
+    _write_sorted(assign.select("node", F.col("cluster").cast("string").alias("line")), path, "line", "node")
 
 
 def read_coordinates(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
@@ -90,8 +103,8 @@ def edit_lines(edits: DataFrame) -> DataFrame:
 
 
 def write_edits(edits: DataFrame, path: str) -> None:
-    """Write the edit list as text."""
-    edit_lines(edits).coalesce(1).sortWithinPartitions("u", "v").select("line").write.mode("overwrite").text(path)
+    """Write the edit list as text, in order over all parts."""
+    _write_sorted(edit_lines(edits), path, "line", "u", "v")
 
 
 def result_line(graph: str, nodes: int, edges: int, seed: int, seconds: float, insertions: int, deletions: int, timings: dict[str, float] | None = None) -> str:
@@ -116,7 +129,8 @@ def cluster_color(i: int) -> str:
 
 def drawing_primitives(edges: DataFrame, assign: DataFrame, places: DataFrame) -> DataFrame:
     """(layer, x1, y1, x2, y2, cluster, pen): grey lines between clusters, coloured ones inside, then points."""
-    named = places.join(assign, "node").withColumn("rank", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("cluster")) - 1)
+    ranks = ranked(assign.select("cluster").distinct(), "cluster")
+    named = places.join(assign, "node").join(ranks, "cluster")
     a = named.select(F.col("node").alias("u"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("rank").alias("ru"))
     b = named.select(F.col("node").alias("v"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("rank").alias("rv"))
     same = F.col("ru") == F.col("rv")
@@ -127,10 +141,15 @@ def drawing_primitives(edges: DataFrame, assign: DataFrame, places: DataFrame) -
     return lines.unionByName(points)
 
 
-def ipe_page(primitives: DataFrame) -> str:
-    """The drawing as an Ipe document; a picture is small, so its primitives come to the driver."""
+def ipe_page(primitives: DataFrame, most: int = 200_000) -> str:
+    """The drawing as an Ipe document, built from rows that come to the driver one partition at a time.
+
+    For a picture only: raises above ``most`` primitives, which nobody could look at.
+    """
+    if primitives.limit(most + 1).count() > most:
+        raise ValueError(f"a picture of more than {most} primitives")
     out = ['<?xml version="1.0"?>', '<!DOCTYPE ipe SYSTEM "ipe.dtd">', '<ipe version="70206" creator="knotwork">', "<page>", '<layer name="edges"/>', '<layer name="nodes"/>']
-    for r in primitives.orderBy("layer", "x1", "y1", "x2", "y2").collect():
+    for r in primitives.orderBy("layer", "x1", "y1", "x2", "y2").toLocalIterator():
         color = "0.6 0.6 0.6" if r.cluster is None else cluster_color(int(r.cluster))
         if r.layer < 2:
             out.append(f'<path layer="edges" stroke="{color}" pen="{r.pen}">\n{r.x1:g} {r.y1:g} m\n{r.x2:g} {r.y2:g} l\n</path>')

@@ -6,12 +6,13 @@ import os
 import duckdb
 import pytest
 
-from knotwork import catalog
+from knotwork import catalog, catalog_solvers
 
 DATA = "/root/testdata/sf0.001"
 CHECKED = [
     "graph_edges_emb", "graph_edges_part", "degrees", "degree_stats", "p3_count_per_pair", "triangle_count", "icf_icp", "twins", "kernel_candidates", "components",
-    "cluster_table", "edit_list_modular", "move_ratings", "lp_round_1", "exact_cost_small",
+    "cluster_table", "edit_list_modular", "move_ratings", "lp_round_1", "contract_twins", "heavy_edge_single", "special_instance", "lp_converged", "p3_packing", "hop_distances", "scan_graph_file", "scan_solution", "edit_sink",
+    *catalog_solvers.oracle_sql(),
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -42,11 +43,12 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_known_optimum(spark):
-    r = catalog.queries()["exact_assignment"](spark, DATA)
-    costs = {x.comp: x.cost for x in r.select("comp", "cost").distinct().collect()}
+    costs = {x.comp: x.cost for x in catalog.queries()["exact_assignment"](spark, DATA).collect()}
     assert sum(costs.values()) == 15 and len(costs) == 46 and sum(c > 0 for c in costs.values()) == 13
-    assert catalog.queries()["exact_edits"](spark, DATA).count() == 15
+    assert catalog_solvers.minimum_edits(spark, DATA).count() == 15
+    dense = catalog.queries()["exact_cost_dense"](spark, DATA)
+    assert dense.agg({"cost": "sum"}).first()[0] == 53 and dense.where("not proved").count() == 0
 
 
 def test_every_oracle_has_a_query():
-    assert set(catalog.oracle_sql()) <= set(catalog.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())

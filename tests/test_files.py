@@ -78,6 +78,20 @@ def test_edge_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("deg").collect())) == [(1, 1), (2, 2), (3, 1)]
 
 
+def test_edge_stream_with_bounded_state(spark, tmp_path):
+    from knotwork.streaming.edges import degrees_by_window
+
+    rows = [(1, 2, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:05:00"), (2, 3, "2024-01-01 02:00:00"), (1, 2, "2024-01-03 00:00:00")]
+    df = spark.createDataFrame(rows, "u long, v long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    for k in range(2):
+        df.where(f"(at < '2024-01-02') = {k == 0}").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = degrees_by_window(edge_stream(spark, str(tmp_path / "in"), "1 hour"), "1 day")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("windows").trigger(availableNow=True).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.node, r.degree) for r in spark.table("windows").where("start < '2024-01-02'").collect()} <= {(1, 1), (2, 2), (3, 1)}
+
+
 @pytest.mark.parametrize("kind", ["exact", "heuristic"])
 def test_command_line(spark, tmp_path, capsys, kind):
     from knotwork.__main__ import main
@@ -88,5 +102,8 @@ def test_command_line(spark, tmp_path, capsys, kind):
     out = capsys.readouterr().out.splitlines()
     assert out[0] == "3 4" and "modifications=1" in out[1] and out[2].startswith(f"{path},1,")
     assert files.read_solution(spark, path + ".sol").count() == 6
+    if kind == "heuristic":
+        assert main([*args, "--read-from-file", "true", "--r-evo-steps", "3"], spark) == 1
+        capsys.readouterr()
     with pytest.raises(SystemExit):
         main(["other"], spark)

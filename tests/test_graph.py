@@ -1,5 +1,6 @@
 """DataFrame operators on hand-made graphs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from knotwork.functions.quartiles import statistics
@@ -7,6 +8,7 @@ from knotwork.operators import cost, graph, measure, moves
 from knotwork.operators.components import component_labels, connected_components
 from knotwork.plans import solve
 from knotwork.sources import derive
+from knotwork.sources.config import Settings
 
 
 def rows(df, *cols):
@@ -33,17 +35,76 @@ def test_optimum_and_edits(six, spark):
     assert rows(solve.lower_bounds(six), "p3", "star") == [(1, 1)]
 
 
-def test_forbidden_pairs_intersection(spark):
-    sets = {"u": range(8), "v": [0, 1, 2, 3, 8, 9, 10, 11], "fu": [0, 4, 8, 12], "fv": [2, 6, 10, 14]}
+def test_set_algebra(spark):
+    sets = {"u": range(3, 12), "v": [1, 4, 6, 9, 11, 15], "fu": [4, 5, 9, 20], "fv": [5, 6, 20, 21]}
     df = spark.createDataFrame([tuple(list(x) for x in sets.values())], "u array<long>, v array<long>, fu array<long>, fv array<long>")
     both = graph.set_operation("intersect", F.col("u"), F.col("v"))
     left = graph.set_operation("except", graph.set_operation("except", both, F.col("fu")), F.col("fv"))
-    assert df.select(left).first()[0] == [1, 3]
-    assert df.select(graph.set_operation("symmetric", F.col("fu"), F.col("fv"))).first()[0] == [0, 2, 4, 6, 8, 10, 12, 14]
-    assert df.select(graph.set_operation("union", F.col("fu"), F.col("fv"))).first()[0] == [0, 2, 4, 6, 8, 10, 12, 14]
+    assert df.select(left).first()[0] == [11]
+    assert df.select(graph.set_operation("symmetric", F.col("fu"), F.col("fv"))).first()[0] == [4, 6, 9, 21]
+    assert df.select(graph.set_operation("union", F.col("fu"), F.col("fv"))).first()[0] == [4, 5, 6, 9, 20, 21]
 
 
-def test_components(spark):
+def test_wedges_of_a_hub_in_parts(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    e = {(0, i) for i in range(1, 40)} | {tuple(sorted(rng.sample(range(1, 40), 2))) for _ in range(50)}
+    near = {u: {b if a == u else a for a, b in e if u in (a, b)} for u in range(40)}
+    df = spark.createDataFrame(sorted(e), "u long, v long")
+    want = sorted((c, v, w) for c in near for v, w in itertools.combinations(sorted(near[c]), 2))
+    for part in (1024, 7):
+        assert rows(graph.wedges(df, part)) == want
+    assert rows(graph.edge_triangles(df)) == sorted((u, v, len(near[u] & near[v])) for u, v in e)
+    conflicts = [(c, v, w) for c, v, w in want if (v, w) not in e]
+    assert rows(measure.p3_list(df)) == conflicts
+    count = {}
+    for c, v, w in conflicts:
+        for p in ((c, v), (c, w), (v, w)):
+            count[tuple(sorted(p))] = count.get(tuple(sorted(p)), 0) + 1
+    assert rows(measure.p3_per_pair(df)) == sorted((*p, n) for p, n in count.items())
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from knotwork.operators import skew
+
+    from knotwork.operators import components
+
+    monkeypatch.setattr(components, "ONE_TASK", 50)
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    monkeypatch.setattr(skew, "HOT_KEYS", 4)
+    e = [(i, 1000 + i % 3) for i in range(300)] + [(i, i + 1) for i in range(2000, 2040)] + [(1000, 1002)]
+    got = dict(rows(connected_components(spark.createDataFrame(e, "u long, v long").repartition(7))))
+    assert {got[i] for i in range(300) if i % 3 != 1} == {0} and {got[i] for i in range(1, 300, 3)} == {1} and got[2040] == 2000
+
+
+def test_hops_and_start_solutions(six, spark):
+    far = {(r.source, r.node): r.hops for r in graph.hop_distances(six, spark.range(6)).collect()}
+    assert far[0, 5] == 3 and far[0, 3] == 2 and far[4, 4] == 0 and len(far) == 36
+    assert graph.hop_distances(six, spark.range(1), 1).count() == 3
+    none = Settings(first_tries=1, evo_steps=0, local_steps=0, first_rounds=0, first_swap_rounds=0, remove_rounds=0, split_rounds=0)
+    start = spark.createDataFrame([(i, i // 3 + 7) for i in range(5)], "node long, cluster long")
+    assert {r.cost for r in solve.heuristic(six, none, 1, start=start).collect()} == {3}
+    best, costs = solve.restarts(six, Settings(first_tries=1, evo_steps=5, local_steps=20, repetitions=6, fruitless=2, at_once=2), start=start)
+    assert {r.cost for r in best.collect()} == {1} and costs[-1] == 1 and len(costs) <= 3
+
+
+def test_large_components_have_a_bound(six, spark):
+    r = solve.exact(six, most=3)
+    row = r.first()
+    assert r.count() == 6 and 0 < row.lower <= row.cost and row.counters == "label_propagation"
+    assert solve.lower_bounds(six, most=3).first().star == 1
+    chain = spark.range(9).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    row = solve.exact(chain, table=1).first()
+    assert row.proved and row.cost == 4
+
+
+@pytest.mark.parametrize("once", [1, 1 << 20])
+def test_components(spark, monkeypatch, once):
+    from knotwork.operators import components
+
+    monkeypatch.setattr(components, "ONE_TASK", once)
     path = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     extra = spark.createDataFrame([(100, 101), (7, 7), (None, 3)], "u long, v long")
     got = rows(connected_components(path.unionByName(extra)))
@@ -135,12 +196,7 @@ def test_induced_and_local(six, spark):
 
 
 def test_heuristic_is_between_bound_and_singletons(six):
-    r = solve.heuristic(six, replicas=2, steps=12)
+    r = solve.heuristic(six, Settings(first_tries=2, evo_steps=12, local_steps=60), replicas=2)
     assert r.agg(F.max("cost")).first()[0] == 1
     c = solve.Clusterer(six)
     assert c.edits(c.exact()).count() == 1
-
-
-def test_large_components_go_to_label_propagation(six):
-    r = solve.exact(six, most=3)
-    assert r.count() == 6 and r.where("proved").count() == 0

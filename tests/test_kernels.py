@@ -149,12 +149,18 @@ def test_evolution_and_portfolio():
     rng = random.Random(8)
     x = rand(rng, 10, 0.35)
     opt = search.subset_table(x).cost
-    label, value, history = portfolio(x, Settings(), seed=3, steps=30)
+    small = {"first_tries": 2, "evo_steps": 30, "local_steps": 300}
+    label, value, history = portfolio(x, Settings(**small), seed=3)
     assert x.cost_of(label) == value >= opt and history == sorted(history, reverse=True)
-    assert portfolio(x, Settings(), seed=3, steps=30)[1] == value
+    assert portfolio(x, Settings(**small), seed=3)[1] == value
     evo = Evolution(x, Settings(pool=3), rng)
     evo.start()
-    assert all(evo.step() >= 0 or True for _ in range(5)) and len(evo.pool) == 3
+    for _ in range(5):
+        worst = max(c for c, _ in evo.pool)
+        evo.step()
+        assert len(evo.pool) == 3 and max(c for c, _ in evo.pool) <= worst
+        assert all(x.cost_of(own) == c for c, own in evo.pool)
+    assert portfolio(x, Settings(**small), seed=3, label=label, lower=value)[2] == [value]
     st = State(x, label)
     before = st.cost()
     assert localized_step(st, Settings(), rng) + before == st.cost() <= before
