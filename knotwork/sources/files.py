@@ -67,7 +67,7 @@ def read_solution(spark: SparkSession, path: str) -> DataFrame:
     The number of a line is its node. A part is read whole, since a split file has no line
     numbers; parts are numbered through by their numbers of lines.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim("value"), "\n").alias("x"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), r"\s*\n").alias("x"))
     parts = whole.where("size(x) > 1 or trim(x[0]) <> ''").withColumn("n", F.size("x"))
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

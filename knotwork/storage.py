@@ -16,10 +16,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where none is configured."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    A session in one JVM that has none gets a local one; on a cluster that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if path is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file://{tempfile.gettempdir()}/knotwork-checkpoints-{os.getuid()}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
