@@ -7,16 +7,16 @@ words. Piece probabilities are trained by expectation maximisation, with forward
 backward sums giving the expected piece counts. Nothing of the vocabulary is trained.
 
 Words are runs of ASCII letters and all non-ASCII bytes, A-Z lower-cased, with the
-vocabulary's word-begin mark in front; every byte value is a piece too, so every word has a
-probability. Pieces longer than ``LONGEST`` bytes are left out. Words of a batch are
-computed once each, all together, position by position.
+vocabulary's word-begin mark in front; a run above ``UNIT`` bytes, as in scripts without
+spaces, is cut between characters into words of at most that many. Every byte value is a
+piece too, so every word has a probability. Words of a batch are computed once each, all
+together, position by position, ``TOGETHER`` languages at a time.
 
 The model is fitted on a bounded sample of at most ``SAMPLE`` labelled documents of each
-language, in order of a hash of their ids, for at most ``MAX_LANGUAGES`` languages (the
-most frequent). Null texts and texts without a letter get ``und`` and score 0, and so does
-every text if nothing could be learned. Repeated rows score alike, ties go to the first
-language by name. An empty table gives no rows. Only id, text and (for training) language
-are read.
+language, by a hash of their ids; all languages are learned. Null texts and texts without a
+letter get ``und`` and score 0, and so does every text if nothing could be learned. Repeated
+rows score alike, ties go to the first language by name. An empty table gives no rows. Only
+id, text and (for training) language are read.
 """
 
 from __future__ import annotations
@@ -30,26 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from knotwork.llm.textkernel import LETTER_SEP, mix, slices, utf8, word_hashes, words
+from knotwork.llm.textkernel import LETTER_SEP, mix, release, slices, utf8, word_hashes, words
 
 TOKENIZERS = os.environ.get("KNOTWORK_TOKENIZERS", "/opt/tokenizers")
-SAMPLE, MAX_LANGUAGES, LONGEST, ROUNDS = 400, 64, 16, 3
+SAMPLE, UNIT, TOGETHER, ROUNDS = 400, 48, 64, 3
 _MARK = "▁".encode()
 _BASE = np.uint64(0x100000001B3)
 
 
 def pieces(path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> list[bytes]:
-    """Pieces of a vocabulary file as bytes, single bytes first, at most ``LONGEST`` long."""
+    """Pieces of a vocabulary file as bytes, single bytes first; runs of marks never match a word."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return [bytes([b]) for b in range(256)] + sorted(p for p in found if 1 < len(p) <= LONGEST)
+    return [bytes([b]) for b in range(256)] + sorted(p for p in found if len(p) > 1 and p.rfind(_MARK) <= 0)
 
 
-def _powers() -> np.ndarray:
+def _powers(longest: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(LONGEST, _BASE)]), dtype=np.uint64)
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest, _BASE)]), dtype=np.uint64)
 
 
 def _piece_hash(p: bytes) -> int:
@@ -70,6 +70,7 @@ class Model:
 
     def __post_init__(self):
         keys = np.array([_piece_hash(x) for x in self.vocabulary], np.uint64)
+        self.lengths = sorted({len(x) for x in self.vocabulary})
         self.table = np.zeros(1 << 18, np.int32)  # slot -> piece + 1, linear probing
         self.keys = np.concatenate([[np.uint64(0)], keys])
         slot = (mix(keys) >> np.uint64(46)).astype(np.int64)
@@ -107,11 +108,19 @@ def forward(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model,
 
     With ``weights`` (words by languages) also returns the expected piece counts.
     """
-    n, langs = len(starts), model.p.shape[1]
-    logs, counts = np.zeros((n, langs)), np.zeros_like(model.q)
+    logs, counts = np.zeros((len(starts), model.p.shape[1])), np.zeros_like(model.q)
+    for a in range(0, model.p.shape[1], TOGETHER):
+        part = slice(a, a + TOGETHER)
+        logs[:, part], counts[:, part] = _forward(low, starts, ends, model, model.q[:, part], None if weights is None else weights[:, part])
+    return (logs, counts) if weights is not None else logs
+
+
+def _forward(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model, q: np.ndarray, weights: np.ndarray | None):
+    n, langs = len(starts), q.shape[1]
+    logs, counts = np.zeros((n, langs)), np.zeros_like(q)
     size = ends - starts
     order = np.argsort(size, kind="stable")
-    power = _powers()
+    power = _powers(model.lengths[-1])
     edge = 0
     while edge < n:
         # words of similar length together, and a bounded matrix
@@ -133,14 +142,16 @@ def forward(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model,
             live = np.flatnonzero(length >= j)
             total = np.zeros((len(live), langs))
             # the ring of earlier sums shares the newest scale
-            for k in range(1, min(j, LONGEST) + 1):
+            for k in model.lengths:
+                if k > j:
+                    break
                 piece = model.find(prefix[live, j] - prefix[live, j - k] * power[k])
                 hit = np.flatnonzero(piece)
                 if len(hit):
                     rows = live[hit]
                     if weights is not None:
                         found[j, k] = (rows, piece[hit])
-                    total[hit] += alpha[j - k, rows] * model.q[piece[hit]] * np.exp(scale[j - k, rows] - scale[j - 1, rows])
+                    total[hit] += alpha[j - k, rows] * q[piece[hit]] * np.exp(scale[j - k, rows] - scale[j - 1, rows])
             grow = np.maximum(total, 1e-300)
             scale[j, live] = scale[j - 1, live] + np.log(grow)
             alpha[j, live] = total / grow
@@ -151,20 +162,38 @@ def forward(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model,
         beta = np.full((width + 1, len(pick), langs), -np.inf)
         beta[length, np.arange(len(pick))] = 0.0
         for j in range(width, 0, -1):
-            for k in range(1, min(j, LONGEST) + 1):
+            for k in model.lengths:
                 if (j, k) in found:
                     rows, piece = found[j, k]
-                    step = np.log(np.maximum(model.q[piece], 1e-300)) + beta[j, rows]
+                    step = np.log(np.maximum(q[piece], 1e-300)) + beta[j, rows]
                     part = np.exp(np.minimum(scale[j - k, rows] + step - final[rows], 0.0)) * weights[pick[rows]]
                     beta[j - k, rows] = np.logaddexp(beta[j - k, rows], step)
                     for g in range(langs):
                         counts[:, g] += np.bincount(piece, part[:, g], minlength=len(counts))
-    return (logs, counts) if weights is not None else logs
+    return logs, counts
+
+
+def _units(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray):
+    """The same with words above ``UNIT`` bytes cut, before a byte that begins a character if there is one."""
+    long_ = np.flatnonzero(ends - starts > UNIT)
+    if not len(long_):
+        return low, starts, ends, per
+    cuts, owner = [], []
+    for i in long_.tolist():
+        at, end = int(starts[i]), int(ends[i])
+        while end - at > UNIT:
+            back = np.flatnonzero((low[at + 1 : at + UNIT + 1] & 0xC0) != 0x80)
+            at += int(back[-1]) + 1 if len(back) else UNIT
+            cuts.append(at)
+            owner.append(i)
+    cuts, owner = np.array(cuts, np.int64), np.array(owner, np.int64)
+    more = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(starts)))])
+    return low, np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts])), per + more[per]
 
 
 def _unique_words(data: np.ndarray, offsets: np.ndarray):
     """Lower-cased bytes, spans of the distinct words, each word's number, words' offsets."""
-    low, starts, ends, per = words(data, offsets, LETTER_SEP)
+    low, starts, ends, per = _units(*words(data, offsets, LETTER_SEP))
     _, first, inverse = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
     return low, starts[first], ends[first], inverse.ravel(), per
 
@@ -194,19 +223,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if train_rows is not None:
         rows = rows.where(train_rows)
     rows = rows.select(F.col(lang_col).cast("string").alias("g"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
-    names = [r.g for r in rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(MAX_LANGUAGES).collect()]
-    if not names:
+    many = rows.groupBy("g").agg(F.count("*").alias("many"))
+    # a quarter more than the sample by hash, so that ranks are of few rows
+    share = F.pmod("h", F.lit(1 << 53)) / F.lit(float(1 << 53))
+    light = rows.select("g", "h", "i").join(F.broadcast(many), "g").where(share * F.col("many") <= 1.25 * SAMPLE + 20)
+    rank = F.row_number().over(W.partitionBy("g").orderBy("h", "i"))
+    picked = light.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select(F.col("g").alias("g_"), F.col("i").alias("i_")).distinct()
+    # at most SAMPLE ids for each language
+    same = F.col("i").eqNullSafe(F.col("i_")) & (F.col("g") == F.col("g_"))
+    got = rows.join(F.broadcast(picked), same).select("g", "text").toPandas().sort_values(["g", "text"])
+    if not len(got):
         return None
-    # the id's hash range holds the sample many times over where documents are many; rank needs light rows only
-    light = rows.where(F.col("g").isin(names)).select("g", "h", "i")
-    parts = [light.where(F.col("g") == g).orderBy("h", "i").limit(SAMPLE) for g in names]
-    picked = parts[0]
-    for x in parts[1:]:
-        picked = picked.unionByName(x)
-    picked = picked.select(F.col("i").alias("i_")).distinct()
-    # at most SAMPLE ids for each of at most MAX_LANGUAGES languages
-    got = rows.where(F.col("g").isin(names)).join(F.broadcast(picked), F.col("i").eqNullSafe(F.col("i_"))).select("g", "text").toPandas().sort_values(["g", "text"])
-    return train(got["text"].tolist(), got["g"].tolist(), vocabulary or pieces())
+    model = train(got["text"].tolist(), got["g"].tolist(), vocabulary or pieces())
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
