@@ -33,6 +33,8 @@ from knotwork.llm.textkernel import _P, ALNUM_SEP, mix, slices, utf8, word_hashe
 from knotwork.storage import packed, unpacked
 
 GRAM, COMMON, FACTOR, HIGH, BLOCK, THRESHOLD = 3, 0.001, 8, 0.9, 500_000, 0.5
+#: Cells of a row of alignment tables, all pairs together.
+CELLS = 1 << 20
 
 
 def grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -151,8 +153,11 @@ def _choose(items: Items, held: np.ndarray, total: int) -> None:
     of = np.searchsorted(items.unique, items.key)
     frequency = held[of]
     # grams that no document holds say nothing about how common the others are
-    own = [frequency[(items.item == i) & (frequency > 0)] for i in range(len(items.ids))]
-    usual = np.array([np.quantile(x, HIGH, method="higher") if len(x) else 0 for x in own])
+    some = np.flatnonzero(frequency > 0)
+    some = some[np.lexsort((frequency[some], items.item[some]))]
+    edge = np.searchsorted(items.item[some], np.arange(len(items.ids) + 1))
+    last = np.minimum(edge[:-1] + np.ceil((np.diff(edge) - 1) * HIGH).astype(np.int64), np.maximum(edge[1:] - 1, 0))
+    usual = np.where(np.diff(edge) > 0, frequency[some][np.minimum(last, max(0, len(some) - 1))] if len(some) else 0, 0)
     items.keep((frequency <= COMMON * total) | (frequency <= FACTOR * usual[items.item]))
     items.prepare()
 
@@ -197,25 +202,39 @@ def _seeded(docs: DataFrame, items: Items, text_col: str, threshold: float) -> D
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > size[item[1:]])
         head = np.flatnonzero(new)
         tail = np.concatenate([head[1:], [len(doc)]])
-        for c in range(0, len(head), 256):
-            pick = slice(c, c + 256)
-            d, i = doc[head[pick]], item[head[pick]]
-            slack = size[i] // 4 + 4
-            lo = np.maximum(0, begin[head[pick]] - slack)
-            hi = np.minimum(per[d + 1] - per[d], begin[tail[pick] - 1] + size[i] + slack)
-            passages = [h[per[x] + a : per[x] + b] for x, a, b in zip(d, lo, hi)]
-            score, end = align(passages, [block.words[x] for x in i])
-            share = score / (2 * size[i])
+        d, i = doc[head], item[head]
+        slack = size[i] // 4 + 4
+        lo = np.maximum(0, begin[head] - slack)
+        hi = np.minimum(per[d + 1] - per[d], begin[tail - 1] + size[i] + slack)
+        seeds = tail - head
+        # an alignment of positive score spans less than three items, so a long passage is cut into
+        # windows of twice that, which overlap by it
+        span = 3 * size[i] + 8
+        many = np.maximum(1, -(-(hi - lo - span) // span))
+        d, i, seeds, span, stop = (np.repeat(x, many) for x in (d, i, seeds, span, hi))
+        lo = np.repeat(lo, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * span
+        hi = np.minimum(lo + 2 * span, stop)
+        # passages and items of similar sizes together, a bounded table at a time
+        order = np.lexsort((size[i], hi - lo))
+        a = 0
+        while a < len(order):
+            most = max(1, min(256, CELLS // int(hi[order[min(a + 255, len(order) - 1)]] - lo[order[min(a + 255, len(order) - 1)]] + 1)))
+            pick = order[a : a + most]
+            a += most
+            passages = [h[per[x] + u : per[x] + v] for x, u, v in zip(d[pick], lo[pick], hi[pick])]
+            score, end = align(passages, [block.words[x] for x in i[pick]])
+            share = score / (2 * size[i[pick]])
             good = np.flatnonzero(share >= threshold)
             if not len(good):
                 continue
             back = [passages[k][: end[k]][::-1] for k in good]
-            _, length = align(back, [block.words[i[k]][::-1] for k in good])
+            _, length = align(back, [block.words[x][::-1] for x in i[pick[good]]])
             for k, n in zip(good.tolist(), length.tolist()):
-                found = out.setdefault(base + int(d[k]), {})
-                row = (float(share[k]), int(tail[pick][k] - head[pick][k]), int(lo[k] + end[k] - n), int(lo[k] + end[k]))
-                if i[k] not in found or found[i[k]][0] < row[0]:
-                    found[i[k]] = row
+                at = pick[k]
+                held = out.setdefault(base + int(d[at]), {})
+                row = (float(share[k]), int(seeds[at]), int(lo[at] + end[k] - n), int(lo[at] + end[k]))
+                if i[at] not in held or (-held[i[at]][0], held[i[at]][2]) > (-row[0], row[2]):
+                    held[i[at]] = row
 
     def run(batches):
         block = Items.__new__(Items)
