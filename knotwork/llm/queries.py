@@ -10,8 +10,14 @@ from knotwork.storage import read_table
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few documents, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Arrow batches of at most 512 documents and 16 MB, so that a batch of long texts stays small.
+
+    Results are lazy, so the session keeps the setting; smaller limits of its own stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 16_000_000)):
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def remainder(n: int) -> Column:
