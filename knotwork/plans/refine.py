@@ -127,7 +127,7 @@ def label_propagation(st: State, rounds: int, rng: random.Random, order: str = "
     return total
 
 
-def boundary_fm(st: State, rng: random.Random, fraction: float = 0.1, least: int = 50, passes: int = 10, window: int = 5, gain: int = 5) -> int:
+def boundary_fm(st: State, rng: random.Random, fraction: float = 0.1, least: int = 10_000, passes: int = 10, window: int = 5, gain: int = 5) -> int:
     """Passes of FM; ends after ``passes``, with a pass that gains nothing, or when the last
     ``window`` passes gained less than ``gain`` together."""
     total, recent = 0, deque(maxlen=window)
