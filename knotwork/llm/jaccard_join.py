@@ -1,29 +1,31 @@
 """N-gram Jaccard self-join with signature trees.
 
 Two documents link when ``100 * |x & y| >= percent * |x | y|`` over their sets of word
-shingles. The plan has four steps, none of which holds a whole group in one task:
-
-1. *Sets.* Size and 128-bit fingerprint of every set; equal sets collapse to the
-   smallest doc_id, so thousands of copies cost one representative.
-2. *Routing, without loss.* A linked pair of sizes in neighbouring size classes differs
-   in at most k shingles. The hash space is cut into m > k equal bands; at least one band
-   then holds the same shingles in both sets. Each band's content is one key, and keys
-   travel packed, one row for each map task and bucket. Documents whose empty bands could
-   swallow the guarantee also send the keys of a prefix filter, which needs no bands.
-   Documents that share keys form coarse groups through star contractions.
-3. *Signature tree.* Each coarse group is cut, in order of size, into leaves of bounded
-   volume. Nodes carry the OR and the AND of their documents' token bitmaps and their
-   range of sizes; a dual traversal drops node pairs whose largest possible overlap is
-   too small, and node pairs that already belong to one component.
-4. *Exact check.* Surviving leaf pairs are joined exactly with an incidence product.
-
-The first round joins each leaf with itself, with its successor and with the first leaf
-of its group, which connects families of copies at linear cost; the second joins every
-other pair of leaves that the tree cannot rule out, so no link is lost.
+shingles. Equal sets are one node, named by a 64-bit hash of the set, so thousands of copies
+cost one node and different texts of one doc_id are different nodes.
+
+1. *Sketches.* One pass gives every row's set size, node and token bitmap (two to four bits a
+   shingle), and for each task the shingles that several of its sets hold.
+2. *Routing, without loss.* Linked sets share a shingle among the first ``n - ceil(p n) + 1``
+   of each in any fixed order of all shingles. The order puts widely shared shingles last, so
+   common passages route nothing unless a text has little else. Keys travel packed, one row
+   for each map task and bucket, and documents that share keys form coarse groups.
+3. *Signature trees, on bitmaps only.* A coarse group is cut into leaves by size class and
+   hash. Inner nodes carry the OR and the AND of their documents' bitmaps and their range of
+   sizes; the dual traversal goes down one level a round, as a join of node pairs with node
+   pages, and drops pairs whose largest possible overlap is too small. Leaf pairs that it
+   leaves are screened document by document. What survives forms tight groups.
+4. *Exact check.* Only documents of tight groups send their sets. Their leaves are joined with
+   an incidence product: first each leaf with itself and with the first leaf of its size class
+   and the next, which connects families at linear cost, then all other pairs that a second
+   traversal cannot rule out and whose documents are not in one component yet.
+
+No step holds a group of unbounded size in one task, and no link is lost.
 
 Nulls and texts without words have an empty set and link with nothing. Repeated rows of
-one doc_id yield one row each with the same values. An empty table gives no rows.
-Columns of the input other than the id and the text are never read.
+one doc_id yield one row each with the same values; rows without an id take part like all
+others. An empty table gives no rows. Columns of the input other than the id and the text are
+never read.
 """
 
 from __future__ import annotations
@@ -32,19 +34,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from knotwork.llm.sieve import SIEVE, sieve
 from knotwork.llm.textkernel import mix, release, shingle_sets
-from knotwork.operators.components import connected_components
-from knotwork.storage import cut
+from knotwork.operators.components import connected_components, local_forest
+from knotwork.operators.skew import lookup
+from knotwork.storage import Tables, cut, table
 
-#: Shingles in a leaf, and documents in one.
+#: Shingles in a leaf of sets, and documents in one.
 LEAF_VOLUME, LEAF_DOCS = 150_000, 256
-BITS = 1024
+#: Bits in a leaf of bitmaps, and the least that a document counts for.
+LEAF_BITS, LEAST_BITS = 1 << 21, 1 << 12
+#: Bits of an inner node at most, and children of one.
+NODE_BITS, FAN = 1024, 64
 FLUSH = 1 << 20
 #: Bytes of packed keys in a bucket, about. A bucket gives one edge for each of its documents at
 #: most, so buckets by volume repeat fewer edges than buckets by partitions.
 BUCKET_BYTES = 24_000_000
+#: Shingles that the order puts last, at most, and how many of them a task proposes. They only
+#: choose the order, which is valid whatever they are.
+COMMON, PROPOSED = 1 << 16, 1 << 14
 
 
 def size_classes(percent: int, top: int) -> list[int]:
@@ -55,88 +64,52 @@ def size_classes(percent: int, top: int) -> list[int]:
     return bounds
 
 
-class Router:
-    """The keys of one set; see step 2 above."""
-
-    def __init__(self, percent: int):
-        self.percent, self.bounds, self.edges = percent, size_classes(percent, 1 << 40), {}
-
-    def level(self, i: int) -> tuple[int, int]:
-        """Most differing shingles of a pair at level i (classes i and i + 1), and its bands."""
-        most = self.bounds[i + 1] - 1
-        k = (100 - self.percent) * most // self.percent
-        return k, k + 4 + k // 64
-
-    def keys(self, t: np.ndarray) -> np.ndarray:
-        """Keys of the sorted set ``t`` of uint64 shingle hashes."""
-        n = len(t)
-        c = int(np.searchsorted(self.bounds, n, side="right")) - 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(t ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
-        out, risky = [], False
-        for i in (c - 1, c):
-            if i < 0:
-                continue
-            k, m = self.level(i)
-            if k == 0:
-                continue
-            if m not in self.edges:
-                if len(self.edges) > 4000:
-                    self.edges.clear()
-                self.edges[m] = np.array([(j << 64) // m for j in range(1, m)], np.uint64)
-            at = np.concatenate([[0], np.searchsorted(t, self.edges[m]), [n]])
-            full = np.flatnonzero(at[1:] > at[:-1])
-            risky |= m - len(full) >= m - k
-            salt = mix(np.array([i + 1], np.uint64))[0]
-            out.append(mix((sums[at[full + 1]] - sums[at[full]]) ^ (full.astype(np.uint64) << np.uint64(40)) ^ salt))
-        if risky:
-            need = -(-self.percent * n // 100)
-            out.append(mix(t[: n - need + 1] ^ np.uint64(0x5EED)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def node_name(t: np.ndarray) -> int:
+    """The 64-bit name of a set."""
+    one, two = (np.sum(mix(t ^ np.uint64(x)), dtype=np.uint64) for x in (0x11, 0x2222))
+    return int(mix(np.array([one ^ (two << np.uint64(1)) ^ (two >> np.uint64(63)) ^ np.uint64(len(t))], np.uint64)).view(np.int64)[0])
 
 
-def bitmap(t: np.ndarray) -> np.ndarray:
-    """Bits of a set: every bit that is set in x but not in y is a shingle of x that y lacks.
-
-    Only a hash range that shrinks with the size's power of two is used, so that large
-    sets do not fill the bitmap; bitmaps of one power of two compare.
-    """
-    power = max(0, int(len(t)).bit_length() - 10)
-    t = t[: np.searchsorted(t, np.uint64((1 << 64 - power) - 1), side="right")]
-    bits = np.zeros(BITS, np.uint8)
-    bits[(mix(t) >> np.uint64(54)).astype(np.int64)] = 1
-    return np.packbits(bits)
-
+def prefix(t: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of the sorted set ``t``: rare ones by hash, then common ones by rank."""
+    n = len(t)
+    need = n - -(-percent * n // 100) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, t), len(common) - 1)
+        often = common[at] == t
+        if often.any():
+            rare = t[~often]
+            return rare[:need] if len(rare) >= need else np.concatenate([rare, t[often][np.argsort(rank[at[often]])][: need - len(rare)]])
+    return t[:need]
 
-def _ones(x: np.ndarray) -> np.ndarray:
-    return np.unpackbits(x, axis=-1).sum(axis=-1, dtype=np.int64)
 
+def bitmap_size(n):
+    """Bits of the bitmap of a set of ``n``: a power of two, at least twice the set."""
+    return np.maximum(128, 1 << (np.ceil(np.log2(np.maximum(2 * np.asarray(n), 1)))).astype(np.int64))
 
-def _sizes_fit(a_lo, a_hi, b_lo, b_hi, percent: int) -> bool:
-    return 100 * a_hi >= percent * b_lo and 100 * b_hi >= percent * a_lo
 
+def bitmap(t: np.ndarray) -> np.ndarray:
+    """Packed bits of a set: every bit set for x but not for y is a shingle of x that y lacks."""
+    size = int(bitmap_size(len(t)))
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(t) >> np.uint64(65 - size.bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits)
 
-class Forest:
-    """Union-find by smallest id, for one task."""
-
-    def __init__(self):
-        self.up = {}
 
-    def root(self, x):
-        r = x
-        while self.up.get(r, r) != r:
-            r = self.up[r]
-        while self.up.get(x, x) != r:
-            self.up[x], x = r, self.up[x]
-        return r
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """Unpacked bits (rows, any power of two) shortened to ``size`` by OR of neighbours."""
+    return bits if bits.shape[-1] <= size else bits.reshape(*bits.shape[:-1], size, -1).max(-1)
 
-    def join(self, x, y):
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
 
-    def edges(self):
-        pairs = [(self.root(x), x) for x in list(self.up)]
-        return [(r, x) for r, x in pairs if r != x]
+def _unpack_bits(packed: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Bitmaps of documents of ``sizes``, unpacked and folded to the shortest of them."""
+    many = bitmap_size(sizes)
+    flat = np.unpackbits(np.frombuffer(packed, np.uint8))
+    least = int(many.min())
+    if (many == least).all():
+        return flat.reshape(len(sizes), least)
+    at = np.cumsum(many) - many
+    return np.stack([fold(flat[a : a + m], least) for a, m in zip(at.tolist(), many.tolist())])
 
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: int):
@@ -169,41 +142,100 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: i
     return np.argwhere(hit)
 
 
-def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+def survivors(size_a, bits_a, size_b, bits_b, percent: int) -> np.ndarray:
+    """Document pairs of two leaves whose bitmaps allow a link.
+
+    At most ``|x| - |bits of x that y lacks|`` shingles of x can be in y, and likewise for y.
+    """
+    width = min(bits_a.shape[1], bits_b.shape[1])
+    x, y = (fold(b, width).astype(np.float32) for b in (bits_a, bits_b))
+    both = x @ y.T
+    most = np.minimum(size_a[:, None] - x.sum(1)[:, None] + both, size_b[None, :] - y.sum(1)[None, :] + both)
+    # an overlap of o links sizes x and y only if (100 + p) o >= p (x + y)
+    return (100 + percent) * most >= percent * (size_a[:, None] + size_b[None, :])
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
 
+def _edges(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    """A forest of some edges as a batch."""
+    none = np.zeros(0, np.int64)
+    p, q = local_forest(np.concatenate([none, *u]), np.concatenate([none, *v]))
+    return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["u", "v"])
 
-def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
-    """``(doc_id, n_shingles, f1, f2)``: size and fingerprint of every document's set."""
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """``(doc_id, n_shingles, node, klass, bits, common)``, a row for each document.
+
+    ``common`` is null there; rows with it hold packed shingles and in how many sets of a task
+    each is, and nothing else.
+    """
+    bounds = np.array(size_classes(percent, 1 << 40))
+    names = ["doc_id", "n_shingles", "node", "klass", "bits", "common"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches):
+        seen, held, tokens = set(), 0, []
+
+        def proposed():
+            token, many = np.unique(np.concatenate(tokens), return_counts=True)
+            top = np.argsort(-many, kind="stable")[:PROPOSED]
+            top = top[many[top] > 1]
+            return _batch([(None, None, None, None, None, np.stack([token[top], many[top].astype(np.uint64)]).tobytes())], names, kinds)
+
         for batch in batches:
-            n, f1, f2 = [], [], []
-            for t in shingle_sets(batch.column(1), k):
-                n.append(len(t))
-                f1.append(int(np.sum(mix(t ^ np.uint64(0x11)), dtype=np.uint64).view(np.int64)))
-                f2.append(int(np.sum(mix(t ^ np.uint64(0x2222)), dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())],
-                names=["doc_id", "n_shingles", "f1", "f2"],
-            )
+            rows = []
+            for doc, t in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k)):
+                if len(t) == 0:
+                    rows.append((doc, 0, None, None, None, None))
+                    continue
+                node = node_name(t)
+                rows.append((doc, len(t), node, int(np.searchsorted(bounds, len(t), side="right")) - 1, bitmap(t).tobytes(), None))
+                if node not in seen:
+                    seen.add(node)
+                    tokens.append(t)
+                    held += len(t)
+            yield _batch(rows, names, kinds)
+            if held > 4 * FLUSH:
+                yield proposed()
+                seen, held, tokens = set(), 0, []
+        if tokens:
+            yield proposed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, klass int, bits binary, common binary")
+
+
+def _common(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most widely shared shingles, at most ``COMMON``, sorted, and the rank of each."""
+
+    def run(batches):
+        for batch in batches:
+            pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in batch.column(0).to_pylist()]
+            token, many = (np.concatenate([p[i] for p in pairs] or [np.zeros(0, np.uint64)]).view(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(many)], names=["token", "many"])
 
+    every = sketch.where("common is not null").select("common").mapInArrow(run, "token long, many long")
+    top = every.groupBy("token").agg(F.sum("many").alias("many")).orderBy(F.desc("many"), "token").limit(COMMON).toPandas()
+    token, many = top["token"].to_numpy(np.int64).view(np.uint64), top["many"].to_numpy(np.int64)
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, many))] = np.arange(len(token))
+    order = np.argsort(token)
+    return token[order], rank[order]
 
-def _routed(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+
+def _routed(texts: DataFrame, k: int, percent: int, buckets: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Packed keys: ``(bucket, ids, keys, owner)``; equal sets of one task are sent once."""
-    schema = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("owner", pa.binary())])
+    names, kinds = ["bucket", "ids", "keys", "owner"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        router, first, keys, owner, ids = Router(percent), {}, [], [], []
-        held = 0
+        seen, keys, owner, ids, held = set(), [], [], [], 0
 
         def flush():
-            if not keys:
-                return
             key, who, name = np.concatenate(keys), np.concatenate(owner), np.array(ids, np.int64)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -214,36 +246,34 @@ def _routed(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                 s = slice(ends[b], ends[b + 1])
                 used, local = np.unique(who[s], return_inverse=True)
                 rows.append((int(b), name[used].tobytes(), key[s].tobytes(), local.astype(np.uint32).tobytes()))
-            yield _arrow(rows, schema)
+            return _batch(rows, names, kinds)
 
         for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k)):
-                if len(t) == 0 or doc is None:
+            for t in shingle_sets(batch.column(0), k):
+                if len(t) == 0:
                     continue
-                f = (len(t), int(np.sum(mix(t ^ np.uint64(0x11)), dtype=np.uint64)), int(np.sum(mix(t ^ np.uint64(0x2222)), dtype=np.uint64)))
-                if first.get(f, doc + 1) <= doc:
+                node = node_name(t)
+                if node in seen:
                     continue
-                first[f] = doc
-                x = router.keys(t)
-                if len(x):
-                    keys.append(x)
-                    owner.append(np.full(len(x), len(ids)))
-                    ids.append(doc)
-                    held += len(x)
+                seen.add(node)
+                x = mix(prefix(t, percent, *shared.value) ^ np.uint64(0x5EED))
+                keys.append(x)
+                owner.append(np.full(len(x), len(ids)))
+                ids.append(node)
+                held += len(x)
                 if held >= FLUSH:
-                    yield from flush()
+                    yield flush()
                     keys, owner, ids, held = [], [], [], 0
-                if len(first) > 1 << 17:
-                    first.clear()
-        yield from flush()
+                if len(seen) > 1 << 17:
+                    seen.clear()
+        if keys:
+            yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "bucket int, ids binary, keys binary, owner binary")
+    return texts.mapInArrow(run, "bucket int, ids binary, keys binary, owner binary")
 
 
 def _coarse_edges(packed: DataFrame) -> DataFrame:
-    """Edges between documents that share a key, at most one for each document and bucket."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """Edges between nodes that share a key, at most one for each node and bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
@@ -258,238 +288,366 @@ def _coarse_edges(packed: DataFrame) -> DataFrame:
         new[1:] = keys[1:] != keys[:-1]
         del keys
         start = np.flatnonzero(new)
-        many = np.diff(np.append(start, len(docs)))
-        low = np.repeat(np.minimum.reduceat(docs, start), many)
+        low = np.repeat(np.minimum.reduceat(docs, start), np.diff(np.append(start, len(docs))))
         some = low != docs
-        # positions in the sorted ids, so the smaller position is the smaller id
         pair = np.unique(low[some].astype(np.uint64) << np.uint64(32) | docs[some])
-        pair = np.stack([every[(pair >> np.uint64(32)).astype(np.int64)], every[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]], 1)
-        forest = Forest()
-        for a, b in pair.tolist():
-            forest.join(a, b)
-        rows = forest.edges()
+        out = _edges([every[(pair >> np.uint64(32)).astype(np.int64)]], [every[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]])
         release()
-        return pa.table([pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], schema=schema)
+        return pa.Table.from_batches([out])
 
     return packed.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
-_BLOCK = "comp long, leaf long, lo long, hi long, power int, any binary, all binary, bits binary, ids binary, sizes binary, tokens binary"
+def _leaves(members: DataFrame, weight, limit: int) -> DataFrame:
+    """``members(node, comp, n, klass, ...)`` with ``klass`` and ``leaf``.
+
+    A group below the limit is one leaf of class -1. In others every size class has as many
+    leaves as its weight asks for, and a hash of the node chooses one.
+    """
+    sizes = members.groupBy("comp", "klass").agg(F.sum(weight).alias("w"), F.count("*").alias("many")).cache()
+    try:
+        whole = sizes.groupBy("comp").agg(F.sum("w").alias("all_w"))
+        total, most = sizes.agg(F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.max("many"), F.lit(0))).first()
+        small, large = whole.where(F.col("all_w") <= limit), whole.where(F.col("all_w") > limit)
+        per = cut(sizes.join(large.select("comp"), "comp", "left_semi").select("comp", "klass", F.ceil(F.col("w") / limit).cast("long").alias("leaves"), "many"))
+        few = cut(small.select("comp"))
+    finally:
+        sizes.unpersist()
+    one = members.join(few, "comp", "left_semi").withColumns({"klass": F.lit(-1), "leaf": F.lit(0).cast("long")})
+    several = lookup(members, per, ["comp", "klass"], "many", total, most)
+    several = several.withColumn("leaf", F.pmod(F.xxhash64("node"), "leaves")).drop("leaves")
+    return one.unionByName(several.select(one.columns))
+
+
+_LEAF = "comp long, klass int, leaf long, lo long, hi long, any binary, all binary, ids binary, sizes binary, bits binary"
+_LEAF_SCHEMA = pa.schema([("comp", pa.int64()), ("klass", pa.int32()), ("leaf", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), *((n, pa.binary()) for n in ("any", "all", "ids", "sizes", "bits"))])
+_PLACE = ("comp", "klass", "leaf")
+
+
+def _leaf_row(place: tuple, ids: np.ndarray, sizes: np.ndarray, maps: list[bytes]) -> tuple:
+    """One leaf of bitmaps, its documents in order of size."""
+    order = np.lexsort((ids, sizes))
+    ids, sizes, packed = ids[order], sizes[order], b"".join(maps[i] for i in order)
+    bits = fold(_unpack_bits(packed, sizes), NODE_BITS)
+    return (*place, int(sizes[0]), int(sizes[-1]), np.packbits(bits.max(0)).tobytes(), np.packbits(bits.min(0)).tobytes(), ids.tobytes(), sizes.tobytes(), packed)
+
+
+def _sketch_leaves(members: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        place = tuple(table.column(c)[0].as_py() for c in _PLACE)
+        ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        maps = table.column("bits").to_pylist()
+        row = _leaf_row(place, ids, table.column("n").to_numpy()[first], [maps[i] for i in first])
+        return pa.table([pa.array([x], f.type) for x, f in zip(row, _LEAF_SCHEMA)], schema=_LEAF_SCHEMA)
+
+    return members.select(*_PLACE, "node", "n", "bits").groupBy(*_PLACE).applyInArrow(run, _LEAF)
 
 
-def _leaf_blocks(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """One row for each leaf: its node data and its documents' sets, packed."""
+def _set_leaves(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Leaves with the sets of their documents, in ``tokens``."""
+    schema = _LEAF_SCHEMA.append(pa.field("tokens", pa.binary()))
 
-    def sets(batches):
-        for batch in batches:
-            packed = [t.tobytes() for t in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("leaf"), batch.column("doc_id"), pa.array(packed, pa.binary())], names=["comp", "leaf", "doc_id", "tokens"])
-
-    def block(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("doc_id").to_pylist(), np.int64)
-        ids, first = np.unique(ids, return_index=True)
-        rows = [np.frombuffer(table.column("tokens")[int(i)].as_py(), np.uint64) for i in first]
-        order = np.argsort([len(t) for t in rows], kind="stable")
-        ids, rows = ids[order], [rows[i] for i in order]
-        size = np.array([len(t) for t in rows], np.int64)
-        bits = np.stack([bitmap(t) for t in rows])
-        powers = {max(0, int(s).bit_length() - 10) for s in (size[0], size[-1])}
-        return pa.table(
-            [[x] for x in (table.column("comp")[0].as_py(), table.column("leaf")[0].as_py(), int(size[0]), int(size[-1]), powers.pop() if len(powers) == 1 else -1,
-                           np.bitwise_or.reduce(bits).tobytes(), np.bitwise_and.reduce(bits).tobytes(), bits.tobytes(), ids.tobytes(), size.tobytes(), np.concatenate(rows).tobytes())],
-            schema=pa.schema([("comp", pa.int64()), ("leaf", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("power", pa.int32()), ("any", pa.binary()), ("all", pa.binary()), ("bits", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]),
+    def run(table: pa.Table) -> pa.Table:
+        place = tuple(table.column(c)[0].as_py() for c in _PLACE)
+        ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        packed = table.column("tokens")
+        rows = [np.frombuffer(packed[int(i)].as_py(), np.uint64) for i in first]
+        sizes = np.array([len(t) for t in rows], np.int64)
+        order = np.lexsort((ids, sizes))
+        row = (*_leaf_row(place, ids, sizes, [bitmap(t).tobytes() for t in rows]), b"".join(rows[i].tobytes() for i in order))
+        return pa.table([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+
+    rows = members.select(*_PLACE, "node").join(sets, "node")
+    return rows.groupBy(*_PLACE).applyInArrow(run, _LEAF + ", tokens binary")
+
+
+def _fits(a, b, percent: int) -> np.ndarray:
+    """Which children of two pages may hold a link; for x below A and y below B the overlap is at
+    most hi(A) - |all(A) - any(B)|, and likewise from B."""
+    lo_a, hi_a, any_a, all_a, label_a = a
+    lo_b, hi_b, any_b, all_b, label_b = b
+    width = min(any_a.shape[1], any_b.shape[1])
+    # a bit that all documents hold is, shortened, still a bit that all of them hold
+    any_a, any_b, all_a, all_b = (fold(x, width).astype(np.float32) for x in (any_a, any_b, all_a, all_b))
+    only_a = all_a.sum(1)[:, None] - all_a @ any_b.T
+    only_b = all_b.sum(1)[None, :] - any_a @ all_b.T
+    most = np.minimum(hi_a[:, None] - only_a, hi_b[None, :] - only_b)
+    ok = (100 + percent) * most >= percent * (lo_a[:, None] + lo_b[None, :])
+    ok &= (100 * hi_a[:, None] >= percent * lo_b[None, :]) & (100 * hi_b[None, :] >= percent * lo_a[:, None])
+    return ok & ((label_a[:, None] != label_b[None, :]) | (label_a[:, None] == 0))
+
+
+_PAGE = "comp long, klass int, page long, kids binary, lows binary, highs binary, anys binary, alls binary, labels binary, width int, lo long, hi long, any binary, all binary, label long"
+_PAGE_SCHEMA = pa.schema([("comp", pa.int64()), ("klass", pa.int32()), ("page", pa.int64()), *((n, pa.binary()) for n in ("kids", "lows", "highs", "anys", "alls", "labels")), ("width", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("any", pa.binary()), ("all", pa.binary()), ("label", pa.int64())])
+
+
+def _pages(nodes: DataFrame) -> DataFrame:
+    """Inner nodes over ``nodes(comp, klass, kid, lo, hi, any, all, label)``, ``FAN`` children each.
+
+    ``label`` is the component of all documents below, 0 when they are in several or in none.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("kid").to_pylist()
+        anys, alls = ([np.unpackbits(np.frombuffer(r[c], np.uint8)) for r in rows] for c in ("any", "all"))
+        width = min(len(x) for x in anys)
+        any_, all_ = (np.stack([fold(x, width) for x in y]) for y in (anys, alls))
+        lo, hi, label = (np.array([r[c] for r in rows], np.int64) for c in ("lo", "hi", "label"))
+        row = (
+            rows[0]["comp"], rows[0]["klass"], rows[0]["page"], np.array([r["kid"] for r in rows], np.int64).tobytes(), lo.tobytes(), hi.tobytes(), np.packbits(any_).tobytes(), np.packbits(all_).tobytes(), label.tobytes(),
+            width, int(lo.min()), int(hi.max()), np.packbits(any_.max(0)).tobytes(), np.packbits(all_.min(0)).tobytes(), int(label[0]) if (label == label[0]).all() else 0,
         )
+        return pa.table([pa.array([x], f.type) for x, f in zip(row, _PAGE_SCHEMA)], schema=_PAGE_SCHEMA)
+
+    return nodes.withColumn("page", F.floor(F.col("kid") / FAN)).groupBy("comp", "klass", "page").applyInArrow(run, _PAGE)
+
 
-    rows = members.join(docs, "doc_id").select("comp", "leaf", "doc_id", "text")
-    return rows.mapInArrow(sets, "comp long, leaf long, doc_id long, tokens binary").groupBy("comp", "leaf").applyInArrow(block, _BLOCK)
+_PAIR = "comp long, ka int, a long, kb int, b long"
 
 
-def node_pairs(nodes: list[tuple], percent: int, fan: int = 8) -> list[tuple[int, int]]:
-    """Dual traversal of the signature tree over ``nodes``: leaf pairs that may hold a link.
+def tree_pairs(nodes: DataFrame, percent: int, made: Tables) -> DataFrame:
+    """Leaf pairs ``(comp, ka, a, kb, b)`` that the dual traversal leaves, no leaf with itself.
 
-    A node is ``(leaf, lo, hi, power, any, all, label)``; label is the component of all its
-    documents, or None when they are in several. Inner nodes OR the ``any`` bitmaps, AND
-    the ``all`` bitmaps and span the sizes. For x below A and y below B the overlap is at
-    most hi(A) - |all(A) - any(B)|, and likewise from B.
+    ``nodes`` are leaves as in ``_pages``. The trees of two size classes of a group meet at
+    their roots if linked sizes can lie in both; a round joins the pairs left with their pages
+    and tests all pairs of children.
     """
-    level = [(lo, hi, power, any_, all_, label, (leaf,), ()) for leaf, lo, hi, power, any_, all_, label in sorted(nodes, key=lambda x: (x[1], x[0]))]
-    while len(level) > 1:
-        up = []
-        for i in range(0, len(level), fan):
-            c = level[i : i + fan]
-            powers, labels = {x[2] for x in c}, {x[5] for x in c}
-            up.append((min(x[0] for x in c), max(x[1] for x in c), powers.pop() if len(powers) == 1 else -1, np.bitwise_or.reduce([x[3] for x in c]), np.bitwise_and.reduce([x[4] for x in c]), labels.pop() if len(labels) == 1 else None, (), tuple(c)))
-        level = up
-    out, todo = [], [(level[0], level[0])] if level else []
-    while todo:
-        a, b = todo.pop()
-        if a[5] is not None and a[5] == b[5]:
-            continue
-        if a is not b:
-            if not _sizes_fit(a[0], a[1], b[0], b[1], percent):
-                continue
-            if a[2] >= 0 and a[2] == b[2]:
-                most = min(a[1] - _ones(a[4] & ~b[3]), b[1] - _ones(b[4] & ~a[3]))
-                # an overlap of o links sizes x and y only if (100 + p) o >= p (x + y)
-                if (100 + percent) * most < percent * (a[0] + b[0]):
-                    continue
-        if a[6] and b[6]:
-            if a is not b:
-                out.append((min(a[6][0], b[6][0]), max(a[6][0], b[6][0])))
-        elif a is b:
-            kids = a[7]
-            todo += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids))]
-        elif a[7]:
-            todo += [(x, b) for x in a[7]]
-        else:
-            todo += [(a, x) for x in b[7]]
-    return out
-
-
-def _unpack(ids: bytes, sizes: bytes, tokens: bytes):
-    size = np.frombuffer(sizes, np.int64)
-    return np.frombuffer(ids, np.int64).tolist(), np.split(np.frombuffer(tokens, np.uint64), np.cumsum(size)[:-1])
-
-
-def _check(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """Exact links of the leaf pairs ``(comp, a, b)``, as a forest ``(u, v)`` for each pair."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    cols = ("ids", "sizes", "tokens")
+    top = nodes.agg(F.max("leaf")).first()[0]
+    levels, at = [], nodes.withColumnRenamed("leaf", "kid")
+    while True:
+        levels.append(made.write(_pages(at)))
+        top //= FAN
+        if top == 0:
+            break
+        at = levels[-1].select("comp", "klass", F.col("page").alias("kid"), "lo", "hi", "any", "all", "label")
+
+    def run_at(bottom: bool):
+        cols = ("kids", "lows", "highs", "anys", "alls", "labels")
 
-    def run(batches):
+        def side(r, s):
+            kids, lo, hi, label = (np.frombuffer(r[f"{s}_{c}"], np.int64) for c in ("kids", "lows", "highs", "labels"))
+            bits = [np.unpackbits(np.frombuffer(r[f"{s}_{c}"], np.uint8)).reshape(len(kids), r[f"{s}_width"]) for c in ("anys", "alls")]
+            return kids, (lo, hi, *bits, label)
+
+        def run(batches):
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    (ids_a, a), (ids_b, b) = side(r, "a"), side(r, "b")
+                    ok = _fits(a, b, percent)
+                    if (r["ka"], r["a"]) == (r["kb"], r["b"]):
+                        ok = np.triu(ok, 1 if bottom else 0)
+                    out += [(r["comp"], r["ka"], x, r["kb"], y) for x, y in zip(*(z.tolist() for z in (ids_a[np.nonzero(ok)[0]], ids_b[np.nonzero(ok)[1]])))]
+                yield _batch(out, ["comp", "ka", "a", "kb", "b"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()])
+
+        return run, (*cols, "width")
+
+    roots = levels[-1].select("comp", "klass")
+    near = roots.select("comp", F.col("klass").alias("ka"), F.explode(F.array(F.col("klass"), F.col("klass") + 1)).alias("klass"))
+    pairs = near.join(roots, ["comp", "klass"]).select("comp", "ka", F.lit(0).cast("long").alias("a"), F.col("klass").alias("kb"), F.lit(0).cast("long").alias("b"))
+    for depth in range(len(levels) - 1, -1, -1):
+        run, cols = run_at(depth == 0)
+        side = lambda s: levels[depth].select("comp", F.col("klass").alias(f"k{s}"), F.col("page").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in cols))  # noqa: E731, B023
+        rows = pairs.join(side("a"), ["comp", "ka", "a"]).join(side("b"), ["comp", "kb", "b"])
+        pairs = made.write(rows.mapInArrow(run, _PAIR))
+    return pairs
+
+
+def _beside(pairs: DataFrame, leaves: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """Leaf pairs with columns of both leaves."""
+    side = lambda s: leaves.select("comp", F.col("klass").alias(f"k{s}"), F.col("leaf").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in cols))
+    return pairs.join(side("a"), ["comp", "ka", "a"]).join(side("b"), ["comp", "kb", "b"])
+
+
+def _screened(leaves: DataFrame, pairs: DataFrame | None, percent: int) -> DataFrame:
+    """A forest of the document pairs that bitmaps allow, within each leaf and between the pairs."""
+
+    def side(r, s):
+        sizes = np.frombuffer(r[f"{s}sizes"], np.int64)
+        return np.frombuffer(r[f"{s}ids"], np.int64), sizes, _unpack_bits(r[f"{s}bits"], sizes)
+
+    def within(batches):
         for batch in batches:
-            forest = Forest()
+            u, v = [], []
             for r in batch.to_pylist():
-                ids_a, a = _unpack(*(r[f"a_{c}"] for c in cols))
-                if r["a"] == r["b"]:
-                    ids_b, b = ids_a, None
-                else:
-                    ids_b, b = _unpack(*(r[f"b_{c}"] for c in cols))
-                for i, j in linked(a, b, percent).tolist():
-                    forest.join(ids_a[i], ids_b[j])
-            yield _arrow(forest.edges(), schema)
+                ids, sizes, bits = side(r, "")
+                i, j = np.nonzero(np.triu(survivors(sizes, bits, sizes, bits, percent), 1))
+                u.append(ids[i])
+                v.append(ids[j])
+            yield _edges(u, v)
 
-    side = lambda s: blocks.select("comp", F.col("leaf").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in cols))
-    rows = pairs.join(side("a"), ["comp", "a"]).join(side("b"), ["comp", "b"])
-    return rows.select("a", "b", *(f"a_{c}" for c in cols), *(f"b_{c}" for c in cols)).mapInArrow(run, "u long, v long")
+    def between(batches):
+        for batch in batches:
+            u, v = [], []
+            for r in batch.to_pylist():
+                (ids_a, *a), (ids_b, *b) = side(r, "a_"), side(r, "b_")
+                i, j = np.nonzero(survivors(*a, *b, percent))
+                u.append(ids_a[i])
+                v.append(ids_b[j])
+            yield _edges(u, v)
 
+    out = leaves.select("ids", "sizes", "bits").mapInArrow(within, "u long, v long")
+    if pairs is None:
+        return out
+    return out.unionByName(_beside(pairs, leaves, ("ids", "sizes", "bits")).mapInArrow(between, "u long, v long"))
 
-def _self_check(blocks: DataFrame, percent: int) -> DataFrame:
-    """Exact links within each leaf."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+def _sets(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``(node, tokens)`` of the nodes, and of rows that pass the filter by chance."""
+    shared = texts.sparkSession.sparkContext.broadcast(sieve(nodes.select(F.pmod("node", F.lit(SIEVE)).alias("bit"))))
 
     def run(batches):
+        seen, held = set(), shared.value
         for batch in batches:
-            forest = Forest()
-            for r in batch.to_pylist():
-                ids, rows = _unpack(r["ids"], r["sizes"], r["tokens"])
-                for i, j in linked(rows, None, percent).tolist():
-                    forest.join(ids[i], ids[j])
-            yield _arrow(forest.edges(), schema)
+            rows = []
+            for t in shingle_sets(batch.column(0), k):
+                if len(t) == 0:
+                    continue
+                node = node_name(t)
+                at = node % SIEVE
+                if held[at >> 3] >> (7 - (at & 7)) & 1 and node not in seen:
+                    seen.add(node)
+                    rows.append((node, t.tobytes()))
+            if len(seen) > 1 << 17:
+                seen.clear()
+            yield _batch(rows, ["node", "tokens"], [pa.int64(), pa.binary()])
 
-    return blocks.select("ids", "sizes", "tokens").mapInArrow(run, "u long, v long")
+    return texts.mapInArrow(run, "node long, tokens binary")
 
 
-def survivors(size_a, bits_a, label_a, size_b, bits_b, label_b, percent: int) -> np.ndarray:
-    """Document pairs of two leaves, of different components, whose bitmaps allow a link.
+def _check(leaves: DataFrame, pairs: DataFrame | None, percent: int) -> DataFrame:
+    """Exact links as a forest, within each leaf (no pairs given) or between the pairs."""
 
-    At most ``|x| - |bits of x that y lacks|`` shingles of x can be in y, and likewise for y.
-    """
-    def power(size):
-        return np.array([max(0, int(n).bit_length() - 10) for n in size])
+    def side(r, s):
+        sizes = np.frombuffer(r[f"{s}sizes"], np.int64)
+        return np.frombuffer(r[f"{s}ids"], np.int64), np.split(np.frombuffer(r[f"{s}tokens"], np.uint64), np.cumsum(sizes)[:-1])
 
-    x, y = (np.unpackbits(b, axis=1).astype(np.float32) for b in (bits_a, bits_b))
-    both = (x @ y.T).astype(np.int64)
-    comparable = power(size_a)[:, None] == power(size_b)[None, :]
-    only_a = np.where(comparable, x.sum(1).astype(np.int64)[:, None] - both, 0)
-    only_b = np.where(comparable, y.sum(1).astype(np.int64)[None, :] - both, 0)
-    most = np.minimum(size_a[:, None] - only_a, size_b[None, :] - only_b)
-    return ((100 + percent) * most >= percent * (size_a[:, None] + size_b[None, :])) & (label_a[:, None] != label_b[None, :])
+    alone = pairs is None
 
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for r in batch.to_pylist():
+                ids_a, a = side(r, "" if alone else "a_")
+                ids_b, b = (ids_a, None) if alone else side(r, "b_")
+                at = linked(a, b, percent)
+                u.append(ids_a[at[:, 0]])
+                v.append(ids_b[at[:, 1]])
+            yield _edges(u, v)
 
-def _open_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Leaf pairs that the dual traversal leaves, given the components found so far.
+    cols = ("ids", "sizes", "tokens")
+    rows = leaves.select(*cols) if pairs is None else _beside(pairs, leaves, cols).drop("comp", "ka", "a", "kb", "b")
+    return rows.mapInArrow(run, "u long, v long")
 
-    The traversal sees one light row for each leaf. Leaf pairs that it leaves are screened by
-    their documents' bitmaps, a few dozen kilobytes a leaf, before any set is fetched.
-    """
+
+def _labels(leaves: DataFrame, comps: DataFrame, made: Tables) -> DataFrame:
+    """``(comp, klass, leaf, labels, label)``: the component of each document of a leaf, 0 for
+    none, in the order of its ids, and that of all of them or 0."""
 
     def ids(batches):
         for batch in batches:
-            out = [(r["comp"], r["leaf"], x) for r in batch.to_pylist() for x in np.frombuffer(r["ids"], np.int64).tolist()]
-            yield _arrow(out, pa.schema([("comp", pa.int64()), ("leaf", pa.int64()), ("doc_id", pa.int64())]))
-
-    flat = nodes.select("comp", "leaf", "ids").mapInArrow(ids, "comp long, leaf long, doc_id long")
-    label = cut(
-        flat.join(labels.select(F.col("node").alias("doc_id"), F.col("comp").alias("at")), "doc_id", "left")
-        .groupBy("comp", "leaf")
-        .agg(F.map_from_entries(F.collect_list(F.struct("doc_id", F.coalesce("at", "doc_id").alias("at")))).alias("at"))
-        .withColumn("m", F.array_min(F.map_values("at")))
-        .withColumn("label", F.when(F.col("m") == F.array_max(F.map_values("at")), F.col("m")))
+            parts = [np.frombuffer(x, np.int64) for x in batch.column("ids").to_pylist()]
+            many = [len(x) for x in parts]
+            flat = [np.repeat(batch.column(c).to_numpy(), many) for c in _PLACE]
+            place = np.concatenate([np.arange(n) for n in many] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in flat), pa.array(place), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], names=[*_PLACE, "place", "node"])
+
+    flat = leaves.select(*_PLACE, "ids").mapInArrow(ids, "comp long, klass int, leaf long, place long, node long")
+    found = comps.select("node", F.when(F.col("comp") == 0, F.lit(1)).otherwise(F.col("comp")).alias("at"))
+    each = flat.join(found, "node", "left").withColumn("at", F.coalesce("at", F.lit(0)))
+    return made.write(
+        each.groupBy(*_PLACE)
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "at"))), lambda x: x["at"]).alias("labels"))
+        .withColumn("label", F.when(F.array_min("labels") == F.array_max("labels"), F.element_at("labels", 1)).otherwise(F.lit(0)))
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = [(r["leaf"], r["lo"], r["hi"], r["power"], np.frombuffer(r["any"], np.uint8), np.frombuffer(r["all"], np.uint8), r["label"]) for r in table.to_pylist()]
-        comp, pairs = table.column("comp")[0].as_py(), node_pairs(rows, percent)
-        return pa.table([pa.array([comp] * len(pairs), pa.int64()), pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["comp", "a", "b"])
 
-    light = nodes.select("comp", "leaf", "lo", "hi", "power", "any", "all").join(label.select("comp", "leaf", "label"), ["comp", "leaf"])
-    pairs = light.groupBy("comp").applyInArrow(run, "comp long, a long, b long")
+def _open(pairs: DataFrame, leaves: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The leaf pairs with two documents, not of one component yet, whose bitmaps allow a link."""
 
-    def screen(batches):
+    def run(batches):
         def side(r, s):
-            size = np.frombuffer(r[f"{s}_sizes"], np.int64)
-            at = dict(r[f"{s}_at"])
-            return size, np.frombuffer(r[f"{s}_bits"], np.uint8).reshape(len(size), -1), np.array([at[i] for i in np.frombuffer(r[f"{s}_ids"], np.int64).tolist()], np.int64)
+            sizes, label = np.frombuffer(r[f"{s}_sizes"], np.int64), np.array(r[f"{s}_labels"], np.int64)
+            return (sizes, _unpack_bits(r[f"{s}_bits"], sizes)), label
 
         for batch in batches:
-            keep = [bool(survivors(*side(r, "a"), *side(r, "b"), percent).any()) for r in batch.to_pylist()]
-            yield batch.select(["comp", "a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    held = nodes.select("comp", "leaf", "ids", "sizes", "bits").join(label.select("comp", "leaf", "at"), ["comp", "leaf"])
-    side = lambda s: held.select("comp", F.col("leaf").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("ids", "sizes", "bits", "at")))
-    return pairs.join(side("a"), ["comp", "a"]).join(side("b"), ["comp", "b"]).mapInArrow(screen, "comp long, a long, b long")
+            keep = []
+            for r in batch.to_pylist():
+                (a, p), (b, q) = side(r, "a"), side(r, "b")
+                keep.append(bool((survivors(*a, *b, percent) & ((p[:, None] != q[None, :]) | (p[:, None] == 0))).any()))
+            yield batch.select(["comp", "ka", "a", "kb", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = leaves.select(*_PLACE, "sizes", "bits").join(labels.select(*_PLACE, "labels"), list(_PLACE))
+    return _beside(pairs, held, ("sizes", "bits", "labels")).mapInArrow(run, _PAIR)
+
+
+def _tight(members: DataFrame, percent: int, made: Tables) -> DataFrame:
+    """``(node, comp)``: coarse groups broken up by what bitmaps allow."""
+    weight = F.greatest(F.length("bits") * 8, F.lit(LEAST_BITS))
+    leaves = made.write(_sketch_leaves(_leaves(members, weight, LEAF_BITS)))
+    wide = leaves.where("klass >= 0")
+    pairs = None
+    if not wide.isEmpty():
+        pairs = tree_pairs(wide.select(*_PLACE, "lo", "hi", "any", "all", F.lit(0).cast("long").alias("label")), percent, made)
+    return connected_components(_screened(leaves, pairs, percent))
+
+
+def _links(members: DataFrame, texts: DataFrame, k: int, percent: int, made: Tables) -> DataFrame:
+    """``(node, comp)``: components of the exact links of the tight groups."""
+    weight = F.greatest("n", F.lit(LEAF_VOLUME // LEAF_DOCS))
+    placed = _leaves(members, weight, LEAF_VOLUME)
+    leaves = made.write(_set_leaves(placed, _sets(texts, members, k)))
+    found, wide = _check(leaves, None, percent), leaves.where("klass >= 0")
+    if wide.isEmpty():
+        return connected_components(found)
+    heads = wide.where("leaf = 0").select("comp", "klass")
+    first = F.struct(F.col("klass").alias("ka"), F.lit(0).cast("long").alias("a"), F.col("klass").alias("kb"), F.col("leaf").alias("b"))
+    after = F.struct(F.col("klass").alias("ka"), F.col("leaf").alias("a"), (F.col("klass") + 1).alias("kb"), F.lit(0).cast("long").alias("b"))
+    near = wide.select("comp", F.explode(F.array(first, after)).alias("p")).select("comp", "p.*").where("not (ka = kb and a = b)")
+    near = made.write(near.join(heads.select("comp", F.col("klass").alias("kb")), ["comp", "kb"], "left_semi").select("comp", "ka", "a", "kb", "b"))
+    found = made.write(found.unionByName(_check(leaves, near, percent)))
+    labels = _labels(wide, connected_components(found), made)
+    nodes = wide.select(*_PLACE, "lo", "hi", "any", "all").join(labels.select(*_PLACE, "label"), list(_PLACE))
+    rest = tree_pairs(nodes, percent, made).join(near, ["comp", "ka", "a", "kb", "b"], "left_anti")
+    rest = made.write(_open(rest, wide, labels, percent))
+    return connected_components(found.unionByName(_check(leaves, rest, percent)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``: components of the links between documents.
+    """``(doc_id, n_shingles, component_id)``, a row for each row.
 
-    ``component_id`` is the smallest doc_id that links reach, the document included.
+    ``component_id`` is the smallest doc_id that links reach, the document included; null only
+    where all of them are.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = cut(set_table(rows, k=k))
-    reps = table.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    # a set sends about 2 (100 - p) / p keys for each shingle, of 12 bytes
-    total = reps.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(2, total * 24 * (100 - percent) // percent // BUCKET_BYTES)
-    coarse = connected_components(_coarse_edges(_routed(rows, k, percent, buckets)))
-    only = reps.join(coarse, reps["rep"] == coarse["node"]).select(F.col("rep").alias("doc_id"), "comp", F.col("n_shingles").alias("n"))
-    several = only.groupBy("comp").agg(F.count("*").alias("many")).where("many > 1").select("comp")
-    klass = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
-    filled = F.sum(F.greatest("n", F.lit(LEAF_VOLUME // LEAF_DOCS))).over(W.partitionBy("comp", "klass").orderBy("n", "doc_id").rowsBetween(W.unboundedPreceding, -1))
-    total = F.sum(F.greatest("n", F.lit(LEAF_VOLUME // LEAF_DOCS))).over(W.partitionBy("comp"))
-    members = cut(
-        only.join(several, "comp", "left_semi")
-        .withColumn("klass", klass)
-        .withColumn("leaf", F.when(total <= LEAF_VOLUME, F.lit(0)).otherwise(F.col("klass") * F.lit(1 << 32) + F.floor(F.coalesce(filled, F.lit(0)) / F.lit(LEAF_VOLUME))))
-        .select("doc_id", "comp", F.col("leaf").cast("long"))
-    )
-    blocks = cut(_leaf_blocks(members, rows, k))
-    wide = blocks.join(blocks.groupBy("comp").agg(F.count("*").alias("many")).where("many > 1").select("comp"), "comp", "left_semi")
-    order = W.partitionBy("comp").orderBy("lo", "leaf")
-    ranked = wide.select("comp", "leaf", "lo").select("comp", "leaf", F.lead("leaf").over(order).alias("next"), F.first("leaf").over(order).alias("head"))
-    near = (
-        ranked.select("comp", F.explode(F.array(F.struct(F.col("leaf").alias("p"), F.col("next").alias("q")), F.struct(F.col("head").alias("p"), F.col("leaf").alias("q")))).alias("z"))
-        .select("comp", F.least("z.p", "z.q").alias("a"), F.greatest("z.p", "z.q").alias("b"))
-        .where("z.p is not null and z.q is not null and a <> b")
-        .distinct()
-    )
-    found = cut(_self_check(blocks, percent).unionByName(_check(near, blocks, percent)).distinct())
-    rest = _open_pairs(wide, connected_components(found), percent).join(near, ["comp", "a", "b"], "left_anti")
-    links = found.unionByName(_check(rest, blocks, percent))
-    comps = connected_components(links).select(F.col("node").alias("rep"), F.col("comp").alias("reached"))
-    final = reps.join(comps, "rep", "left").select(
-        F.col("n_shingles").alias("n_"), F.col("f1").alias("f1_"), F.col("f2").alias("f2_"), F.coalesce("reached", "rep").alias("found")
+    return set_components(docs, id_col, text_col, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """``(doc_id, n_shingles, node, comp, component_id)``, a row for each row.
+
+    ``node`` names the set and ``comp`` its component; both are null for empty sets.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    sketch = table(sketches(docs, id_col, text_col, k, percent))
+    rows = sketch.where("common is null").select("doc_id", "n_shingles", "node")
+    with Tables(spark) as made:
+        every = sketch.where("node is not null").select("node", F.col("n_shingles").alias("n"), "klass", "bits")
+        # a set sends 1 - p of its shingles, of 12 bytes
+        volume = (every.agg(F.sum("n")).first()[0] or 0) * 12 * (100 - percent) // 100
+        packed = _routed(texts, k, percent, max(2, volume // BUCKET_BYTES), _common(sketch))
+        coarse = connected_components(_coarse_edges(packed))
+        members = every.dropDuplicates(["node"]).join(coarse, "node")
+        tight = _tight(members, percent, made)
+        members = made.write(every.select("node", "n", "klass").dropDuplicates(["node"]).join(tight, "node"))
+        comps = cut(_links(members, texts, k, percent, made))
+    # copies are counted at the node first, then nodes at the component; hot ones are split
+    nodes = cut(
+        rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("many")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     )
-    match = (table["n_shingles"] == final["n_"]) & (table["f1"] == final["f1_"]) & (table["f2"] == final["f2_"])
-    return table.join(final, match, "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    low = cut(nodes.groupBy("comp").agg(F.min("low").alias("component_id"), F.count("*").alias("nodes")))
+    distinct, total, copies = nodes.agg(F.count("*"), F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.max("many"), F.lit(0))).first()
+    named = lookup(nodes.select("node", "comp", "many"), low, ["comp"], "nodes", distinct, low.agg(F.max("nodes")).first()[0] or 0)
+    full = lookup(rows.where("node is not null"), named, ["node"], "many", total, copies).select("doc_id", "n_shingles", "node", "comp", "component_id")
+    none = F.lit(None).cast("long")
+    return full.unionByName(rows.where("node is null").select("doc_id", "n_shingles", none.alias("node"), none.alias("comp"), F.col("doc_id").alias("component_id")))
