@@ -13,15 +13,19 @@ sorting (``induced.py``), in shards that together hold every string that can rep
    Contexts of one gram with equal bytes (128 bits of hashes and equal length) collapse to
    one with a count, and their strings repeat: a passage in a third of all documents costs
    a row for each task. All grams with different contexts go on.
-3. *Sorting.* Those contexts, one of each kind, meet in shards by gram. A shard is one text
-   with a separator after each context and is sorted by induction. Of the suffixes with
-   ``length`` bytes left in their context, a string repeats if the one before or after it
-   shares ``length`` bytes.
-4. *Removal.* The repeated strings of a text are united and cut out, once for each text.
-
-Texts travel keyed by a 128-bit digest. Null is the empty text. Repeated rows are copies of
-each other. Documents shorter than ``length`` lose nothing. An empty table gives no rows.
-Columns other than id and text are carried by ``remove_repeats`` only.
+3. *Sorting.* Those contexts, one of each kind, meet in shards by gram. A gram with more than
+   ``HOT`` contexts is split: its strings are told apart by where the gram lies in them, in
+   ``PARTS`` ranges, and all strings of a range hold the same bytes around the gram if they are
+   equal, so these bytes join the gram in the key. A shard is one text with a separator after
+   each context and is sorted by induction. Of the suffixes with ``length`` bytes left in their
+   context, a string repeats if the one before or after it shares ``length`` bytes.
+4. *Removal.* The repeated ranges of a text are united and meet its row. A text that occurs
+   twice goes as a whole if it has ``length`` bytes, which its rows learn from a count.
+
+Texts travel keyed by a 128-bit digest, and only those that have contexts to sort. Null is the
+empty text. Repeated rows are copies of each other. Documents shorter than ``length`` lose
+nothing. An empty table gives no rows. Columns other than id and text are carried by
+``remove_repeats`` only.
 """
 
 from __future__ import annotations
@@ -33,12 +37,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from knotwork.llm.induced import suffix_array
+from knotwork.llm.sieve import SIEVE, passes, sieve
 from knotwork.llm.textkernel import mix, release, utf8
-from knotwork.storage import cut, partitions
+from knotwork.operators.skew import lookup
+from knotwork.storage import cut, packed, partitions, unpacked
 
 GRAM, SHARD, GROUP = 32, 2_000_000, 24_000_000
+#: Different contexts above which a gram is split, and ranges of its place in a string.
+HOT, PARTS = 4096, 8
+#: Bytes of a text that are searched at once; positions in them have 28 bits.
+BLOCK = 1 << 26
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _Q = 0x2545F4914F6CDD1D
 _QI = pow(_Q, -1, 1 << 64)
@@ -56,17 +67,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(data: np.ndarray, length: int):
-    """(gram, bytes hash, first start, number of starts, gram twice inside) of a text's contexts."""
+    """(gram, bytes hash, first start, number of starts, gram twice inside) of a text's contexts.
+
+    A context that crosses two blocks of a very long text is two contexts of one gram.
+    """
+    parts = []
+    for at in range(0, max(1, len(data) - length + 1), BLOCK):
+        got = _contexts(data[at : at + BLOCK + length - 1], length)
+        if got is not None:
+            parts.append((*got[:2], got[2] + at, *got[3:]))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else None
+
+
+def _contexts(data: np.ndarray, length: int):
     n, w = len(data) - length + 1, length - GRAM + 1
     if n < 1:
         return None
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    g = len(data) - GRAM + 1
-    h = eight[:g] * _M[0]
-    for k in (1, 2, 3):
-        h += eight[8 * k : 8 * k + g] * _M[k]
-    h = mix(h)
+    g, h = len(data) - GRAM + 1, _gram_hashes(data)
     # sliding minimum of (hash, position): windows double, then two of them cover the width
     low = (h & ~np.uint64((1 << 28) - 1)) | np.arange(g, dtype=np.uint64)
     span = 1
@@ -90,17 +107,21 @@ def contexts(data: np.ndarray, length: int):
     return best[start], body, start, count, twice
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(cid, text)``: every text with its digest; a text that a task has seen is left out."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _texts(docs: DataFrame, text_col: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """``(cid, text)``: every text, or those that pass the filter, with its digest; a text that a
+    task has seen is left out."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            keep = []
-            for c in batch.column(0).to_pylist():
-                keep.append(c not in seen)
-                seen.add(c)
+            cids = batch.column(0).to_pylist()
+            keep = [True] * len(cids) if shared is None else passes(shared.value, _names(b"".join(cids))).tolist()
+            for i, c in enumerate(cids):
+                keep[i] = keep[i] and c not in seen
+                if keep[i]:
+                    seen.add(c)
             if len(seen) > 1 << 20:
                 seen.clear()
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -108,6 +129,22 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.unhex(F.md5(text)).alias("cid"), text.alias("text")).mapInArrow(run, "cid binary, text string")
 
 
+def _names(cids: bytes) -> np.ndarray:
+    """The first eight bytes of packed digests."""
+    return np.frombuffer(cids, "<u8")[::2]
+
+
+def _asked(cuts: DataFrame) -> np.ndarray:
+    """A filter of the texts with contexts to sort."""
+
+    def run(batches):
+        for batch in batches:
+            names = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_names(x) for x in batch.column(0).to_pylist())]) % np.uint64(SIEVE))
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64))], names=["bit"])
+
+    return sieve(cuts.where("kind = 1").select("cids").mapInArrow(run, "bit long"))
+
+
 def _target(cid: np.ndarray, groups: int) -> np.ndarray:
     """Group of each digest, given as rows of 16 bytes: its first seven bytes modulo the groups."""
     return ((np.ascontiguousarray(cid[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
@@ -164,20 +201,22 @@ def _find(texts: DataFrame, length: int, buckets: int, hold: int = 1 << 19) -> D
     return texts.mapInArrow(run, _FOUND)
 
 
-_CUTS = "t long, kind int, cids binary, start binary, size binary, gram binary, need binary, bytes long"
-_CUT_NAMES = ["t", "kind", "cids", "start", "size", "gram", "need", "bytes"]
-_CUT_KINDS = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.int64()]
+_CUTS = "t long, kind int, cids binary, start binary, size binary, gram binary, need binary, hot binary, bytes long"
+_CUT_NAMES = ["t", "kind", "cids", "start", "size", "gram", "need", "hot", "bytes"]
+_CUT_KINDS = [pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.int64()]
 
 
-def _pack(t: np.ndarray, kind: int, cid: np.ndarray, start: np.ndarray, size: np.ndarray, gram: np.ndarray | None = None, need: np.ndarray | None = None) -> list[tuple]:
-    """Rows by group of text: kind 0 holds repeated byte ranges, kind 1 contexts to sort."""
+def _pack(t: np.ndarray, kind: int, cid: np.ndarray, start: np.ndarray, size: np.ndarray, *more: np.ndarray) -> list[tuple]:
+    """Rows by group of text: kind 0 holds repeated byte ranges, kind 1 contexts to sort, with
+    their gram, whether they are needed and whether the gram is split."""
     order = np.argsort(t, kind="stable")
     t = t[order]
     edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
     rows = []
     for a, b in zip(edges, np.concatenate([edges[1:], [len(t)]])):
         s = order[a:b]
-        rows.append((int(t[a]), kind, cid[s].tobytes(), start[s].astype(np.int64).tobytes(), size[s].astype(np.int64).tobytes(), None if gram is None else gram[s].tobytes(), None if need is None else need[s].tobytes(), int(size[s].sum())))
+        rest = [x[s].tobytes() for x in more] or [None] * 3
+        rows.append((int(t[a]), kind, cid[s].tobytes(), start[s].astype(np.int64).tobytes(), size[s].astype(np.int64).tobytes(), *rest, int(size[s].sum())))
     return rows
 
 
@@ -217,7 +256,7 @@ def _compare(found: DataFrame, length: int, groups: int) -> DataFrame:
         rows += _pack(_target(cid[o], groups), 0, cid[o], start[multi], count[multi] + length - 1)
         pick = head[sort]
         o = owner[pick]
-        rows += _pack(_target(cid[o], groups), 1, cid[o], start[pick], count[pick] + length - 1, gram[pick], (many == 1)[sort])
+        rows += _pack(_target(cid[o], groups), 1, cid[o], start[pick], count[pick] + length - 1, gram[pick], (many == 1)[sort], (kinds > HOT)[sort])
         release()
         return _rows(_CUT_NAMES, rows, _CUT_KINDS)
 
@@ -225,15 +264,47 @@ def _compare(found: DataFrame, length: int, groups: int) -> DataFrame:
 
 
 def _unpack(table: pa.Table, kind: int):
-    """Concatenated columns (cid, start, size, gram, need) of the rows of one kind."""
+    """Concatenated columns (cid, start, size, gram, need, hot) of the rows of one kind."""
     rows = [r for r in table.to_pylist() if r["kind"] == kind]
     if not rows:
         return None
     col = lambda n, d: np.concatenate([np.frombuffer(r[n], d) for r in rows if r[n] is not None] or [np.zeros(0, d)])
-    return col("cids", np.uint8).reshape(-1, 16), col("start", np.int64), col("size", np.int64), col("gram", np.uint64), col("need", bool)
+    return col("cids", np.uint8).reshape(-1, 16), col("start", np.int64), col("size", np.int64), col("gram", np.uint64), col("need", bool), col("hot", bool)
 
 
-def _fetch(texts: DataFrame, cuts: DataFrame, groups: int, shards: int) -> DataFrame:
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the gram at every place."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    g = len(data) - GRAM + 1
+    h = eight[:g] * _M[0]
+    for k in (1, 2, 3):
+        h += eight[8 * k : 8 * k + g] * _M[k]
+    return mix(h)
+
+
+def split(raw: bytes, gram: int, length: int) -> list[tuple[int, int, int]]:
+    """(key, first byte, bytes) of the parts of a context whose gram is hot.
+
+    A string belongs to the range that the place of the gram in it falls in. All strings of a
+    range hold the same stretch of ``length + 1 - width`` bytes around the gram, which is hashed.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    starts = np.arange(len(data) - length + 1)
+    places = np.flatnonzero(_gram_hashes(data) == np.uint64(gram))
+    place = places[np.searchsorted(places, starts)]
+    width = -(-(length - GRAM + 1) // PARTS)
+    range_ = (place - starts) // width
+    edge = np.flatnonzero(np.concatenate([[True], (range_[1:] != range_[:-1]) | (place[1:] != place[:-1])]))
+    out = []
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(starts)]):
+        low = int(place[a] - range_[a] * width)
+        key = hashlib.blake2b(raw[low : low + length + 1 - width], digest_size=8, salt=bytes([int(range_[a])])).digest()
+        out.append((int.from_bytes(key, "little"), a, b - a + length - 1))
+    return out
+
+
+def _fetch(texts: DataFrame, cuts: DataFrame, groups: int, shards: int, length: int) -> DataFrame:
     """The bytes of the contexts to sort, packed by shard."""
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
@@ -241,22 +312,25 @@ def _fetch(texts: DataFrame, cuts: DataFrame, groups: int, shards: int) -> DataF
         got = _unpack(asked, 1) if asked.num_rows else None
         if got is None:
             return _rows(names, [], kinds)
-        cid, start, size, gram, need = got
+        cid, start, size, gram, need, hot = got
         place = {c: i for i, c in enumerate(table.column("cid").to_pylist())}
         text = table.column("text").combine_chunks()
-        shard = (mix(gram) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(np.ascontiguousarray(cid).view("V16").ravel(), kind="stable")
+        key = mix(gram)
         parts: dict[int, list] = {}
         last, raw = None, b""
         for i in order.tolist():
             c = cid[i].tobytes()
             if c != last:
                 last, raw = c, text[place[c]].as_py().encode()
-            parts.setdefault(int(shard[i]), []).append((i, raw[start[i] : start[i] + size[i]]))
+            own = raw[start[i] : start[i] + size[i]]
+            for k, at, n in split(own, int(gram[i]), length) if hot[i] else ((int(key[i]), 0, len(own)),):
+                parts.setdefault(k % shards, []).append((i, int(start[i]) + at, own[at : at + n]))
         rows = []
         for s, items in parts.items():
-            at = np.array([i for i, _ in items])
-            rows.append((s, cid[at].tobytes(), start[at].tobytes(), size[at].tobytes(), need[at].tobytes(), b"".join(x for _, x in items)))
+            at = np.array([i for i, _, _ in items])
+            begin, long_ = (np.array(x, np.int64) for x in zip(*((b, len(x)) for _, b, x in items)))
+            rows.append((s, cid[at].tobytes(), begin.tobytes(), long_.tobytes(), need[at].tobytes(), b"".join(x for _, _, x in items)))
         del parts
         release()
         return _rows(names, rows, kinds)
@@ -327,79 +401,82 @@ def _sorted(fetched: DataFrame, length: int, groups: int) -> DataFrame:
     return fetched.groupBy("shard").applyInArrow(run, _CUTS)
 
 
-def _removed(texts: DataFrame, cuts: DataFrame, groups: int, with_text: bool) -> DataFrame:
-    """Step 4: for each text its removed bytes and spans, and the digest of what is left."""
-    names = ["cid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+def _united(cuts: DataFrame) -> DataFrame:
+    """``(cid, first, last)``: the byte ranges to remove of each text, united and packed."""
 
-    def run(table: pa.Table, cut_: pa.Table) -> pa.Table:
-        ranges: dict[bytes, list] = {}
-        got = _unpack(cut_, 0) if cut_.num_rows else None
-        if got is not None:
-            cid, start, size, _, _ = got
-            order = np.lexsort((start, np.ascontiguousarray(cid).view("V16").ravel().argsort().argsort()))
-            cid, start, size = cid[order], start[order], size[order]
-            flat = cid.tobytes()
-            edge = np.flatnonzero(np.concatenate([[True], (cid[1:] != cid[:-1]).any(1)]))
-            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(cid)]):
-                ranges[flat[16 * x : 16 * x + 16]] = [start[x:y], start[x:y] + size[x:y]]
-        rows, seen = [], set()
-        for c, text in zip(table.column("cid"), table.column("text")):
-            c = c.as_py()
-            if c in seen:
-                continue
-            seen.add(c)
-            raw = text.as_py().encode()
-            n, removed, spans, kept = len(raw), 0, 0, raw
-            if c in ranges:
-                a, b = ranges[c]
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order])
-                new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
-                first, last = a[new], b[np.concatenate([new[1:] - 1, [len(b) - 1]])]
-                removed, spans = int((last - first).sum()), len(new)
-                left = [raw[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), n])]
-                kept = b"".join(left)
-            rows.append((c, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+    def run(table: pa.Table) -> pa.Table:
+        cid, start, size, *_ = _unpack(table, 0)
+        _, of = np.unique(np.ascontiguousarray(cid).view("V16").ravel(), return_inverse=True)
+        order = np.lexsort((start, of))
+        cid, start, end, of = cid[order], start[order], (start + size)[order], of.ravel()[order]
+        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        rows = []
+        for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(of)]):
+            a, b = start[x:y], np.maximum.accumulate(end[x:y])
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+            rows.append((cid[x].tobytes(), a[new].tobytes(), b[np.concatenate([new[1:] - 1, [len(b) - 1]])].tobytes()))
         release()
-        return _rows(names, rows, kinds)
+        return _rows(["cid", "first", "last"], rows, [pa.binary()] * 3)
 
-    return texts.withColumn("t", _key(groups)).groupBy("t").cogroup(cuts.groupBy("t")).applyInArrow(run, "cid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return cuts.where("kind = 0").groupBy("t").applyInArrow(run, "cid binary, first binary, last binary")
 
 
-def repeats(docs: DataFrame, text_col: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
-    """``(cid, many, n_bytes, n_removed, n_spans, kept_sha256, kept)`` of every distinct text."""
+def _cid(text_col: str):
+    """Digest of a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def _marked(rows: DataFrame, docs: DataFrame, text_col: str, length: int) -> DataFrame:
+    """``rows``, which have the digest ``cid`` of a text of ``docs``, with ``whole, first, last``: whether
+    the text goes as a whole, or the ranges that go; all null if nothing does."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    light = cut(docs.select(F.unhex(F.md5(text)).alias("cid"), F.octet_length(text).alias("n")).groupBy("cid").agg(F.count("*").alias("many"), F.max("n").alias("n")))
-    total = light.agg(F.sum("n")).first()[0] or 0
-    groups = max(partitions(spark), math.ceil(total / GROUP))
-    texts = _texts(docs, text_col)
-    cuts = cut(_compare(_find(texts, length, max(4, partitions(spark) // 4)), length, groups))
-    volume = cuts.where("kind = 1").agg(F.sum("bytes")).first()[0] or 0
-    done = cuts.where("kind = 0")
-    if volume:
-        done = done.unionByName(cut(_sorted(_fetch(texts, cuts, groups, math.ceil(volume / SHARD)), length, groups)))
-    each = _removed(texts, done, groups, with_text)
-    whole = (F.col("many") > 1) & (F.col("n") >= length)
-    gone = F.lit(hashlib.sha256(b"").hexdigest())
-    return each.join(light, "cid").select(
-        "cid", "many", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
-        F.when(whole, gone).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    light = cut(docs.select(_cid(f"`{text_col}`").alias("cid"), F.octet_length(text).alias("n")).groupBy("cid").agg(F.count("*").alias("many"), F.max("n").alias("n")))
+    volume, total, most = light.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.sum("many"), F.max("many")))).first()
+    groups = max(partitions(docs.sparkSession), math.ceil(volume / GROUP))
+    # contexts take about half a byte for a byte of text
+    cuts = cut(_compare(_find(_texts(docs, text_col), length, max(4, math.ceil(volume / 2 / GROUP))), length, groups))
+    held = cuts.where("kind = 1").agg(F.sum("bytes")).first()[0] or 0
+    done = cuts
+    if held:
+        fetched = _fetch(_texts(docs, text_col, _asked(cuts)), cuts, groups, math.ceil(held / SHARD), length)
+        done = done.unionByName(cut(_sorted(fetched, length, groups)))
+    copies = light.where((F.col("many") > 1) & (F.col("n") >= length)).select("cid", "many")
+    none = F.lit(None).cast("binary")
+    marks = copies.select("cid", "many", F.lit(True).alias("whole"), none.alias("first"), none.alias("last")).unionByName(
+        _united(done).join(copies, "cid", "left_anti").select("cid", F.lit(1).cast("long").alias("many"), F.lit(False).alias("whole"), "first", "last")
     )
+    return lookup(rows, cut(marks), ["cid"], "many", total, most, "left")
+
+
+def _kept(raw: bytes, whole: bool | None, first: bytes | None, last: bytes | None) -> tuple[int, int, bytes]:
+    """Removed bytes, their spans, and what is left."""
+    if whole is None:
+        return 0, 0, raw
+    if whole:
+        return len(raw), 1, b""
+    a, b = np.frombuffer(first, np.int64).tolist(), np.frombuffer(last, np.int64).tolist()
+    left = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)]))
+    return len(raw) - len(left), len(a), left
 
 
 def repeat_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row."""
-    each = repeats(docs, text_col, length).drop("kept", "many")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("cid"))
-    return rows.join(each, "cid").drop("cid")
+    kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text, *mark in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                raw = (text or "").encode()
+                removed, spans, left = _kept(raw, *mark)
+                rows.append((len(raw), removed, spans, hashlib.sha256(left).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds))], names=["doc_id", *(n for n, _ in kinds)])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), _cid(f"`{text_col}`").alias("cid"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return _marked(rows, docs, text_col, length).select("doc_id", "text", "whole", "first", "last").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, length_col: str | None = None) -> DataFrame:
@@ -408,15 +485,18 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, l
     A cut may split a character of several bytes; what is left of it goes too. A text that
     lost nothing stays as it was, null included. ``length_col``, if there, follows the text.
     """
-    each = repeats(docs, text_col, length, True).select(F.col("cid").alias("cid_"), F.col("n_removed").alias("removed_"), "kept")
 
-    def decode(batches):
+    def run(batches):
         for batch in batches:
-            made = [None if k is None else k.decode("utf-8", "ignore") for k in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["cid_", "removed_", "kept_"])
-
-    each = each.where("removed_ > 0").mapInArrow(decode, "cid_ binary, removed_ long, kept_ string")
-    keyed = docs.withColumn("cid_", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    joined = keyed.join(each, "cid_", "left")
-    changed = {text_col: F.col("kept_")} | ({length_col: F.length("kept_").cast("long")} if length_col else {})
-    return joined.select(*(F.when(F.col("removed_").isNull(), F.col(c)).otherwise(changed[c]).alias(c) if c in changed else F.col(c) for c in docs.columns))
+            texts, *marks = (batch.column(k).to_pylist() for k in range(1, 5))
+            made = [None if mark[0] is None else _kept((text or "").encode(), *mark)[2].decode("utf-8", "ignore") for text, *mark in zip(texts, *marks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["row", "kept"])
+
+    rows = packed(docs).withColumn("cid", _cid(f"row.`{text_col}`"))
+    # only the text of a row that loses something is sent beside it
+    found = _marked(rows, docs, text_col, length).withColumn("text", F.when(F.col("whole").isNotNull(), F.col(f"row.`{text_col}`").cast("string")))
+    joined = found.select("row", "text", "whole", "first", "last")
+    cut_ = joined.mapInArrow(run, StructType([joined.schema["row"], StructField("kept", StringType())]))
+    new = {text_col: F.col("kept")} | ({length_col: F.length("kept").cast("long")} if length_col else {})
+    made = {c: F.when(F.col("kept").isNotNull(), x).otherwise(F.col(f"row.`{c}`")) for c, x in new.items()}
+    return unpacked(cut_, docs.columns, made).select(*(F.col(f"`{c}`") for c in docs.columns))
