@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from knotwork.llm import decontam, jaccard_join, mixing, suffix_dedup, toxicity
 from knotwork.llm.queries import remainder, small_batches
-from knotwork.storage import cut, read_table, table
+from knotwork.storage import cut, packed, read_table, table, unpacked
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic, scored as in op1."""
+    """Documents that the classifier does not call toxic, scored as in op1.
+
+    Null and empty texts are scored like all others, and repeated rows alike.
+    """
     small_batches(spark)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), train_rows=remainder(4) != 2)
-    return toxicity.marked(docs, model).where("predicted = 0").select(*docs.columns)
+    return unpacked(toxicity.scored(docs, model).where("predicted = 0"), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,24 +29,25 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Five words to a shingle and a similarity of 0.8. Rows are told apart by a 64-bit hash of id
     and text, so rows without an id are members of their groups like all others, different
-    texts of one id are different documents, and of repeated rows one stays.
+    texts of one id are different documents, and of repeated rows one stays: the smallest in
+    its other columns. Texts without words are in no group.
     """
     small_batches(spark)
-    keyed = docs.withColumn("key_", F.xxhash64("doc_id", "text"))
-    groups = jaccard_components(keyed)
-    ids = keyed.groupBy("key_").agg(F.first("doc_id").alias("id_"), F.count("*").alias("many_"))
-    rank = F.struct(F.col("id_").isNull(), "id_", "key_", "many_")
-    stay = cut(ids.join(groups, "key_").groupBy("component_id").agg(F.min(rank).alias("best_")).select("best_.key_", "best_.many_"))
-    rows = keyed.join(stay, "key_")
-    one = W.partitionBy("key_").orderBy(*docs.columns)
-    several = rows.where("many_ > 1").withColumn("nth_", F.row_number().over(one)).where("nth_ = 1")
-    return rows.where("many_ = 1").select(*docs.columns).unionByName(several.select(*docs.columns))
-
-
-def jaccard_components(keyed: DataFrame) -> DataFrame:
-    """``(key_, component_id)`` of every key."""
-    found = jaccard_join.jaccard_components(keyed, id_col="key_", k=5, percent=80)
-    return found.select(F.col("doc_id").alias("key_"), "component_id").distinct()
+    key = F.xxhash64("row.doc_id", "row.text").alias("key")
+    rows = packed(docs).withColumn("key", key)
+    groups = jaccard_join.set_components(rows.select("key", "row.text"), id_col="key", k=5, percent=80)
+    places = groups.groupBy(F.col("doc_id").alias("key")).agg(F.first("comp").alias("comp"), F.count("*").alias("many"))
+    ids = rows.groupBy("key").agg(F.first("row.doc_id").alias("id"))
+    # a text without words has no component and stays
+    places = cut(places.join(ids, "key"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    best = places.where("comp is not null").groupBy("comp").agg(F.min(rank).alias("best")).select(F.col("best.key").alias("key"))
+    stay = places.where("comp is null").select("key").unionByName(best)
+    several = cut(places.where("many > 1").join(stay, "key", "left_semi").select("key"))
+    moved = cut(places.join(stay, "key", "left_anti").select("key").unionByName(several))
+    once = rows.join(moved, "key", "left_anti").select("row")
+    again = rows.join(several, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    return unpacked(once.unionByName(again), docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
