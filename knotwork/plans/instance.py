@@ -193,33 +193,46 @@ def complex_twins(x: Instance) -> Instance | None:
     Let u be with the nodes A and v with the nodes B, apart. Moving v over changes the cost by
     ``s(v, B) - s(v, A) - s(u, v)``, moving u over by ``s(u, A) - s(u, B) - s(u, v)``. If for
     every A and B one of them is not positive, some optimum has the pair together. Half the
-    sum of ``|s(u, w) - s(v, w)|`` bounds the smaller change, a knapsack gives it exactly.
+    sum of ``|s(u, w) - s(v, w)|`` bounds the smaller change, a knapsack gives it exactly. A node
+    that one end must avoid can be with the other end only, and that one must move then.
     """
     for u, v in np.argwhere(np.triu(x.s, 1) > 0).tolist():
         rest = np.array([w for w in range(len(x)) if w not in (u, v)], int)
         a, b = x.s[u, rest], x.s[v, rest]
         a_off, b_off = a <= -INF, b <= -INF
-        # nodes that neither end may join are out; one that a single end may join blocks the rule
-        if (a_off != b_off).any() or (a >= INF).any() or (b >= INF).any():
+        if (a >= INF).any() or (b >= INF).any():
             continue
-        a, b, weight = a[~a_off], b[~a_off], int(x.s[u, v])
+        # nodes that neither end may join are out
+        both, weight = ~(a_off & b_off), int(x.s[u, v])
+        a, b = a[both], b[both]
         if 2 * weight >= int(np.abs(a - b).sum()) or weight >= _worst_change(a.tolist(), b.tolist()):
             return x.merge(u, v)
     return None
 
 
+#: The change of a move that a forbidden pair rules out, once and for all.
+NEVER = 10**15
+
+
 def _worst_change(a: list[int], b: list[int]) -> int:
     """Over all placements (with u, with v, with neither) the largest smaller change of the two moves."""
     best = {0: 0}
     for p, q in zip(a, b):
         new = dict(best)
         for first, second in best.items():
-            for f, t in ((first - q, second + p), (first + q, second - p)):
+            # with u, then with v; who must avoid the node cannot move to it
+            options = [] if p <= -INF else [(first - q if q > -INF else NEVER, second + p)]
+            options += [] if q <= -INF else [(first + q, second - p if p > -INF else NEVER)]
+            for f, t in options:
                 if new.get(f, -(10**18)) < t:
                     new[f] = t
         if len(new) > 20_000:
             return 10**18
-        best = new
+        # a move that is ruled out stays so, whatever comes after
+        best = {}
+        for f, t in new.items():
+            f, t = min(NEVER, f) if f < NEVER // 2 else NEVER, t if t < NEVER // 2 else NEVER
+            best[f] = max(best.get(f, t), t)
     return max(min(f, t) for f, t in best.items())
 
 

@@ -65,6 +65,26 @@ def test_reductions_keep_the_optimum():
             assert y is None or search.subset_table(y).cost == opt
 
 
+def test_complex_twins_beside_forbidden_pairs():
+    rng, joined = random.Random(12), 0
+    for _ in range(1500):
+        n = rng.randint(3, 6)
+        x = rand(rng, n, 0.6, 3)
+        for u in range(n):
+            for v in range(u):
+                if x.s[u, v] < 0 and rng.random() < 0.4:
+                    x.s[u, v] = x.s[v, u] = -INF
+        opt = search.subset_table(x).cost
+        try:
+            y = complex_twins(x)
+        except Infeasible:
+            y = None
+        if y is not None:
+            joined += 1
+            assert search.subset_table(y).cost == opt
+    assert joined > 200
+
+
 def test_bounds_are_below_the_optimum():
     rng = random.Random(3)
     for _ in range(80):
