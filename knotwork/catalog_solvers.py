@@ -22,8 +22,8 @@ from knotwork.storage import cut
 
 #: A threshold at which components reach 12 nodes at the smallest scales.
 DENSE = 0.375
-#: Seconds of search for a component, after which it would be returned unproved.
-SECONDS = 20.0
+#: Effort for a component, after which it is returned unproved: seconds and search nodes.
+SECONDS, NODES = 3.0, 2000
 #: Steps of the heuristics that the queries run.
 QUICK = Settings(first_tries=10, evo_steps=60, local_steps=1200)
 
@@ -73,34 +73,34 @@ def _judged(edges: DataFrame, result: DataFrame) -> DataFrame:
 def exact_cost_small(spark, sf_dir):
     """Optimal cost of every component of at most 8 nodes."""
     e = catalog._emb(spark, sf_dir)
-    return _judged(e, solve.exact(e, seconds=SECONDS)).where("n <= 8").select("comp", "cost")
+    return _judged(e, solve.exact(e, nodes_limit=NODES, seconds=SECONDS)).where("n <= 8").select("comp", "cost")
 
 
 @_query(_optimum(_D, "SELECT comp, n, cost, cost AS recomputed, TRUE AS proved FROM best"))
 def exact_cost_dense(spark, sf_dir):
     """Every component of the denser graph by reductions, bounds and branching alone, without the subset table."""
     e = _dense(spark, sf_dir)
-    return _judged(e, solve.exact(e, seconds=SECONDS, table=1)).select("comp", "n", "cost", "recomputed", "proved")
+    return _judged(e, solve.exact(e, nodes_limit=NODES, seconds=SECONDS, table=1)).select("comp", "n", "cost", "recomputed", "proved")
 
 
 @_query(_optimum(_D, "SELECT comp, TRUE AS searched FROM best WHERE m < n * (n - 1) // 2"))
 def exact_counters(spark, sf_dir):
     """Components that are no cliques, and whether rules, certificates or the search were counted there."""
     e = _dense(spark, sf_dir)
-    return _judged(e, solve.exact(e, seconds=SECONDS, table=1)).where("m < n * (n - 1) / 2").select("comp", (F.col("counters") != "").alias("searched"))
+    return _judged(e, solve.exact(e, nodes_limit=NODES, seconds=SECONDS, table=1)).where("m < n * (n - 1) / 2").select("comp", (F.col("counters") != "").alias("searched"))
 
 
 @_query(_optimum(catalog._E, "SELECT comp, n, cost, cost AS recomputed, TRUE AS proved FROM best"))
 def exact_assignment(spark, sf_dir):
     """Optimal clusters of the embedding graph, judged by component."""
     e = catalog._emb(spark, sf_dir)
-    return _judged(e, solve.exact(e, seconds=SECONDS)).select("comp", "n", "cost", "recomputed", "proved")
+    return _judged(e, solve.exact(e, nodes_limit=NODES, seconds=SECONDS)).select("comp", "n", "cost", "recomputed", "proved")
 
 
 def minimum_edits(spark, sf_dir) -> DataFrame:
     """(u, v, op): a minimum edit list of the embedding graph."""
     e = catalog._emb(spark, sf_dir)
-    return cost.edit_list(e, cut(solve.exact(e, seconds=SECONDS).select("node", "cluster")))
+    return cost.edit_list(e, cut(solve.exact(e, nodes_limit=NODES, seconds=SECONDS).select("node", "cluster")))
 
 
 @_query(_optimum(catalog._E, "SELECT comp, cost AS edits, TRUE AS cliques FROM best WHERE cost > 0"))
@@ -119,14 +119,14 @@ def exact_edits(spark, sf_dir):
 def exact_verified(spark, sf_dir):
     """The verifier's row for the optimal clustering."""
     e = catalog._emb(spark, sf_dir)
-    return cost.verify(e, ends(e), cut(solve.exact(e, seconds=SECONDS).select("node", "cluster")))
+    return cost.verify(e, ends(e), cut(solve.exact(e, nodes_limit=NODES, seconds=SECONDS).select("node", "cluster")))
 
 
-@_query(_optimum(_D, "SELECT comp, cost AS optimum, TRUE AS below, cost > 0 AS positive FROM best"))
+@_query(_optimum(catalog._E, "SELECT comp, cost AS optimum, TRUE AS below, cost > 0 AS positive FROM best"))
 def lower_bounds(spark, sf_dir):
     """Packing bounds of every component against its optimum: none above it, none 0 where it is not."""
-    e = _dense(spark, sf_dir)
-    best = _judged(e, solve.exact(e, seconds=SECONDS)).select("comp", F.col("cost").alias("optimum"))
+    e = catalog._emb(spark, sf_dir)
+    best = _judged(e, solve.exact(e, nodes_limit=NODES, seconds=SECONDS)).select("comp", F.col("cost").alias("optimum"))
     top = F.greatest("p3", "star", "bipartite")
     return solve.lower_bounds(e).join(best, "comp").select("comp", "optimum", (top <= F.col("optimum")).alias("below"), (F.least("p3", "star", "bipartite") > 0).alias("positive"))
 
@@ -150,7 +150,7 @@ def _refiner(step):
     @_query(_optimum(catalog._E, "SELECT comp, n, TRUE AS consistent, TRUE AS no_worse, TRUE AS above_optimum FROM best"))
     def query(spark, sf_dir):
         e = catalog._emb(spark, sf_dir)
-        best = _judged(e, solve.exact(e, seconds=SECONDS)).select("comp", F.col("cost").alias("optimum"))
+        best = _judged(e, solve.exact(e, nodes_limit=NODES, seconds=SECONDS)).select("comp", F.col("cost").alias("optimum"))
         got = _judged(e, solve.refined(e, step)).join(best, "comp")
         return got.select("comp", "n", (F.col("cost") == F.col("recomputed")).alias("consistent"), (F.col("cost") <= F.col("m")).alias("no_worse"), (F.col("cost") >= F.col("optimum")).alias("above_optimum"))
 
