@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from knotwork.llm.lm import encoder
+from knotwork.llm.lm import word_pieces
 from knotwork.llm.textkernel import slices, utf8, word_hashes, words
-from knotwork.storage import shared_dir
+from knotwork.storage import cut, shared_dir
 
 END, HEAD, BASE, ROWS, BLOCK = 0xC480, 5, 50_000, 4000, 1 << 18
 _SEPARATOR = "Ā"
@@ -67,20 +67,26 @@ def doc_ids(heads: np.ndarray) -> list[int | None]:
 def encode(column, ids: list) -> list[bytes]:
     """Header and token ids of each text, as big-endian 16-bit bytes.
 
-    A text is cut at white space; a word is encoded with a space before it, each distinct
-    word of a batch once.
+    A text is cut at white space; a word is encoded with a space before it, once for each worker.
     """
     data, offsets = utf8(column)
-    to_ids, out = encoder().encode_ordinary, []
+    out = []
     for a, b in slices(offsets):
         raw = data[offsets[a] : offsets[b]]
         _, starts, ends, per = words(raw, offsets[a : b + 1] - offsets[a])
-        _, first, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        flat = raw.tobytes()
-        made = [np.array(to_ids(" " + flat[x:y].decode()), ">u2").tobytes() for x, y in zip(starts[first].tolist(), ends[first].tolist())]
-        inverse = inverse.ravel().tolist()
-        for d in range(b - a):
-            out.append(header(ids[a + d]).tobytes() + b"".join([made[i] for i in inverse[per[d] : per[d + 1]]]))
+        key, first, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        flat, begin, size = word_pieces(raw.tobytes(), starts[first], ends[first], key)
+        inverse = inverse.ravel()
+        doc = np.repeat(np.arange(b - a), np.diff(per))
+        count = size[inverse] if len(size) else np.zeros(0, np.int64)
+        total = HEAD + np.bincount(doc, count, minlength=b - a).astype(np.int64)
+        edge = np.concatenate([[0], np.cumsum(total)])
+        made = np.zeros(edge[-1], ">u2")
+        made[edge[:-1, None] + np.arange(HEAD)] = np.stack([header(x) for x in ids[a:b]])
+        at = np.cumsum(count) - count
+        place = np.arange(count.sum()) - np.repeat(at, count)
+        made[np.repeat(at + HEAD * (doc + 1), count) + place] = flat[np.repeat(begin[inverse] if len(begin) else at, count) + place]
+        out += [made[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
     return out
 
 
@@ -147,13 +153,16 @@ def stitch(blocks: DataFrame, head: int = HEAD) -> DataFrame:
     # the pieces of documents at block edges: each block's head piece, and its tail piece after the last separator
     lead = numbered.select("file", F.col("run").alias("ordinal"), "block", F.lit(0).alias("side"), F.col("lead").alias("n"), F.col("lead_ids").alias("ids"), (F.col("seps") > 0).alias("ends"))
     tail = numbered.where("seps > 0").select("file", (F.col("run") + F.col("seps")).alias("ordinal"), "block", F.lit(1).alias("side"), F.col("tail").alias("n"), F.col("tail_ids").alias("ids"), F.lit(False).alias("ends"))
+    # ids of the document before each piece: a document over any number of blocks keeps few pieces
+    earlier = W.partitionBy("file", "ordinal").orderBy("block", "side").rowsBetween(W.unboundedPreceding, -1)
     edge = (
         lead.unionByName(tail)
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .groupBy("file", "ordinal")
         .agg(
             F.sum("n").alias("n"), F.max("ends").alias("closed"),
             # the first ids lie in the document's first pieces: at most one piece for each id is needed
-            F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("ids") > 0, F.struct("block", "side", "ids")))), lambda x: x["ids"])), 1, head).alias("first"),
+            F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.when((F.size("ids") > 0) & (F.col("before") < head), F.struct("block", "side", "ids")))), lambda x: x["ids"])), 1, head).alias("first"),
         )
         .where("n > 0 or closed")
         .select("file", "ordinal", "n", "first", "closed")
@@ -170,7 +179,8 @@ def count_tokens(spark: SparkSession, path: str) -> DataFrame:
             n = [max(0, x - HEAD) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids(np.array(heads, np.int64).reshape(-1, HEAD)), pa.int64()), pa.array(n, pa.int64()), batch.column(3), batch.column(0), batch.column(4)], names=["doc_id", "n_tokens", "closed", "file", "ordinal"])
 
-    found = stitch(scan_blocks(spark, path)).select("file", "n", "first", "closed", "ordinal")
+    # a few numbers a block, used three times
+    found = stitch(cut(scan_blocks(spark, path))).select("file", "n", "first", "closed", "ordinal")
     return found.mapInArrow(run, "doc_id long, n_tokens long, closed boolean, file string, ordinal long")
 
 
