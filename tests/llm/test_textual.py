@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import decontam, induced, jaccard_join, langid, lm, matroska, mixing, suffix_dedup, token_scan, toxicity
 from knotwork.llm.queries import remainder
-from knotwork.llm.textkernel import shingle_sets
+from knotwork.llm.textkernel import shingle_sets, utf8
 
 from .conftest import SCHEMA, words
 
@@ -73,50 +73,76 @@ def test_jaccard_families_in_many_leaves(spark, monkeypatch):
     assert got == brute_components(rows, percent=80)
 
 
-def test_router_never_loses_a_link():
+def test_jaccard_repeated_ids_and_rows_without_an_id(spark):
+    rng = random.Random(6)
+    base = words(rng, 100)
+    near = [*base[:50], "other", *base[51:]]
+    far = words(rng, 80)
+    rows = [(1, base), (1, far), (2, near), (None, far), (None, base), (5, base), (5, base), (7, far)]
+    rows = [(i, " ".join(w), None, None, None, None, None) for i, w in rows]
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), percent=80).collect()]
+    assert collections.Counter(got) == collections.Counter([(1, 1), (1, 1), (2, 1), (None, 1), (None, 1), (5, 1), (5, 1), (7, 1)])
+
+
+def test_common_passages_link_nothing(spark, monkeypatch):
+    """Texts that share a passage are no group; with small leaves the trees have several levels."""
+    for name, value in (("LEAF_BITS", 1 << 10), ("LEAST_BITS", 256), ("FAN", 2), ("LEAF_VOLUME", 300), ("LEAF_DOCS", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(12)
+    passage, rows = words(rng, 30), []
+    for i in range(90):
+        own = words(rng, rng.randint(40, 70))
+        rows.append((i, " ".join([*own, *passage]), None, None, None, None, None))
+        if i % 5 == 0:
+            for k in range(3):
+                w = [*own, *passage]
+                w[7 * k] = f"new{i}"
+                rows.append((1000 + 10 * i + k, " ".join(w), None, None, None, None, None))
+    for proposed in (0, 1 << 14):
+        monkeypatch.setattr(jaccard_join, "PROPOSED", proposed)
+        got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3), k=5, percent=80).collect())
+        assert got == brute_components(rows, k=5, percent=80)
+
+
+def some_set(rng, n):
+    return np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+
+
+def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(1)
-    router = jaccard_join.Router(85)
-    for n in (7, 9, 13, 20, 33, 60, 150, 400):
+    for n in (1, 2, 7, 13, 33, 150, 400):
         for _ in range(60):
-            t = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            t = some_set(rng, n)
             drop = int(rng.integers(0, n // 7 + 1))
-            add = 0
-            while drop < n and 100 * (n - drop) >= 85 * (n + add + 1) and rng.random() < 0.9:
-                add += 1
-            if 100 * (n - drop) < 85 * (n + add):
+            other = np.unique(np.concatenate([t[drop:], some_set(rng, int(rng.integers(0, n // 6 + 1)))]))
+            if 100 * len(np.intersect1d(t, other)) < 85 * len(np.union1d(t, other)):
                 continue
-            other = np.concatenate([t[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)])
-            a, b = router.keys(np.sort(t)), router.keys(np.sort(other))
-            assert np.array_equal(np.sort(t), np.sort(other)) or np.intersect1d(a, b).size
+            often = np.unique(np.concatenate([rng.choice(t, rng.integers(0, n + 1), replace=False), some_set(rng, 5)]))
+            for common in (np.zeros(0, np.uint64), often):
+                a, b = (jaccard_join.prefix(x, 85, common, np.arange(len(common))[::-1]) for x in (t, other))
+                assert np.intersect1d(a, b).size
 
 
-def test_signature_tree_prunes_only_impossible_pairs():
+def test_bounds_of_trees_and_bitmaps_keep_every_link():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
-    leaves = []
-    for i in range(20):
-        keep = base if i % 3 == 0 else rng.integers(0, 1 << 62, 180 + 5 * i, dtype=np.uint64)
-        leaves.append([np.sort(np.concatenate([keep[j:], rng.integers(0, 1 << 62, j, dtype=np.uint64)])) for j in range(3)])
-    nodes = []
-    for i, sets in enumerate(leaves):
-        bits = np.stack([jaccard_join.bitmap(t) for t in sets])
-        nodes.append((i, min(map(len, sets)), max(map(len, sets)), max(0, len(sets[0]).bit_length() - 10), np.bitwise_or.reduce(bits), np.bitwise_and.reduce(bits), None))
-    kept = set(jaccard_join.node_pairs(nodes, 85))
-    want = {(i, j) for i in range(20) for j in range(i + 1, 20) if len(jaccard_join.linked(leaves[i], leaves[j], 85))}
-    assert want <= kept and len(kept) < 190
-
-
-def test_screening_keeps_every_link():
-    rng = np.random.default_rng(8)
-    for size in (30, 300, 2000):
-        base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
-        make = lambda: [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 62, k, dtype=np.uint64)])) for k in rng.integers(0, size // 3, 12)]
-        a, b = make(), make()
-        n = [np.array([len(t) for t in x]) for x in (a, b)]
-        bits = [np.stack([jaccard_join.bitmap(t) for t in x]) for x in (a, b)]
-        left = jaccard_join.survivors(n[0], bits[0], np.arange(12), n[1], bits[1], np.arange(12) + 50, 85)
-        assert all(left[i, j] for i, j in jaccard_join.linked(a, b, 85))
-        assert not jaccard_join.survivors(n[0], bits[0], np.zeros(12), n[1], bits[1], np.zeros(12), 85).any()
+    for size in (20, 200, 3000):
+        base, leaves = some_set(rng, size), []
+        for i in range(16):
+            keep = base if i % 3 == 0 else some_set(rng, size + size * i // 12)
+            leaves.append([np.unique(np.concatenate([keep[j:], some_set(rng, j)])) for j in rng.integers(0, size // 4, 3)])
+        sizes = [np.array([len(t) for t in x]) for x in leaves]
+        bits = [jaccard_join._unpack_bits(b"".join(jaccard_join.bitmap(t).tobytes() for t in x), n) for x, n in zip(leaves, sizes)]
+        want = {(i, j) for i in range(16) for j in range(16) if i != j and len(jaccard_join.linked(leaves[i], leaves[j], 85))}
+        left = {(i, j) for i in range(16) for j in range(16) if i != j and jaccard_join.survivors(sizes[i], bits[i], sizes[j], bits[j], 85).any()}
+        assert want <= left and len(left) < 100
+        for i, j in want:
+            ok = jaccard_join.survivors(sizes[i], bits[i], sizes[j], bits[j], 85)
+            assert all(ok[x, y] for x, y in jaccard_join.linked(leaves[i], leaves[j], 85))
+        width = min(128, *(b.shape[1] for b in bits))
+        short = [jaccard_join.fold(b, width) for b in bits]
+        page = (np.array([n.min() for n in sizes]), np.array([n.max() for n in sizes]), np.stack([b.max(0) for b in short]), np.stack([b.min(0) for b in short]), np.zeros(16, np.int64))
+        fits = jaccard_join._fits(page, page, 85)
+        assert all(fits[i, j] for i, j in want)
 
 
 def brute_repeats(rows, length=200):
@@ -140,6 +166,30 @@ def test_suffix_dedup(docs, rows, length):
     assert got == brute_repeats(rows, length)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 8])
+def test_suffix_dedup_of_hot_grams(spark, monkeypatch, parts):
+    """One passage of 150 bytes with different surroundings everywhere: its grams are split."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "PARTS", parts)
+    rng = random.Random(parts)
+    passage, rows = "".join(rng.choice("abc ") for _ in range(150)), []
+    for i in range(40):
+        left, right = ("".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(2))
+        rows.append((i, left + passage + right, None, None, None, None, None))
+        if i % 4 == 0:
+            rows.append((100 + i, "other words " + left[-60:] + passage + right[: rng.randint(0, 40)], None, None, None, None, None))
+        if i % 5 == 0:
+            rows.append((200 + i, passage[40:] + passage + right, None, None, None, None, None))
+    got = sorted(tuple(r) for r in suffix_dedup.repeat_table(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert got == brute_repeats(rows) and sum(r[2] > 0 for r in got) > 10
+
+
+def test_contexts_of_long_texts_in_blocks(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
+    got = sorted(tuple(r) for r in suffix_dedup.repeat_table(docs).collect())
+    assert got == brute_repeats(rows)
+
+
 def test_removed_text(docs, rows):
     want = {i: sha for i, _, n, _, sha in brute_repeats(rows)}
     for r in suffix_dedup.remove_repeats(docs, length_col="n_chars").collect():
@@ -228,6 +278,28 @@ def test_language(docs, rows):
     assert all(got[r[0]].lang_pred == "und" and got[r[0]].score == 0 for r in rows if not (r[1] or "").strip())
 
 
+def test_scripts_without_spaces_are_cut_between_characters():
+    texts = ["語" * 5000 + " " + "x" * 200, "é" * 23 + "a" + "é" * 40, "short"]
+    data, offsets = utf8(pa.array(texts))
+    low, starts, ends, per = langid._units(*langid.words(data, offsets, langid.LETTER_SEP))
+    raw = low.tobytes()
+    for d, text in enumerate(texts):
+        own = [raw[a:b] for a, b in zip(starts[per[d] : per[d + 1]], ends[per[d] : per[d + 1]])]
+        assert b"".join(own) == text.replace(" ", "").encode() and max(map(len, own)) <= langid.UNIT
+        assert all(x.decode() for x in own)
+
+
+def test_many_languages_in_blocks(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join(words(rng, 30, lang)) for lang in ("en", "fr") * 6]
+    names = [f"{lang}{k}" for k, lang in enumerate(("en", "fr") * 6)]
+    vocabulary = [bytes([b]) for b in range(256)] + [b"th", b"eau", b"er"]
+    one = langid.train(texts, names, vocabulary)
+    monkeypatch.setattr(langid, "TOGETHER", 5)
+    two = langid.train(texts, names, vocabulary)
+    assert np.allclose(one.p, two.p)
+
+
 def test_forward_sums_all_segmentations():
     pieces = [bytes([b]) for b in range(256)] + ["▁a".encode(), b"ab", b"abc", b"bc"]
     rng = np.random.default_rng(0)
@@ -274,24 +346,50 @@ def test_lm_scores(docs, rows, monkeypatch):
 
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(0)
-    ids = rng.integers(0, 300, 4000).astype(np.int32)
+    ids = rng.integers(0, 300, 4000).astype(np.int64)
     ids[::50] = lm.END_ID
-    offsets = np.array([0, 1500, 1500, 4000])
-    model = lm.train(ids, offsets, steps=5)
+    model = lm.train(ids, np.array([0, 1500, 1500, 4000]), steps=5)
     look = lm.tables(model)
-    base = lm.log10_probability(ids[:40], np.array([0, 40]), model, look)[0]
-    step = [lm.log10_probability(np.append(ids[:40], i).astype(np.int32), np.array([0, 41]), model, look)[0] - base for i in range(0, lm.IDS, 97)]
-    every = np.array([lm.log10_probability(np.append(ids[:40], np.int32(i)), np.array([0, 41]), model, look)[0] - base for i in np.flatnonzero(model.klass == 3)[:50]])
-    assert max(step) < 0
-    share = 10 ** model.share
-    assert np.allclose(np.bincount(model.klass, share, minlength=lm.CLASSES), 1)
-    ratio = 10 ** (every - model.share[np.flatnonzero(model.klass == 3)[:50]])
-    assert np.allclose(ratio, ratio[0], rtol=1e-3)
+    base = lm.log10_probability(ids[:20], np.array([0, 20]), model, look)[0]
+    every = np.concatenate([np.tile(ids[:20], (lm.IDS, 1)), np.arange(lm.IDS)[:, None]], 1)
+    step = lm.log10_probability(every.ravel(), np.arange(lm.IDS + 1) * 21, model, look) - base
+    assert step.max() < 0 and math.isclose((10**step).sum(), 1, rel_tol=1e-3)
+    assert np.allclose(np.bincount(model.klass, model.share, minlength=lm.CLASSES), 1)
+
+
+def test_lm_against_plain_attention():
+    """Token by token with plain loops over the window, and pair counts from a dictionary."""
+    rng = np.random.default_rng(4)
+    ids = np.where(rng.random(600) < 0.5, rng.integers(0, 30, 600), rng.integers(0, 900, 600)).astype(np.int64)
+    offsets = np.array([0, 5, 5, 38, 200, 600])
+    model = lm.train(ids, offsets, steps=30)
+    pairs, w, d = collections.Counter(), model.weights, lm.WIDTH
+    for a, b in zip(offsets, offsets[1:]):
+        pairs.update(zip([lm.END_ID, *ids[a : b - 1].tolist()], ids[a:b].tolist()))
+
+    def within(before, token):
+        own = {i: n for (x, i), n in pairs.items() if x == before and model.klass[i] == model.klass[token]}
+        total = sum(own.values())
+        if not total:
+            return model.share[token]
+        return max(own.get(token, 0) - lm.DISCOUNT, 0) / total + sum(min(n, lm.DISCOUNT) for n in own.values()) / total * model.share[token]
+
+    got = lm.log10_probability(ids, offsets, model, lm.tables(model), chunk=3)
+    for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
+        doc, want = ids[a:b].tolist(), 0.0
+        for t, token in enumerate(doc):
+            first = t // lm.STRIDE * lm.STRIDE - lm.STRIDE
+            seen = [(j, lm.BEFORE_ROW if j == 0 else doc[j - 1]) for j in range(max(0, first), t + 1)]
+            x = np.stack([w["E"][i] + w["P"][j - first] for j, i in seen]).astype(float)
+            e = np.exp((x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(d))
+            z = (x[-1] + e / e.sum() @ (x @ w["v"])) @ w["o"] + w["b"]
+            want += math.log10(math.exp(z[model.klass[token]]) / np.exp(z).sum()) + math.log10(within(doc[t - 1] if t else lm.END_ID, token))
+        assert math.isclose(got[k], want, rel_tol=1e-4, abs_tol=1e-9)
 
 
 def test_lm_causality_and_windows():
     rng = np.random.default_rng(1)
-    ids = rng.integers(0, 200, 300).astype(np.int32)
+    ids = rng.integers(0, 200, 300).astype(np.int64)
     model = lm.train(ids, np.array([0, 300]), steps=5)
     look = lm.tables(model)
     part = [lm.log10_probability(ids[:n], np.array([0, n]), model, look)[0] for n in (1, 16, 17, 40, 300)]
@@ -300,6 +398,23 @@ def test_lm_causality_and_windows():
     assert np.allclose(two, [part[3], part[2]], rtol=1e-5)
 
 
+def test_lm_beats_words_out_of_context(spark, monkeypatch):
+    """Held-out texts in which a word depends on the word before it score above the base."""
+    monkeypatch.setattr(lm, "STEPS", 150)
+    rng = random.Random(21)
+    names = ["time", "people", "water", "house", "world", "school", "family", "group", "country", "problem", "hand", "place", "case", "week", "company", "system"]
+    after = {n: rng.sample(names, 3) for n in names}
+    rows = []
+    for i in range(300):
+        w = [rng.choice(names)]
+        for _ in range(rng.randint(20, 60)):
+            w.append(rng.choice(after[w[-1]]))
+        rows.append((i, " ".join(w)))
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), remainder(7) != 2).where(remainder(7) == 2).collect()
+    tokens_ = sum(r.n_tokens for r in got)
+    assert len(got) > 20 and sum(r.score for r in got) / tokens_ > sum(r.base_score for r in got) / tokens_ + 0.3
+
+
 def test_toxicity_finds_the_sentence(spark):
     rng = random.Random(9)
     rows, labels = [], []
@@ -364,6 +479,43 @@ def test_decontamination_of_one_edited_version(spark, total):
         assert {r.doc_id for r in found} == {*range(0, total, 15), *(r[0] for r in more)}
 
 
+def test_recall_against_exhaustive_alignment(spark):
+    """Paraphrases that lose, gain and change one word in four to one in ten, in long and short
+    documents, against the alignment of every document with every item."""
+    rng = random.Random(14)
+    items = [words(rng, rng.randint(15, 60)) for _ in range(25)]
+    rows = []
+    for i in range(250):
+        w = words(rng, rng.randint(10, 400))
+        if i % 2:
+            rate, leak = rng.uniform(0.1, 0.25), []
+            for x in items[rng.randrange(25)]:
+                r = rng.random()
+                leak += [x] if r > rate else [] if r < rate / 3 else [rng.choice(["one", "more", "edit"])] if r < rate * 2 / 3 else [x, "word"]
+            at = rng.randrange(len(w))
+            w[at:at] = leak
+        rows.append((i, " ".join(w), "en", "a", 0, None, None))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontam.leak_table(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    hashed = decontam.Items(list(range(25)), [" ".join(x) for x in items]).words
+    docs_ = decontam.Items(list(range(250)), [r[1] for r in rows]).words
+    want = {}
+    for k, x in enumerate(hashed):
+        score, _ = decontam.align(docs_, [x] * 250)
+        want |= {(d, k): s / (2 * len(x)) for d, s in enumerate(score.tolist()) if s / (2 * len(x)) >= decontam.THRESHOLD}
+    hit = set(want) & set(found)
+    assert len(want) > 60 and len(hit) >= 0.9 * len(want) and set(found) <= set(want)
+    assert sum(math.isclose(found[p], want[p]) for p in hit) >= 0.95 * len(hit)
+
+
+def test_repeated_item_in_one_long_passage(spark):
+    rng = random.Random(15)
+    item = words(rng, 20)
+    rows = [(0, " ".join(x for _ in range(300) for x in [*item, "between"]), "en", "a", 0, None, None), (1, " ".join([*words(rng, 900), *item]), "en", "a", 0, None, None)]
+    found = decontam.leak_table(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.score, r.end - r.start) for r in found} == {(0, 1.0, 20), (1, 1.0, 20)}
+
+
 def test_alignment_against_plain_table():
     rng = np.random.default_rng(2)
     for _ in range(40):
@@ -386,8 +538,7 @@ def test_mixing(docs, rows):
         by[r.source].append(r)
     for s, own in by.items():
         assert own[0].source_size == sum(r["size"] for r in own)
-        largest = max(r["size"] for r in own) * max(collections.Counter(r.doc_id for r in own).values())
-        assert abs(sum(r.taken for r in own) - own[0].target) <= largest and own[0].target <= 2 * own[0].source_size + 1e-6
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) and own[0].target <= 2 * own[0].source_size + 1e-6
     names = sorted((s for s in by if s is not None)) + [None]
     total, weight = 1.5 * sum(size[r[0]] for r in rows), dict(zip(names, [5, 2, 1] * 3))
     cap = {s: 2 * by[s][0].source_size for s in names}
@@ -411,6 +562,29 @@ def test_many_documents_mix_close_to_target(spark):
         assert abs(r.t - r.w) <= 97
 
 
+def test_repeated_rows_mix_close_to_target(spark):
+    """One row a thousand times beside distinct rows: both sources come as near as one document."""
+    rows = [(1, "five words are in here", "a")] * 1000 + [(i, "w " * (i % 9 + 1), "b") for i in range(2, 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_rows(df)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w"), F.max("size").alias("s")).collect():
+        assert abs(r.t - r.w) <= r.s
+    assert got.where("taken > 2 * size").count() == 0
+    want = {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r.n}
+    mixed = mixing.mixed_documents(df)
+    assert {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == want
+    assert mixed.where("doc_id = 1").select("copy_no").distinct().count() == want[1]
+
+
+def test_rounding_keeps_expectations(spark):
+    """Over many seeds a document is taken as often as its source's rate says."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, "w " * rng.randint(1, 40), "a" if i % 2 else "b") for i in range(24)], "doc_id long, text string, source string").coalesce(1).cache()
+    runs = [{r.doc_id: r for r in mixing.mix_rows(df, seed=s).collect()} for s in range(8)]
+    z = [(sum(run[i].copies for run in runs) / len(runs) - runs[0][i].target / runs[0][i].source_size) for i in range(24)]
+    assert abs(sum(z)) / 24 < 0.1 and max(map(abs, z)) < 0.6
+
+
 OPERATORS = {
     "toxicity": lambda d, s: toxicity.score(d, toxicity.fit(d, s.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))),
     "decontam": lambda d, s: decontam.leak_table(d, s.createDataFrame([(1, "some words here")], "item_id long, text string")),
@@ -437,30 +611,51 @@ def test_shingle_sets_of_slices():
     assert [len(s) for s in got] == [0, 0, 1, 2, 2, 0, 0, 1, 2] and got[3] == got[4] == got[8]
 
 
-def test_lm_gathers_from_every_document(spark):
+def test_lm_gathers_from_every_document(spark, monkeypatch):
     rng = random.Random(11)
     texts = [" ".join(words(rng, 12, "fr" if i % 2 else "en")) + f" x{i}   y café{i}" for i in range(900)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    model = lm.train_on(docs, F.lit(True))
-    enc, count = lm.encoder(), np.zeros(lm.IDS)
+    got, shards = lm._gathered(docs, F.lit(True), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 4)
+    monkeypatch.setattr(lm, "STEPS", 2)
+    model = lm._fit(got, 4, shards)
+    enc, count, pairs = lm.encoder(), np.zeros(lm.IDS), collections.Counter()
     for t in texts:
-        for w in re.findall(r"[^\x20\x09-\x0D]+", t):
-            np.add.at(count, enc.encode_ordinary(" " + w.lower()), 1)
-        count[lm.END_ID] += 1
+        ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", t) for i in enc.encode_ordinary(" " + w.lower())] + [lm.END_ID]
+        np.add.at(count, ids, 1)
+        pairs.update(zip([lm.END_ID, *ids], ids))
     soft = count + 0.02
-    assert np.allclose(10**model.share, soft / np.bincount(model.klass, soft, minlength=lm.CLASSES)[model.klass])
+    assert np.allclose(model.share, soft / np.bincount(model.klass, soft, minlength=lm.CLASSES)[model.klass])
     assert set(np.argsort(-count, kind="stable")[: lm.SINGLE]) == set(np.flatnonzero(model.klass < lm.SINGLE))
+    assert {divmod(c, lm.IDS): n for c, n in zip(model.pairs[0].tolist(), model.pairs[1].tolist())} == pairs
+
+
+def test_worker_keeps_words_up_to_its_bound(monkeypatch):
+    monkeypatch.setattr(lm, "KEPT", 40)
+    lm._held().pop("pieces", None)
+    rng, enc = random.Random(3), lm.encoder()
+    for _ in range(6):
+        w = [x.encode() for x in words(rng, 25, "fr")]
+        low = np.frombuffer(b"".join(w), np.uint8)
+        ends = np.cumsum([len(x) for x in w])
+        starts = ends - [len(x) for x in w]
+        ids, at = lm.subwords(low, starts, ends, lm.word_hashes(low, starts, ends), np.array([0, 10, 25]))
+        want = [[i for x in part for i in enc.encode_ordinary(" " + x.decode())] + [lm.END_ID] for part in (w[:10], w[10:])]
+        assert [ids[at[k] : at[k + 1]].tolist() for k in (0, 1)] == want and len(lm._held()["pieces"][0]) <= 40
+    lm._held().pop("pieces")
 
 
 def test_lm_trains_on_windows_of_every_shard(spark, docs, monkeypatch):
-    ids = np.arange(100).astype(np.int32)
-    number = np.arange(lm.IDS, dtype=np.int32)
-    inputs, targets, _ = lm._windows(number, ids, np.array([0, 30, 30, 100]))
-    _, span = lm._draw(ids, np.array([0, 30, 30, 100]), np.arange(3).astype(np.uint64), 1.0)
-    assert np.array_equal(np.where(span[:, : lm.WINDOW] < lm.IDS, span[:, : lm.WINDOW], span[:, : lm.WINDOW].astype(int) - lm.BEFORE + lm.INPUTS + 1), inputs)
-    assert np.array_equal(np.where(span[:, lm.STRIDE + 1 :] < lm.IDS, span[:, lm.STRIDE + 1 :].astype(int), -1), targets)
+    ids, offsets = np.arange(100).astype(np.int64), np.array([0, 30, 30, 100])
+    inputs, targets, _ = lm._windows(ids, offsets)
+    _, span = lm._draw(ids, offsets, np.arange(3).astype(np.uint64), 1.0)
+    span = span.astype(int)
+    rows = np.where(span < lm.IDS, span, span - lm.BEFORE + lm.BEFORE_ROW)
+    assert np.array_equal(rows[:, : lm.WINDOW], inputs)
+    assert np.array_equal(np.where(span[:, lm.STRIDE + 1 :] < lm.IDS, span[:, lm.STRIDE + 1 :], -1), targets)
     monkeypatch.setattr(lm, "STEPS", 20)
     monkeypatch.setattr(lm, "SHARD", 300)
-    one, two = (lm.train_on(d, F.lit(True)) for d in (docs, docs.repartition(7)))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    narrow = docs.select("doc_id", "text")
+    one, two = (lm._fit(*(lambda got, shards: (got, 4, shards))(*lm._gathered(d, F.lit(True), none, 4))) for d in (narrow, narrow.repartition(7)))
     assert all(np.allclose(one.weights[n], two.weights[n], atol=1e-4) for n in one.weights)
     assert np.array_equal(one.klass, two.klass)
