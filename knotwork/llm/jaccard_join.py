@@ -44,7 +44,7 @@ from knotwork.storage import Tables, cut, table
 #: Shingles in a leaf of sets, and documents in one.
 LEAF_VOLUME, LEAF_DOCS = 150_000, 256
 #: Bits in a leaf of bitmaps, and the least that a document counts for.
-LEAF_BITS, LEAST_BITS = 1 << 21, 1 << 12
+LEAF_BITS, LEAST_BITS = 1 << 23, 1 << 12
 #: Bits of an inner node at most, and children of one.
 NODE_BITS, FAN = 1024, 64
 FLUSH = 1 << 20
@@ -53,7 +53,7 @@ FLUSH = 1 << 20
 BUCKET_BYTES = 24_000_000
 #: Shingles that the order puts last, at most, and how many of them a task proposes. They only
 #: choose the order, which is valid whatever they are.
-COMMON, PROPOSED = 1 << 16, 1 << 14
+COMMON, PROPOSED = 1 << 19, 1 << 18
 
 
 def size_classes(percent: int, top: int) -> list[int]:
@@ -209,22 +209,34 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, klass int, bits binary, common binary")
 
 
-def _common(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(sketch: DataFrame, made: Tables) -> tuple[np.ndarray, np.ndarray]:
     """The most widely shared shingles, at most ``COMMON``, sorted, and the rank of each."""
 
-    def run(batches):
+    def unpacked(batches):
         for batch in batches:
-            pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in batch.column(0).to_pylist()]
-            token, many = (np.concatenate([p[i] for p in pairs] or [np.zeros(0, np.uint64)]).view(np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(many)], names=["token", "many"])
+            for x in batch.column(0).to_pylist():
+                token, many = np.frombuffer(x, np.uint64).reshape(2, -1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(many)], names=["token", "many"])
 
-    every = sketch.where("common is not null").select("common").mapInArrow(run, "token long, many long")
-    top = every.groupBy("token").agg(F.sum("many").alias("many")).orderBy(F.desc("many"), "token").limit(COMMON).toPandas()
-    token, many = top["token"].to_numpy(np.int64).view(np.uint64), top["many"].to_numpy(np.int64)
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["token", "many"])
+
+    every = sketch.where("common is not null").select("common").mapInArrow(unpacked, "token long, many long")
+    level = F.floor(F.log2("many") * 4).cast("int").alias("level")
+    counted = made.write(every.groupBy("token").agg(F.sum("many").alias("many")).select("token", "many", level))
+    least, held = 1 << 20, 0
+    for r in counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        held += r.n
+        if held > COMMON:
+            break
+        least = r.level
+    got = counted.where(F.col("level") >= least).select("token", "many").mapInArrow(packed, "token binary, many binary").collect()
+    token, many = (np.concatenate([np.zeros(0, d), *(np.frombuffer(r[n], d) for r in got)]) for n, d in (("token", np.uint64), ("many", np.int64)))
     rank = np.empty(len(token), np.int64)
     rank[np.lexsort((token, many))] = np.arange(len(token))
     order = np.argsort(token)
-    return token[order], rank[order]
+    return token[order], rank[order].astype(np.int32)
 
 
 def _routed(texts: DataFrame, k: int, percent: int, buckets: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -459,6 +471,22 @@ def _beside(pairs: DataFrame, leaves: DataFrame, cols: tuple[str, ...]) -> DataF
     return pairs.join(side("a"), ["comp", "ka", "a"]).join(side("b"), ["comp", "kb", "b"])
 
 
+def _allowed(ids_a, size_a, bits_a, ids_b, size_b, bits_b, percent: int, own: bool, step: int = 256):
+    """Ends of the document pairs that bitmaps allow, a strip of the table at a time."""
+    u, v = [], []
+    for k in range(0, len(ids_a), step):
+        strip = slice(k, k + step)
+        i, j = np.nonzero(survivors(size_a[strip], bits_a[strip], size_b, bits_b, percent))
+        if own:
+            i, j = i[i + k < j], j[i + k < j]
+        u.append(ids_a[strip][i])
+        v.append(ids_b[j])
+        if sum(map(len, u)) > 1 << 20:
+            p, q = local_forest(np.concatenate(u), np.concatenate(v))
+            u, v = [p], [q]
+    return u, v
+
+
 def _screened(leaves: DataFrame, pairs: DataFrame | None, percent: int) -> DataFrame:
     """A forest of the document pairs that bitmaps allow, within each leaf and between the pairs."""
 
@@ -470,20 +498,19 @@ def _screened(leaves: DataFrame, pairs: DataFrame | None, percent: int) -> DataF
         for batch in batches:
             u, v = [], []
             for r in batch.to_pylist():
-                ids, sizes, bits = side(r, "")
-                i, j = np.nonzero(np.triu(survivors(sizes, bits, sizes, bits, percent), 1))
-                u.append(ids[i])
-                v.append(ids[j])
+                mine = side(r, "")
+                p, q = _allowed(*mine, *mine, percent, True)
+                u += p
+                v += q
             yield _edges(u, v)
 
     def between(batches):
         for batch in batches:
             u, v = [], []
             for r in batch.to_pylist():
-                (ids_a, *a), (ids_b, *b) = side(r, "a_"), side(r, "b_")
-                i, j = np.nonzero(survivors(*a, *b, percent))
-                u.append(ids_a[i])
-                v.append(ids_b[j])
+                p, q = _allowed(*side(r, "a_"), *side(r, "b_"), percent, False)
+                u += p
+                v += q
             yield _edges(u, v)
 
     out = leaves.select("ids", "sizes", "bits").mapInArrow(within, "u long, v long")
@@ -635,7 +662,7 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         every = sketch.where("node is not null").select("node", F.col("n_shingles").alias("n"), "klass", "bits")
         # a set sends 1 - p of its shingles, of 12 bytes
         volume = (every.agg(F.sum("n")).first()[0] or 0) * 12 * (100 - percent) // 100
-        packed = _routed(texts, k, percent, max(2, volume // BUCKET_BYTES), _common(sketch))
+        packed = _routed(texts, k, percent, max(2, volume // BUCKET_BYTES), _common(sketch, made))
         coarse = connected_components(_coarse_edges(packed))
         members = every.dropDuplicates(["node"]).join(coarse, "node")
         tight = _tight(members, percent, made)
