@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import chat, decontam, jaccard_join, langid, lm, matroska, mixing, suffix_dedup, token_scan, toxicity
+from knotwork.llm import chat, decontam, filter_audit, jaccard_join, langid, lm, matroska, merkle, mixing, suffix_dedup, token_scan, toxicity
 from knotwork.storage import read_table
 
 
@@ -79,9 +79,24 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(remainder(7) == 2, F.lit(False)))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    before, text = ("doc_id", "source", "lang", "n_chars"), F.col("text")
+    capitals = "".join(chr(c) for c in range(65, 91))
+    lower = merkle.leaf_hash(*(F.col(c) for c in before), F.translate(text, capitals, capitals.lower()))
+    leaf = merkle.leaf_hash(*(F.col(c) for c in before), text)
+    proofs, _ = merkle.merkle(docs, leaf, carried={"tampered": F.when(remainder(3) == 0, lower).otherwise(leaf)})
+    digest, fold = merkle.proof_digest(F.col("lefts"), F.col("rights")), merkle.folded(F.col("tampered"), F.col("lefts"), F.col("rights"))
+    return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", digest.alias("proof_sha256"), fold.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op7_chat_rotation, op8_mix, op9_matroska, op10_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op7_chat_rotation, op8_mix, op9_matroska, op10_lm_score, op11_merkle, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_rotation": chat.ROTATE_SQL}
+    return {"op7_chat_rotation": chat.ROTATE_SQL, "op11_merkle": merkle.MERKLE_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
