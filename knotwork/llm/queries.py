@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import chat, decontam, filter_audit, jaccard_join, langid, lm, matroska, merkle, mixing, suffix_dedup, token_scan, toxicity
+from knotwork.llm import chat, decontam, embed_dedup, filter_audit, jaccard_join, langid, lm, matroska, merkle, mixing, suffix_dedup, token_scan, toxicity
 from knotwork.storage import read_table
 
 
@@ -90,12 +90,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", digest.alias("proof_sha256"), fold.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op7_chat_rotation, op8_mix, op9_matroska, op10_lm_score, op11_merkle, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_ngram_jaccard, op7_chat_rotation, op8_mix, op9_matroska, op10_lm_score, op11_merkle, op12_embedding_dedup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
