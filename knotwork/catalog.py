@@ -430,13 +430,13 @@ def edit_sink(spark, sf_dir):
 
 def queries() -> dict:
     """Every registered query."""
-    from knotwork import catalog_solvers
+    from knotwork import catalog_large, catalog_solvers
 
-    return _QUERIES | catalog_solvers.queries()
+    return _QUERIES | catalog_solvers.queries() | catalog_large.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that have one."""
-    from knotwork import catalog_solvers
+    from knotwork import catalog_large, catalog_solvers
 
-    return _SQL | catalog_solvers.oracle_sql()
+    return _SQL | catalog_solvers.oracle_sql() | catalog_large.oracle_sql()

@@ -60,12 +60,33 @@ def best_moves(edges: DataFrame, assign: DataFrame, isolate: bool = True, stay:
     return moves if stay else moves.where("delta < 0")
 
 
-def accepted_moves(moves: DataFrame) -> DataFrame:
-    """The moves that are first, by (delta, node), on both clusters they touch."""
-    touched = moves.withColumn("c", F.explode(F.when(F.col("target").isNull(), F.array("source")).otherwise(F.array("source", "target"))))
-    order = W.partitionBy("c").orderBy("delta", "node")
-    ranked = touched.withColumn("r", F.row_number().over(order))
-    return ranked.groupBy("node", "source", "target", "delta").agg(F.max("r").alias("r")).where("r = 1").drop("r")
+def accepted_moves(moves: DataFrame, seed: int | None = None) -> DataFrame:
+    """The moves that are first, by (delta, node), on both clusters they touch.
+
+    With a ``seed`` a hash of the node takes the place of the node, so that equal moves along a chain
+    of clusters do not wait for each other, and two more passes take moves that touch no
+    cluster of those taken before.
+    """
+    if seed is None:
+        touched = moves.withColumn("c", F.explode(F.when(F.col("target").isNull(), F.array("source")).otherwise(F.array("source", "target"))))
+        order = W.partitionBy("c").orderBy("delta", "node")
+        ranked = touched.withColumn("r", F.row_number().over(order))
+        return ranked.groupBy("node", "source", "target", "delta").agg(F.max("r").alias("r")).where("r = 1").drop("r")
+    left, taken = moves, None
+    for k in range(3):
+        key = F.struct("delta", F.xxhash64(F.lit(seed * 3 + k), "node").alias("h"), "node")
+        sides = left.withColumn("k", key).withColumn("c", F.explode(F.when(F.col("target").isNull(), F.array("source")).otherwise(F.array("source", "target"))))
+        first = sides.groupBy("c").agg(F.min("k").alias("first"))
+        judged = cut(sides.join(first, "c").groupBy("node", "source", "target", "delta").agg(F.bool_and(F.col("k.node") == F.col("first.node")).alias("wins")))
+        now = judged.where("wins").drop("wins")
+        taken = now if taken is None else taken.unionByName(now)
+        used = now.select(F.explode(F.array("source", "target")).alias("c")).where("c is not null").distinct()
+        left = judged.where("not wins").drop("wins").join(used.withColumnRenamed("c", "source"), "source", "left_anti").join(used.withColumnRenamed("c", "target"), "target", "left_anti").select("node", "source", "target", "delta")
+        if k < 2:
+            left = cut(left)
+            if left.isEmpty():
+                break
+    return taken
 
 
 def apply_moves(assign: DataFrame, moves: DataFrame) -> DataFrame:
@@ -81,7 +102,7 @@ def apply_moves(assign: DataFrame, moves: DataFrame) -> DataFrame:
 
 def round_of_moves(edges: DataFrame, assign: DataFrame, seed: int | None = None) -> tuple[DataFrame, int, int]:
     """One round: the new assignment, the number of moves and the sum of their deltas."""
-    picked = cut(accepted_moves(best_moves(edges, assign, seed=seed)))
+    picked = cut(accepted_moves(cut(best_moves(edges, assign, seed=seed)) if seed is not None else best_moves(edges, assign), seed))
     n, delta = picked.agg(F.count("*"), F.coalesce(F.sum("delta"), F.lit(0))).first()
     return (cut(apply_moves(assign, picked)) if n else assign), int(n), int(delta)
 

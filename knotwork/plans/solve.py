@@ -2,8 +2,8 @@
 
 The cost separates over connected components, so a component is the unit of parallel work:
 components are labelled, their edges meet by component, and a kernel solves each. Components
-above ``KERNEL_NODES`` never reach a kernel; the distributed label propagation handles them,
-whatever their size. Heuristic replicas are rows too: every component takes its own best one.
+above ``KERNEL_NODES`` are handled on tables, whatever their size: moves of nodes and of sets of
+nodes, certificates of clusters and reductions, until kernels can take what is left. Heuristic replicas are rows too: every component takes its own best one.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from knotwork.operators import cost, moves
 from knotwork.operators.components import connected_components
 from knotwork.operators.measure import p3_packing
-from knotwork.plans import bounds, refine, search
+from knotwork.plans import bounds, refine, search, shrink
 from knotwork.plans.evolve import portfolio
 from knotwork.plans.instance import Instance
 from knotwork.sources.config import Settings
@@ -74,8 +74,9 @@ def exact(edges: DataFrame, nodes_limit: int | None = None, seconds: float | Non
     Every component of up to ``most`` nodes is searched until it is proved, or for ``nodes_limit``
     search nodes and ``seconds``, if given. One whose effort runs out has the better of the
     search's and the portfolio's clustering and a lower bound, and is proved only if both agree.
-    Larger components, which no kernel takes, have label propagation and a packing bound. Only
-    nodes with an edge appear.
+    Larger components, and with ``most`` 0 all of them, are frozen and reduced on tables first, and
+    only what is left goes to kernels; one that stays too large keeps its best clustering, unproved
+    unless a packing bound meets it. Only nodes with an edge appear.
     """
     e = cut(edges)
     comps = cut(connected_components(e))
@@ -96,24 +97,36 @@ def exact(edges: DataFrame, nodes_limit: int | None = None, seconds: float | Non
         counters = ",".join(f"{k}={v}" for k, v in sorted(s.counters.items()))
         return _rows(int(key[0]), ids, label, value, lower, proved, counters)
 
-    return small.groupBy("comp").applyInPandas(run, _RESULT).unionByName(_large(e, comps, large))
+    proving = {"most": KERNEL_NODES if most == 0 else most, "nodes": nodes_limit, "seconds": seconds, "seed": seed}
+    return small.groupBy("comp").applyInPandas(run, _RESULT).unionByName(_large(e, comps, large, proving=proving))
 
 
-def _large(edges: DataFrame, comps: DataFrame, large: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """Components beyond the kernels, by distributed label propagation and a packing of triples."""
+def _large(edges: DataFrame, comps: DataFrame, large: DataFrame, start: DataFrame | None = None, proving: dict | None = None) -> DataFrame:
+    """Components beyond the kernels: moves of nodes and of sets on tables, and a packing bound.
+
+    With ``proving`` (options of ``shrink.solve_tables``) also certificates and reductions; a component
+    that they solve altogether is proved.
+    """
     empty = comps.limit(0).select("comp", "node", F.col("node").alias("cluster"), F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("lower"), F.lit(False).alias("proved"), F.lit("").alias("counters"))
     if large.limit(1).count() == 0:
         return empty
-    inside = comps.join(large, "comp", "left_semi")
+    inside = cut(comps.join(large, "comp", "left_semi"))
     part = cut(edges.join(inside.select(F.col("node").alias("u"), "comp"), "u").select("u", "v", "comp"))
     flat = part.select("u", "v")
     first = None if start is None else cut(inside.join(start, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster")))
-    assign, _ = moves.label_propagation(flat, first)
-    table = cost.cluster_table(flat, assign).join(assign.join(comps, "node").groupBy("cluster").agg(F.min("comp").alias("comp")), "cluster")
+    if proving is None:
+        assign, counters = cut(shrink.heuristic_assignment(flat, first)).withColumn("proved", F.lit(False)), "set_moves"
+    else:
+        assign, found = shrink.solve_tables(flat, start=first, **proving)
+        counters = ",".join(f"{k}={v}" for k, v in sorted(found.items()))
+    held = inside.join(assign, "node")
+    table = cost.cluster_table(flat, assign.select("node", "cluster")).join(held.groupBy("cluster").agg(F.min("comp").alias("comp")), "cluster")
     value = table.groupBy("comp").agg(F.sum(F.col("size") * (F.col("size") - 1) / 2 - F.col("internal") + F.col("external") / 2).cast("long").alias("cost"))
-    packed = p3_packing(flat).join(comps.select(F.col("node").alias("center"), "comp"), "center").groupBy("comp").agg(F.count("*").alias("lower"))
-    both = value.join(packed, "comp", "left").select("comp", "cost", F.coalesce("lower", F.lit(0)).cast("long").alias("lower"))
-    return assign.join(comps, "node").join(both, "comp").select("comp", "node", "cluster", "cost", "lower", (F.col("cost") == F.col("lower")).alias("proved"), F.lit("label_propagation").alias("counters"))
+    packed = p3_packing(flat).join(comps.select(F.col("node").alias("center"), "comp"), "center").groupBy("comp").agg(F.count("*").alias("bound"))
+    exactly = held.groupBy("comp").agg(F.bool_and("proved").alias("all"))
+    bound = F.when(F.col("all"), F.col("cost")).otherwise(F.coalesce("bound", F.lit(0))).cast("long")
+    both = value.join(exactly, "comp").join(packed, "comp", "left").select("comp", "cost", bound.alias("lower"))
+    return held.select("node", "cluster", "comp").join(both, "comp").select("comp", "node", "cluster", "cost", "lower", (F.col("cost") == F.col("lower")).alias("proved"), F.lit(counters).alias("counters"))
 
 
 def lower_bounds(edges: DataFrame, most: int = KERNEL_NODES) -> DataFrame:

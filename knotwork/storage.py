@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bits of an estimated size that no real table comes near.
+ESTIMATE = 256
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder; the path may be in any store Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,8 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written rows.
 
     Reliable: a lost executor loses nothing, since the files are in shared storage.
+
+    A checkpoint keeps the planner's estimate of its size. In loops that join the last round's
+    table with itself the estimate is squared in every round, until planning is all about numbers
+    of millions of digits; beyond ``ESTIMATE`` bits the rows go through Parquet, which has sizes.
     """
     shared_dir(df.sparkSession)
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() > ESTIMATE:
+        return table(df)
     return df.checkpoint(eager=True)
 
 
