@@ -39,7 +39,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     solver = Clusterer(edges, nodes)
     lap("import")
     if args[0] == "exact":
-        result = cut(solver.exact(seed=cfg.seed, seconds=cfg.seconds))
+        result = cut(solver.exact(seed=cfg.seed, seconds=cfg.seconds if any(a.startswith("--time-limit") for a in args) else None))
         if result.where("not proved").limit(1).count():
             log.warning("some components are not proved optimal")
     else:

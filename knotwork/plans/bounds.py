@@ -4,7 +4,8 @@ A conflict triple u-v-w (two positive pairs, one negative) costs at least its sm
 weight. A star is a centre with leaves that are positive to it and pairwise negative; of its
 edges all but one must go, or leaves must be joined, so k leaves cost (k - 1) times the
 smallest weight. A complete bipartite piece generalises stars. Pieces that do not overuse any
-pair's weight add up. Any packing is a valid bound; local search improves it.
+pair's weight add up. Any packing is a valid bound; local search improves it,
+and one that a deadline cuts short is valid too.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections import Counter
 
 import numpy as np
 
+from knotwork.plans import clock
 from knotwork.plans.instance import INF, Infeasible, Instance, pair_costs
 
 
@@ -77,6 +79,8 @@ class Packing:
     def fill(self, limit: int | None = None) -> None:
         """Triples greedily at full capacity; stops above the limit."""
         for u in range(len(self.left)):
+            if clock.late():
+                return
             for _, v, w in self.free_triples(u):
                 c = self.capacity((u, (v, w)))
                 if c:
@@ -116,6 +120,8 @@ def p3_packing(x: Instance, limit: int | None = None, seed: int = 1, idle: int =
         todo = list(pack.pieces)
         rng.shuffle(todo)
         for piece in todo:
+            if clock.late():
+                return pack
             if piece not in pack.pieces:
                 continue
             old = pack.value
@@ -174,7 +180,7 @@ def star_packing(x: Instance, limit: int | None = None, seed: int = 1, idle: int
     rng, pack = random.Random(seed), Packing(x.s)
     order = sorted(range(len(x)), key=lambda u: (-int((x.s[u] > 0).sum()), u))
     for u in order:
-        while True:
+        while not clock.late():
             near = np.flatnonzero((pack.sign[u] > 0) & (pack.left[u] > 0))
             if len(near) < 2:
                 break
@@ -196,6 +202,8 @@ def star_packing(x: Instance, limit: int | None = None, seed: int = 1, idle: int
         todo = list(pack.pieces)
         rng.shuffle(todo)
         for piece in todo:
+            if clock.late():
+                return pack
             if piece not in pack.pieces:
                 continue
             center, leaves = piece
@@ -229,6 +237,8 @@ def bipartite_bound(x: Instance) -> int:
         return p3_packing(x).value
     free, sign, total = np.ones_like(x.s, bool), np.sign(x.s), 0
     for u, v, w in triples(x.s):
+        if clock.late():
+            break
         if not (free[u, v] and free[u, w] and free[v, w]):
             continue
         sides = [[u], [v, w]]
@@ -269,6 +279,7 @@ def forced_by(x: Instance, budget: int, bound=star_packing) -> Instance | None:
         at[i, [piece[0], *piece[1]]] = True
         weights[i] = weight * (len(piece[1]) - 1)
     for u in range(len(x)):
+        clock.check()
         for v in range(u + 1, len(x)):
             rest = int(weights[~(at[:, u] | at[:, v])].sum())
             if x.s[u, v] < INF and rest + int(icf[u, v]) > left:
@@ -292,12 +303,14 @@ def forced_single_merge(x: Instance, budget: int, k: int = 10) -> Instance | Non
     p = np.maximum(x.s, 0)
     scores = []
     for u, v in np.argwhere(np.triu(x.s, 1) > 0).tolist():
+        clock.check()
         rest = [w for w in range(len(x)) if w not in (u, v)]
         a, b = x.s[u, rest], x.s[v, rest]
         common = int(np.minimum(p[u, rest], p[v, rest]).sum())
         apart = (a > 0) & (b < 0) | (a < 0) & (b > 0)
         scores.append((int(x.s[u, v]) + common - int(np.minimum(np.abs(a), np.abs(b))[apart].sum()), u, v))
     for _, u, v in sorted(scores, reverse=True)[:k]:
+        clock.check()
         y = x.forbid(u, v)
         if y.spent + lower_bound(y, budget - y.spent) > budget:
             return x.merge(u, v)

@@ -11,6 +11,8 @@ from itertools import combinations
 
 import numpy as np
 
+from knotwork.plans import clock
+
 INF = 10**9
 
 
@@ -112,6 +114,7 @@ class Instance:
         """Join permanent pairs until none is left."""
         out = self
         while True:
+            clock.check()
             at = np.argwhere(np.triu(out.s, 1) >= INF)
             if not len(at):
                 return out
@@ -130,6 +133,7 @@ def pair_costs(x: Instance) -> tuple[np.ndarray, np.ndarray]:
     p, n = np.maximum(s, 0), len(x)
     icf, icp = p.copy(), np.maximum(-s, 0)
     for w in range(n):
+        clock.check()
         a = np.minimum.outer(np.abs(s[:, w]), np.abs(s[:, w]))
         pos = s[:, w] > 0
         both, one = np.logical_and.outer(pos, pos), np.logical_xor.outer(pos, pos)
@@ -176,6 +180,7 @@ def simple_twins(x: Instance) -> Instance | None:
     for u, v in combinations(range(n), 2):
         if x.s[u, v] < 0:
             continue
+        clock.check()
         rest = [w for w in range(n) if w not in (u, v)]
         a, b = x.s[u, rest], x.s[v, rest]
         if (np.sign(a) != np.sign(b)).any() or ((a <= -INF) != (b <= -INF)).any() or ((a >= INF) != (b >= INF)).any():
@@ -197,6 +202,7 @@ def complex_twins(x: Instance) -> Instance | None:
     that one end must avoid can be with the other end only, and that one must move then.
     """
     for u, v in np.argwhere(np.triu(x.s, 1) > 0).tolist():
+        clock.check()
         rest = np.array([w for w in range(len(x)) if w not in (u, v)], int)
         a, b = x.s[u, rest], x.s[v, rest]
         a_off, b_off = a <= -INF, b <= -INF
@@ -218,6 +224,7 @@ def _worst_change(a: list[int], b: list[int]) -> int:
     """Over all placements (with u, with v, with neither) the largest smaller change of the two moves."""
     best = {0: 0}
     for p, q in zip(a, b):
+        clock.check()
         new = dict(best)
         for first, second in best.items():
             # with u, then with v; who must avoid the node cannot move to it
@@ -243,6 +250,7 @@ def heavy_edge_single(x: Instance) -> Instance | None:
         for v in range(n):
             if u == v or x.s[u, v] <= 0:
                 continue
+            clock.check()
             rest = [w for w in range(n) if w not in (u, v)]
             row = np.where(x.s[u, rest] <= -INF, np.maximum(x.s[v, rest], 0), np.abs(x.s[v, rest]))
             if int(row.sum()) <= int(x.s[u, v]):
@@ -254,6 +262,7 @@ def heavy_edge_both(x: Instance) -> Instance | None:
     """An edge whose ends standing alone cost no more than splitting them is joined."""
     p = np.maximum(x.s, 0)
     for u, v in np.argwhere(np.triu(x.s, 1) > 0).tolist():
+        clock.check()
         rest = [w for w in range(len(x)) if w not in (u, v)]
         a, b = p[u, rest], p[v, rest]
         if int(a.sum() + b.sum()) <= int(x.s[u, v] + np.minimum(a, b).sum()):

@@ -14,6 +14,7 @@ from collections import deque
 
 import numpy as np
 
+from knotwork.plans import clock
 from knotwork.plans.instance import Instance
 
 
@@ -104,7 +105,7 @@ def label_propagation(st: State, rounds: int, rng: random.Random, order: str = "
     elif order == "degree_decreasing":
         nodes.sort(key=lambda u: -degree[u])
     doubled = False
-    while k < rounds:
+    while k < rounds and not clock.late():
         k += 1
         if order == "random":
             rng.shuffle(nodes)
@@ -300,7 +301,7 @@ def best_of_runs(x: Instance, runs: int = 200, rounds: int = 500, seed: int = 1,
     """Best labels and cost of several shuffled label propagations from singletons; stops at ``lower``."""
     best, cost = np.arange(len(x)), State(x).cost()
     for r in range(runs):
-        if cost <= lower:
+        if cost <= lower or clock.late():
             break
         st = State(x)
         label_propagation(st, rounds, random.Random(seed * 1000 + r), "random")

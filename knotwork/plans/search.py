@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 
-from knotwork.plans import bounds
+from knotwork.plans import bounds, clock
 from knotwork.plans.instance import INF, RULES, Infeasible, Instance, distance_rule, induced_costs
 from knotwork.plans.refine import best_of_runs
 
@@ -81,6 +81,7 @@ class Search:
 
     def _tick(self) -> None:
         self.counters["nodes"] += 1
+        clock.check()
         if (self.nodes is not None and self.counters["nodes"] > self.nodes) or (self.until and time.monotonic() > self.until):
             raise OutOfEffort
 
@@ -216,7 +217,7 @@ def cluster_certificates(x: Instance, label: np.ndarray, search: Search, most: i
         try:
             if put == 0 or search.within(y, put - 1) is None:
                 out.append(own.tolist())
-        except OutOfEffort:
+        except (OutOfEffort, clock.OutOfTime):
             break
     return out
 
@@ -224,16 +225,26 @@ def cluster_certificates(x: Instance, label: np.ndarray, search: Search, most: i
 def solve(x: Instance, limit: int | None = None, nodes: int | None = None, seconds: float | None = None, seed: int = 1, table: int | None = None) -> Solution:
     """Solve one instance; ``worked`` is false if effort or budget ran out, with the best found so far.
 
-    Without ``nodes`` and ``seconds`` the search goes on until it has a proof. Instances up to
-    ``table`` nodes, and what reductions leave of that size, go to the subset dynamic program.
+    Without ``nodes`` and ``seconds`` the search goes on until it has a proof. ``seconds`` hold for
+    bounds, upper bounds and reductions too. Instances up to ``table`` nodes, and what
+    reductions leave of that size, go to the subset dynamic program.
     """
+    with clock.deadline(seconds):
+        return _solve(x, limit, nodes, seconds, seed, table)
+
+
+def _solve(x: Instance, limit: int | None, nodes: int | None, seconds: float | None, seed: int, table: int | None) -> Solution:
     counters: Counter = Counter()
     table = TABLE_NODES if table is None else table
     if len(x) <= table:
         s = subset_table(x)
         s.worked &= limit is None or s.cost <= limit
         return s
-    upper_label, upper = best_of_runs(x, runs=UPPER_RUNS, rounds=UPPER_ROUNDS, seed=seed, lower=bounds.lower_bound(x))
+    # a quarter of the time each for the first bound and the first clustering, which are the answer if time runs out
+    with clock.deadline(None if seconds is None else seconds / 4):
+        bound = bounds.lower_bound(x)
+    with clock.deadline(None if seconds is None else seconds / 4):
+        upper_label, upper = best_of_runs(x, runs=UPPER_RUNS, rounds=UPPER_ROUNDS, seed=seed, lower=bound)
     upper += x.spent
     found = [sorted(sum((x.members[i] for i in np.flatnonzero(upper_label == c)), [])) for c in np.unique(upper_label)]
     fallback = Solution(False, upper, sorted(found), 0, counters)
@@ -285,6 +296,6 @@ def solve(x: Instance, limit: int | None = None, nodes: int | None = None, secon
         if limit is not None and total > limit:
             proved = False
         return Solution(proved, total, sorted(cliques), total, counters)
-    except OutOfEffort:
-        fallback.lower = min(upper, spent + lower + x.spent)
+    except (OutOfEffort, clock.OutOfTime):
+        fallback.lower = min(upper, max(bound, spent + lower) + x.spent)
         return fallback

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from knotwork.operators import cost, moves
 from knotwork.operators.components import connected_components
 from knotwork.operators.measure import p3_packing
-from knotwork.plans import bounds, refine, search, shrink
+from knotwork.plans import bounds, clock, refine, search, shrink
 from knotwork.plans.evolve import portfolio
 from knotwork.plans.instance import Instance
 from knotwork.sources.config import Settings
@@ -84,13 +84,15 @@ def exact(edges: DataFrame, nodes_limit: int | None = None, seconds: float | Non
 
     def run(key, pdf):
         x, ids = local_instance(pdf)
-        s = search.solve(x, nodes=nodes_limit, seconds=seconds, seed=seed, table=table)
+        s = search.solve(x, nodes=nodes_limit, seconds=None if seconds is None else 0.7 * seconds, seed=seed, table=table)
         label, value, lower, proved = np.zeros(len(ids), int), s.cost, s.lower, s.worked
         for k, c in enumerate(s.cliques):
             label[c] = k
         if not proved:
-            lower = max(lower, bounds.lower_bound(x, seed=seed))
-            found, cost_, _ = portfolio(x, Settings(first_tries=4, evo_steps=60, local_steps=1200), seed, None if seconds is None else time.monotonic() + seconds, label, lower)
+            rest = None if seconds is None else 0.3 * seconds
+            with clock.deadline(rest):
+                lower = max(lower, bounds.lower_bound(x, seed=seed))
+                found, cost_, _ = portfolio(x, Settings(first_tries=4, evo_steps=60, local_steps=1200), seed, None if rest is None else time.monotonic() + rest, label, lower)
             if cost_ < value:
                 label, value = found, cost_
             proved = lower == value

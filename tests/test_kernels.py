@@ -1,6 +1,7 @@
 """Kernels against brute force and the subset dynamic program."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -204,3 +205,13 @@ def test_welford_stops_without_gain():
     for _ in range(10):
         w.push(0.0)
     assert w.stop(5)
+
+
+def test_seconds_hold_for_everything_a_kernel_does():
+    """Bounds, first clusterings, reductions and the search share one deadline; what is left is valid."""
+    rng = random.Random(9)
+    x = Instance.from_edges(300, [(i, j) for j in range(300) for i in range(j) if rng.random() < 0.1])
+    began = time.monotonic()
+    s = search.solve(x, seconds=2)
+    assert time.monotonic() - began < 4 and not s.worked
+    assert sorted(i for c in s.cliques for i in c) == list(range(300)) and 0 < s.lower <= s.cost < (x.s > 0).sum() // 2
