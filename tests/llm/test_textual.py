@@ -576,6 +576,16 @@ def test_repeated_rows_mix_close_to_target(spark):
     assert mixed.where("doc_id = 1").select("copy_no").distinct().count() == want[1]
 
 
+def test_one_long_document_does_not_miss_the_target(spark):
+    """A document of a third of its source's words: small ones fill what it leaves, to a hundredth of the target."""
+    rng = random.Random(8)
+    rows = [(1000 * k, "w " * 5000, f"s{k}") for k in range(6)] + [(1000 * k + i, "w " * rng.randint(20, 180), f"s{k}") for k in range(6) for i in range(1, 101)]
+    got = mixing.mix_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w")).collect():
+        assert abs(r.t - r.w) <= 0.01 * r.w
+    assert got.where("taken > 2 * size").count() == 0
+
+
 def test_rounding_keeps_expectations(spark):
     """Over many seeds a document is taken as often as its source's rate says."""
     rng = random.Random(2)
