@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork import catalog, catalog_solvers
-from knotwork.operators import cost, moves, setmoves
+from knotwork.operators import cost, graph, moves, setmoves
 from knotwork.operators.graph import arcs
-from knotwork.plans import shrink, solve
+from knotwork.plans import regions, shrink, solve
 from knotwork.storage import cut
 
 _SQL: dict[str, str] = {}
@@ -123,6 +123,29 @@ def heavy_pairs_of_twins(spark, sf_dir):
     return shrink.heavy_pairs(shrink.contract(x, cut(shrink.twin_pairs(x))))
 
 
+_CORE = f"""RECURSIVE {catalog._P}, {catalog._DEG},
+k AS (SELECT 0 AS i, node, degree AS core, TRUE AS moved FROM d
+  UNION ALL SELECT i + 1, node, h, bool_or(h < core) OVER () FROM (SELECT k.i, a.src AS node, any_value(x.core) AS core,
+    list_max(list_transform(list_reverse_sort(list(k.core)), lambda c, r: least(c, r))) AS h FROM k JOIN a ON a.dst = k.node JOIN k x ON x.node = a.src AND x.i = k.i WHERE k.moved GROUP BY 1, 2))"""
+
+
+@_query(f"WITH {_CORE} SELECT node, core FROM k WHERE i = (SELECT max(i) FROM k)")
+def core_numbers(spark, sf_dir):
+    """The core number of every part."""
+    return graph.core_numbers(catalog._part(spark, sf_dir))
+
+
+@_query(catalog._with(catalog._P, f"{catalog._ARCS} SELECT count(DISTINCT src) AS nodes, TRUE AS adds_up, TRUE AS gains FROM a"))
+def region_round(spark, sf_dir):
+    """Evolution in regions of the part graph, from every node with its smallest neighbour: nodes, whether
+    the regions' gains add up to the fall of the cost, and whether it falls."""
+    e = catalog._part(spark, sf_dir)
+    start = cut(smallest_neighbor(e))
+    end, _, delta = regions.region_round(e, start, steps=50)
+    fell = cost.objectives(e, start).first()["edits"] - cost.objectives(e, end).first()["edits"]
+    return end.agg(F.count_distinct("node").alias("nodes")).select("nodes", F.lit(fell == -delta).alias("adds_up"), F.lit(delta < 0).alias("gains"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

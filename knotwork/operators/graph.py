@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from knotwork.storage import cut
 
@@ -150,3 +151,30 @@ def bounded_reach(edges: DataFrame, start: DataFrame, depth: int, degree_limit:
         frontier = hop.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def core_numbers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, core): the largest k such that a subgraph of degrees of at least k holds the node.
+
+    From the degree downwards, a round replaces every node's number by the largest h such that h
+    neighbours have at least h; the fixpoint is the core. Neighbours are counted by number, capped by
+    the node's own, with map-side combine, so a hub brings as many rows as it has distinct numbers.
+    Raises if ``rounds`` do not suffice.
+    """
+    a = cut(arcs(edges))
+    now = cut(degrees(edges).select("node", F.col("degree").alias("core")))
+    down = W.partitionBy("node").orderBy(F.desc("n"))
+    for _ in range(rounds):
+        seen = a.join(now.select(F.col("node").alias("dst"), F.col("core").alias("n")), "dst").join(now.withColumnRenamed("node", "src"), "src")
+        counts = seen.groupBy(F.col("src").alias("node"), "core", F.least("n", "core").alias("n")).agg(F.count("*").alias("m"))
+        ranked = counts.withColumn("many", F.sum("m").over(down))
+        next_ = cut(ranked.groupBy("node", "core").agg(F.max(F.least("n", "many")).alias("h")))
+        if next_.where("h < core").isEmpty():
+            return now
+        now = next_.select("node", F.col("h").alias("core"))
+    raise RuntimeError(f"core numbers have not settled after {rounds} rounds")
+
+
+def degeneracy_order(edges: DataFrame) -> DataFrame:
+    """(node, core, key): nodes by falling core number, then degree and id; ``key`` sorts them so."""
+    return core_numbers(edges).join(degrees(edges), "node").select("node", "core", F.struct(-F.col("core"), -F.col("degree"), "node").alias("key"))

@@ -9,9 +9,9 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
-_UNTIL: ContextVar[float | None] = ContextVar("until", default=None)
+#: The moment of the deadline. A kernel has one thread, and a list goes to executors by value with the functions.
+_UNTIL: list[float | None] = [None]
 
 
 class OutOfTime(Exception):
@@ -21,19 +21,18 @@ class OutOfTime(Exception):
 @contextmanager
 def deadline(seconds: float | None) -> Iterator[None]:
     """Limit what runs inside to some seconds, or to what an outer deadline leaves."""
-    outer = _UNTIL.get()
+    outer = _UNTIL[0]
     own = None if seconds is None else time.monotonic() + seconds
-    mark = _UNTIL.set(outer if own is None else own if outer is None else min(own, outer))
+    _UNTIL[0] = outer if own is None else own if outer is None else min(own, outer)
     try:
         yield
     finally:
-        _UNTIL.reset(mark)
+        _UNTIL[0] = outer
 
 
 def late() -> bool:
     """Whether the deadline has passed."""
-    until = _UNTIL.get()
-    return until is not None and time.monotonic() > until
+    return _UNTIL[0] is not None and time.monotonic() > _UNTIL[0]
 
 
 def check() -> None:

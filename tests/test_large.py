@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.operators import cost, moves, setmoves
-from knotwork.plans import search, shrink, solve
+from knotwork.operators import cost, graph, setmoves
+from knotwork.plans import regions, search, shrink, solve
 from knotwork.plans.instance import Instance
 from knotwork.storage import cut
 
@@ -95,3 +95,35 @@ def test_estimates_do_not_grow_over_rounds(spark):
     for _ in range(12):
         df = cut(df.join(df.select(F.col("a").alias("b")), F.col("a") == F.col("b")).join(df.select(F.col("a").alias("c")), F.col("a") == F.col("c")).select("a"))
     assert df.count() == 50 and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 3000
+
+
+def test_regions_gain_what_they_say_and_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    edges = cut(spark.createDataFrame(random_parts(rng, 3, 30, 0.15), TWO))
+    assign = cut(cost.singletons(edges).select("node", (F.col("node") - F.col("node") % 3).alias("cluster")))
+    drawn = regions.draw_regions(edges, assign, nodes=24, seed=2)
+    assert drawn.groupBy("cluster").count().where("count > 1").count() == 0
+    before = cost.objectives(edges, assign).first()["edits"]
+    after, n, delta = regions.region_round(edges, assign, steps=30, seed=2, nodes=24)
+    assert n > 1 and delta < 0 and cost.objectives(edges, after).first()["edits"] == before + delta
+    again, _, other = regions.region_round(edges.repartition(3), assign.repartition(2), steps=30, seed=2, nodes=24)
+    assert other == delta and again.exceptAll(after).count() == 0
+
+
+def test_core_numbers(spark):
+    rng = random.Random(6)
+    rows = random_parts(rng, 2, 40, 0.15) + [(100, 101)]
+    got = {r.node: r.core for r in graph.core_numbers(spark.createDataFrame(rows, TWO)).collect()}
+    near = {}
+    for u, v in rows:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    want, k, left = {}, 0, set(near)
+    while left:
+        low = [u for u in left if len(near[u] & left) <= k]
+        if low:
+            want |= dict.fromkeys(low, k)
+            left -= set(low)
+        else:
+            k += 1
+    assert got == want
