@@ -148,7 +148,7 @@ def bounded_reach(edges: DataFrame, start: DataFrame, depth: int, degree_limit:
         if degree_limit is not None:
             draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "src", "dst"), F.lit(1 << 53)) / F.lit(float(1 << 53))
             hop = hop.where(draw * F.col("degree") <= degree_limit)
-        frontier = hop.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step))
+        frontier = cut(hop.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionByName(frontier)
     return seen
 

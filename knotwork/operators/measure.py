@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from knotwork.operators.graph import arcs, common_neighbors, degrees, edge_triangles, ends, triangles, wedges
+from knotwork.storage import cut
 
 
 def p3_list(edges: DataFrame) -> DataFrame:
@@ -167,9 +168,10 @@ def p3_packing(edges: DataFrame, rounds: int = 3) -> DataFrame:
     taken = None
     pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     for _ in range(rounds):
+        rest = cut(rest)
         flat = rest.withColumn("p", F.explode(F.array(pair("center", "v"), pair("center", "w"), pair("v", "w"))))
         first = flat.withColumn("r", F.row_number().over(W.partitionBy("p").orderBy("h", "center", "v", "w")))
-        now = first.groupBy("center", "v", "w").agg(F.max("r").alias("r")).where("r = 1").select("center", "v", "w")
+        now = cut(first.groupBy("center", "v", "w").agg(F.max("r").alias("r")).where("r = 1").select("center", "v", "w"))
         taken = now if taken is None else taken.unionByName(now)
         used = now.select(F.explode(F.array(pair("center", "v"), pair("center", "w"), pair("v", "w"))).alias("p")).distinct()
         hit = flat.join(used, "p", "left_semi").select("center", "v", "w").distinct()

@@ -13,6 +13,7 @@ CHECKED = [
     "graph_edges_emb", "graph_edges_part", "degrees", "degree_stats", "p3_count_per_pair", "triangle_count", "icf_icp", "twins", "kernel_candidates", "components",
     "cluster_table", "edit_list_modular", "move_ratings", "lp_round_1", "contract_twins", "heavy_edge_single", "special_instance", "hop_distances", "scan_graph_file", "scan_solution", "edit_sink",
     "exact_cost_dense", "exact_edits", "lower_bounds", "heuristic_portfolio", "heuristic_restarts", "refine_boundary_fm", "mutations",
+    "set_moves_dissolve", "set_moves_merge", "set_moves_split", "set_moves_swap", "heavy_pairs_of_twins", "core_numbers", "region_round", "bounded_reach",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
