@@ -216,7 +216,8 @@ def portfolio(x: Instance, cfg: Settings, seed: int = 1, deadline: float | None
     """
     rng = random.Random(seed)
     evo = Evolution(x, cfg, rng)
-    evo.special = label is not None and is_special(x, label, cfg.special_edges)
+    special = lambda own: is_special(x, own, cfg.special_edges) if cfg.special is None else cfg.special
+    evo.special = bool(cfg.special) if label is None else special(label)
     best = None
     late = lambda: deadline is not None and time.monotonic() > deadline
     until = time.monotonic() + cfg.first_seconds
@@ -229,7 +230,7 @@ def portfolio(x: Instance, cfg: Settings, seed: int = 1, deadline: float | None
         if best[0] <= lower or time.monotonic() > until or late():
             break
     evo.pool[0] = [best[0], best[1].copy()]
-    evo.special = is_special(x, best[1], cfg.special_edges)
+    evo.special = special(best[1])
     history, rate, idle = [best[0]], {"evolution": None, "localized": None}, {"evolution": 0, "localized": 0}
     left = {"evolution": cfg.evo_steps if cfg.use_evolution else 0, "localized": cfg.local_steps if cfg.use_localized else 0}
     size = {"evolution": cfg.burst, "localized": cfg.burst * cfg.local_per_step}

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import cost, moves
 from knotwork.operators.components import connected_components
+from knotwork.operators.graph import degrees, ends
 from knotwork.operators.measure import p3_packing
 from knotwork.plans import bounds, clock, refine, search, shrink
 from knotwork.plans.evolve import portfolio
@@ -175,16 +176,32 @@ def _replicated(edges: DataFrame, replicas: int, kernel, most: int, start: DataF
     return rows.join(best, ["comp", "replica"], "left_semi").drop("replica").unionByName(_large(e, comps, large, start))
 
 
+def configured(edges: DataFrame, settings: Settings) -> Settings:
+    """Settings for the whole graph: its size decides on steps, and aggregates on whether it is special.
+
+    A special instance is very large and sparse, and label propagation leaves only tiny clusters.
+    """
+    n, m = ends(edges).count(), edges.count()
+    cfg = settings.for_size(n, m)
+    if cfg.special is None:
+        top = degrees(edges).agg(F.max("degree")).first()[0] if m > cfg.special_edges else None
+        cfg.special = top is not None and top < 20 and bool(cost.special_instance(edges, cut(moves.label_propagation(edges, seed=1)[0]), cfg.special_edges).first()["special"])
+    return cfg
+
+
 def heuristic(edges: DataFrame, settings: Settings | None = None, replicas: int = 2, most: int = KERNEL_NODES, start: DataFrame | None = None, first: int = 0) -> DataFrame:
     """Portfolio of evolutions on every component; the columns of ``exact``.
 
     Every replica obeys the settings' steps and seconds, and ends at once where its cost meets
     the component's packing bound. It starts from ``start(node, cluster)`` if given.
     """
-    given = settings or Settings()
+    edges = cut(edges)
+    cfg = configured(edges, settings or Settings())
+    tasks, many = edges.sparkSession.sparkContext.defaultParallelism, max(1, edges.count())
 
     def kernel(x: Instance, seed: int, label):
-        cfg = given.for_size(len(x), int((x.s > 0).sum() // 2))
+        # without a number of steps to end it, a component has its share of the time
+        share = 1.0 if cfg.evo_steps < 2**62 else min(1.0, tasks * int((x.s > 0).sum() // 2) / many)
         lower = bounds.lower_bound(x)
         if not (cfg.use_evolution or cfg.use_localized):
             st = refine.State(x, label)
@@ -196,7 +213,7 @@ def heuristic(edges: DataFrame, settings: Settings | None = None, replicas: int
             if cfg.use_localized_fm:
                 refine.localized_fm(st, rng, cfg.fm_seeds)
             return st.label, st.cost(), lower
-        label, value, _ = portfolio(x, cfg, cfg.seed + seed, time.monotonic() + cfg.seconds, label, lower)
+        label, value, _ = portfolio(x, cfg, cfg.seed + seed, time.monotonic() + share * cfg.seconds, label, lower)
         return label, value, lower
 
     return _replicated(edges, replicas, kernel, most, start, first)

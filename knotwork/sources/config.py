@@ -95,6 +95,8 @@ class Settings:
     burst: int = 10
     local_per_step: int = 20
     special_edges: int = 1_000_000
+    #: Whether the whole graph is a special instance; None leaves that to each component.
+    special: bool | None = None
     at_once: int = 4
 
     #: Options that are read and checked, and change nothing.

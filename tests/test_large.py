@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.operators import cost, graph, setmoves
 from knotwork.plans import regions, search, shrink, solve
 from knotwork.plans.instance import Instance
+from knotwork.sources.config import Settings
 from knotwork.storage import cut
 
 TWO = "u long, v long"
@@ -127,3 +128,15 @@ def test_core_numbers(spark):
         else:
             k += 1
     assert got == want
+
+
+def test_the_whole_graph_decides_on_the_configuration(spark):
+    """Forty paths of three nodes are special once that many edges suffice; with a clique of eight they are not."""
+    paths = [(3 * k, 3 * k + 1) for k in range(40)] + [(3 * k + 1, 3 * k + 2) for k in range(40)]
+    clique = [(200 + i, 200 + j) for j in range(8) for i in range(j)]
+    few = Settings(special_edges=50)
+    assert solve.configured(cut(spark.createDataFrame(paths, TWO)), few).special is True
+    assert solve.configured(cut(spark.createDataFrame(paths + clique, TWO)), few).special is False
+    assert solve.configured(cut(spark.createDataFrame(paths, TWO)), Settings()).special is False
+    best = solve.heuristic(spark.createDataFrame(paths + clique, TWO), Settings(special=True, first_tries=2, evo_steps=10, local_steps=100), replicas=1)
+    assert sum(r.cost for r in best.groupBy("comp").agg(F.first("cost").alias("cost")).collect()) == 40
