@@ -314,3 +314,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     linked = lookup(every.select("id", "g", "a", "b"), told, ["g", "a", "b"], "w", total, copies)
     out = linked.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     return out.unionByName(named.where("g is null").select(F.col("id").alias(id_col), *alone))
+
+
+#: DuckDB SQL of the query over ``embeddings``, by all pairs of a label.
+LINK_SQL = """
+WITH RECURSIVE g AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) >= 0.93 ELSE FALSE END),
+r AS (SELECT vec_id, vec_id AS reach FROM embeddings UNION SELECT r.vec_id, l.v FROM r JOIN l ON l.u = r.reach),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1), n AS (SELECT u, count(*) AS n FROM l GROUP BY 1)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.u = c.vec_id
+"""

@@ -103,4 +103,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_rotation": chat.ROTATE_SQL, "op11_merkle": merkle.MERKLE_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
+    return {"op7_chat_rotation": chat.ROTATE_SQL, "op11_merkle": merkle.MERKLE_SQL, "op12_embedding_dedup": embed_dedup.LINK_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}

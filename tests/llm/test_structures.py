@@ -27,7 +27,7 @@ def plain(rows):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op11_merkle", "op13_filter_audit"])
+@pytest.mark.parametrize("name", ["op11_merkle", "op12_embedding_dedup", "op13_filter_audit"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
@@ -191,6 +191,14 @@ def test_vector_links(spark, monkeypatch, block, entries):
     assert all(a[1] <= b[1] for a, b in zip(default, want))
 
 
+def test_sql_of_links():
+    rows = vector_rows()
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[], label int)")
+    con.executemany("insert into embeddings values (?, ?, ?)", rows)
+    assert sorted(con.execute(embed_dedup.LINK_SQL).fetchall()) == brute_links(rows)
+
+
 def test_lists_and_codes_keep_every_link():
     """The code's bound holds for every pair, and lists within the distance are asked."""
     rng = np.random.default_rng(4)
