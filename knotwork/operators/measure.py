@@ -110,9 +110,13 @@ def heavy_edges_single(pairs: DataFrame) -> DataFrame:
 def heavy_non_edges(edges: DataFrame) -> DataFrame:
     """(u, v): non-adjacent pairs at distance 2 with an end of degree 1; they may be forbidden.
 
-    Pairs further apart that qualify are forbidden by distance already.
+    Pairs further apart that qualify are forbidden by distance already. Only the arcs around the one
+    neighbour of such an end are joined, so a graph's other wedges are never listed.
     """
-    return near_pairs(edges).where("edge = 0 and least(du, dv) <= 1").select("u", "v")
+    a = arcs(edges)
+    leaves = a.join(degrees(edges).where("degree = 1").select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("leaf"), F.col("dst").alias("src"))
+    beyond = leaves.join(a, "src").where("dst <> leaf")
+    return beyond.select(F.least("leaf", "dst").alias("u"), F.greatest("leaf", "dst").alias("v")).distinct()
 
 
 def kernel_candidates(edges: DataFrame) -> DataFrame:
