@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from knotwork import catalog, catalog_solvers
 from knotwork.operators import cost, graph, setmoves
 from knotwork.plans import regions, search, shrink, solve
 from knotwork.plans.instance import Instance
@@ -140,3 +141,12 @@ def test_the_whole_graph_decides_on_the_configuration(spark):
     assert solve.configured(cut(spark.createDataFrame(paths, TWO)), Settings()).special is False
     best = solve.heuristic(spark.createDataFrame(paths + clique, TWO), Settings(special=True, first_tries=2, evo_steps=10, local_steps=100), replicas=1)
     assert sum(r.cost for r in best.groupBy("comp").agg(F.first("cost").alias("cost")).collect()) == 40
+
+
+def test_small_components_are_solved_without_the_large_ones(spark, monkeypatch):
+    """Of a triangle with a tail and a path of 40 nodes only the first is handed to the solver."""
+    rows = [(0, 1), (0, 2), (1, 2), (2, 3)] + [(k, k + 1) for k in range(10, 49)]
+    given, exact = [], solve.exact
+    monkeypatch.setattr(catalog, "_emb", lambda *_: cut(spark.createDataFrame(rows, TWO)))
+    monkeypatch.setattr(solve, "exact", lambda e, **options: given.append(e.count()) or exact(e, **options))
+    assert [tuple(r) for r in catalog_solvers.exact_cost_small(spark, "").collect()] == [(0, 1)] and given == [4]
