@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork.functions.quartiles import statistics
+from knotwork import storage
 from knotwork.operators import cost, graph, measure, moves
 from knotwork.operators.components import component_labels, connected_components
 from knotwork.plans import solve
@@ -200,3 +201,13 @@ def test_heuristic_is_between_bound_and_singletons(six):
     assert r.agg(F.max("cost")).first()[0] == 1
     c = solve.Clusterer(six)
     assert c.edits(c.exact()).count() == 1
+
+
+def test_hop_distances_write_every_pair_once(spark, monkeypatch):
+    path, written = spark.createDataFrame([(k, k + 1) for k in range(12)], "u long, v long"), []
+    for name in ("cut", "table"):
+        write = getattr(storage, name)
+        monkeypatch.setattr(graph, name, lambda df, write=write: written.append(df.count()) or write(df), raising=False)
+    got = {(r.source, r.node): r.hops for r in graph.hop_distances(path, spark.range(13)).collect()}
+    assert got == {(a, b): abs(a - b) for a in range(13) for b in range(13)}
+    assert sum(written) == len(got) + 2 * 12
