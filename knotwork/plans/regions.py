@@ -41,22 +41,32 @@ def draw_regions(edges: DataFrame, assign: DataFrame, hops: int = 2, nodes: int
     One cluster in about ``nodes / 4`` nodes' worth is a seed, by a hash. Clusters join the first
     region, by the hash, that reaches them, hop by hop. A region that would be too large
     keeps a share of what joins, by the hash again, so its size is bounded though a hub may have
-    any number of neighbours. Clusters above ``nodes`` nodes belong to no region.
+    any number of neighbours. Clusters that no seed reaches, as in most small components, then make
+    regions of their own around those that come first, by the hash, among their neighbours. Clusters
+    above ``nodes`` nodes belong to no region.
     """
     h = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sizes = cut(cluster_sizes(assign).where(F.col("size") <= nodes))
     near = cut(cluster_graph(edges, assign))
+
+    def spread(held: DataFrame, free: DataFrame) -> DataFrame:
+        for hop in range(hops):
+            reach = held.select(F.col("cluster").alias("a"), "region").join(near, "a").groupBy(F.col("b").alias("cluster")).agg(F.min_by("region", F.struct(h(F.col("region")), "region")).alias("region"))
+            new = cut(reach.join(held.select("cluster"), "cluster", "left_anti").join(free, "cluster").select("cluster", "region", "size"))
+            room = held.groupBy("region").agg((F.lit(nodes) - F.sum("size")).alias("room"))
+            wanted = new.groupBy("region").agg(F.sum("size").alias("wanted"))
+            rate = room.join(wanted, "region").select("region", (F.col("room") / F.col("wanted")).alias("rate"))
+            fits = new.join(rate, "region").where(h(F.lit(hop), F.col("cluster")) < F.col("rate")).select("cluster", "region", "size")
+            held = cut(held.unionByName(fits))
+        return held
+
     share = F.greatest(F.col("size") / F.lit(nodes / 4), F.lit(1e-9))
-    held = cut(sizes.where(h(F.col("cluster")) < share).select("cluster", F.col("cluster").alias("region"), "size"))
-    for hop in range(hops):
-        reach = held.select(F.col("cluster").alias("a"), "region").join(near, "a").groupBy(F.col("b").alias("cluster")).agg(F.min_by("region", F.struct(h(F.col("region")), "region")).alias("region"))
-        new = cut(reach.join(held.select("cluster"), "cluster", "left_anti").join(sizes, "cluster").select("cluster", "region", "size"))
-        room = held.groupBy("region").agg((F.lit(nodes) - F.sum("size")).alias("room"))
-        wanted = new.groupBy("region").agg(F.sum("size").alias("wanted"))
-        rate = room.join(wanted, "region").select("region", (F.col("room") / F.col("wanted")).alias("rate"))
-        fits = new.join(rate, "region").where(h(F.lit(hop), F.col("cluster")) < F.col("rate")).select("cluster", "region", "size")
-        held = cut(held.unionByName(fits))
-    return held.select("cluster", "region")
+    held = spread(cut(sizes.where(h(F.col("cluster")) < share).select("cluster", F.col("cluster").alias("region"), "size")), sizes)
+    free = cut(sizes.join(held.select("cluster"), "cluster", "left_anti"))
+    key = lambda c: F.struct(h(F.col(c)).alias("h"), F.col(c).alias("c"))
+    beside = near.join(free.select(F.col("cluster").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("cluster")).agg(F.min(key("a")).alias("first"))
+    seeds = free.join(beside, "cluster", "left").where(F.col("first").isNull() | (key("cluster") < F.col("first")))
+    return held.unionByName(spread(cut(seeds.select("cluster", F.col("cluster").alias("region"), "size")), free)).select("cluster", "region")
 
 
 def region_round(edges: DataFrame, assign: DataFrame, steps: int = 200, seed: int = 0, hops: int = 2, nodes: int = NODES, settings: Settings | None = None) -> tuple[DataFrame, int, int]:
@@ -82,6 +92,8 @@ def region_round(edges: DataFrame, assign: DataFrame, steps: int = 200, seed: in
         rng = random.Random(int(key[0]) * 7919 + seed)
         st = State(x, start)
         before = st.cost()
+        if before == 0:
+            return pd.DataFrame({"region": [], "node": [], "cluster": [], "delta": []}, dtype="int64")
         refine.boundary_fm(st, rng, least=len(ids), passes=2)
         for _ in range(steps):
             localized_step(st, cfg, rng)

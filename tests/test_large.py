@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork import catalog, catalog_solvers
+from knotwork import catalog, catalog_large, catalog_solvers
 from knotwork.operators import cost, graph, setmoves
 from knotwork.plans import regions, search, shrink, solve
 from knotwork.plans.instance import Instance
@@ -112,6 +112,25 @@ def test_regions_gain_what_they_say_and_do_not_depend_on_partitions(spark):
     assert other == delta and again.exceptAll(after).count() == 0
 
 
+def test_a_round_reaches_every_small_component(spark):
+    """Two hundred paths of four nodes, each cut off at both ends: a start of twice the least cost."""
+    edges = cut(spark.createDataFrame([(4 * k + i, 4 * k + i + 1) for k in range(200) for i in range(3)], TWO))
+    start = cut(cost.singletons(edges).select("node", F.expr("node - if(node % 4 = 2, 1, 0)").alias("cluster")))
+    drawn = regions.draw_regions(edges, start)
+    assert drawn.count() == drawn.select("cluster").distinct().count() == 600
+    end, n, delta = regions.region_round(edges, start, steps=20)
+    assert 100 < n == -delta <= 200 and cost.objectives(edges, end).first()["edits"] == 400 + delta
+
+
+def test_a_start_that_is_least_need_not_gain(spark, monkeypatch):
+    """Of pairs and triples of nodes no clustering costs less than the first one."""
+    rows = [(10 * k, 10 * k + 1) for k in range(30)] + [(0, 5)]
+    monkeypatch.setattr(catalog, "_part", lambda *_: cut(spark.createDataFrame(rows, TWO)))
+    for query in ("region_round",):
+        assert [tuple(r) for r in catalog.queries()[query](spark, "").collect()] == [(61, True, True)]
+    assert not catalog_large._gains(catalog._part(), 2, 0)
+
+
 def test_core_numbers(spark):
     rng = random.Random(6)
     rows = random_parts(rng, 2, 40, 0.15) + [(100, 101)]
