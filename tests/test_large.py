@@ -126,7 +126,7 @@ def test_a_start_that_is_least_need_not_gain(spark, monkeypatch):
     """Of pairs and triples of nodes no clustering costs less than the first one."""
     rows = [(10 * k, 10 * k + 1) for k in range(30)] + [(0, 5)]
     monkeypatch.setattr(catalog, "_part", lambda *_: cut(spark.createDataFrame(rows, TWO)))
-    for query in ("region_round",):
+    for query in ("region_round", "refine_sets"):
         assert [tuple(r) for r in catalog.queries()[query](spark, "").collect()] == [(61, True, True)]
     assert not catalog_large._gains(catalog._part(), 2, 0)
 
