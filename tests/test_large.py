@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from knotwork import catalog, catalog_large, catalog_solvers
 from knotwork.operators import cost, graph, setmoves
-from knotwork.plans import regions, search, shrink, solve
+from knotwork.plans import regions, search, shrink, solve, sparse
 from knotwork.plans.instance import Instance
 from knotwork.sources.config import Settings
 from knotwork.storage import cut
@@ -112,6 +113,46 @@ def test_regions_gain_what_they_say_and_do_not_depend_on_partitions(spark):
     assert other == delta and again.exceptAll(after).count() == 0
 
 
+def test_components_are_searched_as_lists_without_rounds_on_tables(spark, monkeypatch):
+    rng = random.Random(12)
+    e = cut(spark.createDataFrame(random_parts(rng, 6, 12, 0.4), TWO))
+    by_tables = cost.objectives(e, shrink.heuristic_assignment(e, most=0)).first()["edits"]
+    monkeypatch.setattr(shrink.moves, "label_propagation", None)
+    found = cut(shrink.heuristic_assignment(e))
+    assert found.count() == found.select("node").distinct().count() == graph.ends(e).count()
+    edits = cost.objectives(e, found).first()["edits"]
+    assert edits <= by_tables
+    assert cost.objectives(e, shrink.heuristic_assignment(e, found)).first()["edits"] <= edits
+
+
+def test_steps_of_the_list_search_cost_what_they_say():
+    rng = random.Random(13)
+    for _ in range(20):
+        n = 25
+        rows = random_parts(rng, 1, n, 0.3)
+        near = [[(v, 1) for v in range(n) if (min(u, v), max(u, v)) in set(rows)] for u in range(n)]
+        st = sparse.Sparse(near, [1] * n, [rng.randrange(6) for _ in range(n)])
+        value = lambda: sum((st.label[i] == st.label[j]) != ((i, j) in set(rows)) for j in range(n) for i in range(j))
+        for step in (st.dissolve, st.force, st.merge, lambda: st.settle(range(n)), st.merge, st.dissolve, st.force):
+            before, change = value(), step()
+            assert change <= 0 and value() == before + change
+
+
+def test_a_refuted_certificate_has_a_cheaper_solution():
+    rng, refuted = random.Random(14), 0
+    for _ in range(150):
+        k, n = rng.randint(2, 5), rng.randint(5, 9)
+        s = np.zeros((n, n), np.int64)
+        for i in range(k):
+            for j in range(i + 1, n):
+                s[i, j] = s[j, i] = 1 if rng.random() < 0.45 else -1
+        put = int((np.triu(s[:k, :k], 1) < 0).sum() + (s[:k, k:] > 0).sum())
+        if put and shrink.cheaper_apart(s, k, put):
+            refuted += 1
+            assert search.Search().within(Instance(s.copy()), put - 1) is not None
+    assert refuted > 50
+
+
 def test_a_round_reaches_every_small_component(spark):
     """Two hundred paths of four nodes, each cut off at both ends: a start of twice the least cost."""
     edges = cut(spark.createDataFrame([(4 * k + i, 4 * k + i + 1) for k in range(200) for i in range(3)], TWO))
