@@ -7,9 +7,11 @@ cost one node and different texts of one doc_id are different nodes.
 1. *Sketches.* One pass gives every row's set size, node and token bitmap (two to four bits a
    shingle), and for each task the shingles that several of its sets hold.
 2. *Routing, without loss.* Linked sets share a shingle among the first ``n - ceil(p n) + 1``
-   of each in any fixed order of all shingles. The order puts widely shared shingles last, so
-   common passages route nothing unless a text has little else. Keys travel packed, one row
-   for each map task and bucket, and documents that share keys form coarse groups.
+   of each in any fixed order of all shingles. The order puts shingles last that the sets of several
+   tasks share, counted in a table of slots, so repeated passages route nothing unless a text has
+   little else. Keys travel packed, one row for each map task and bucket. Pairs that share a key
+   which few hold are compared by size and bitmap at once; those of other keys are chained in order
+   of size. What is left forms coarse groups.
 3. *Signature trees, on bitmaps only.* A coarse group is cut into leaves by size class and
    hash. Inner nodes carry the OR and the AND of their documents' bitmaps and their range of
    sizes; the dual traversal goes down one level a round, as a join of node pairs with node
@@ -30,6 +32,8 @@ never read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +58,11 @@ BUCKET_BYTES = 24_000_000
 #: Shingles that the order puts last, at most, and how many of them a task proposes. They only
 #: choose the order, which is valid whatever they are.
 COMMON, PROPOSED = 1 << 19, 1 << 18
+#: Slots in which all shingles are counted, slots of a segment, and how often a flush names a slot
+#: for one shingle at most. A slot of several sets puts its shingles behind all others.
+SLOTS, SEGMENT, NAMED = 1 << 29, 1 << 22, 15
+#: Nodes of a key up to which its pairs are compared one by one.
+FEW = 8
 
 
 def size_classes(percent: int, top: int) -> list[int]:
@@ -70,17 +79,39 @@ def node_name(t: np.ndarray) -> int:
     return int(mix(np.array([one ^ (two << np.uint64(1)) ^ (two >> np.uint64(63)) ^ np.uint64(len(t))], np.uint64)).view(np.int64)[0])
 
 
-def prefix(t: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of the sorted set ``t``: rare ones by hash, then common ones by rank."""
+def prefix(t: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray, full: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of the sorted set ``t``: rare ones by hash, those of ``full`` slots by hash,
+    then common ones by rank."""
     n = len(t)
     need = n - -(-percent * n // 100) + 1
+    last = np.zeros(n, bool)
     if len(common):
         at = np.minimum(np.searchsorted(common, t), len(common) - 1)
-        often = common[at] == t
-        if often.any():
-            rare = t[~often]
-            return rare[:need] if len(rare) >= need else np.concatenate([rare, t[often][np.argsort(rank[at[often]])][: need - len(rare)]])
-    return t[:need]
+        last = common[at] == t
+    late = np.zeros(n, bool)
+    if full is not None:
+        slot = (t >> np.uint64(65 - (8 * len(full)).bit_length())).astype(np.int64)
+        late = (full[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool) & ~last
+    first = t[~(last | late)]
+    if len(first) < need:
+        first = np.concatenate([first, t[late]])
+    if len(first) < need:
+        first = np.concatenate([first, t[last][np.argsort(rank[at[last]])]])
+    return first[:need]
+
+
+def gaps(at: np.ndarray) -> bytes:
+    """Ascending numbers as the bytes of their gaps, 255 for as much of a gap."""
+    many, rest = np.divmod(np.diff(at, prepend=0), 255)
+    out = np.full(len(at) + int(many.sum()), 255, np.uint8)
+    out[np.cumsum(many + 1) - 1] = rest
+    return out.tobytes()
+
+
+def ungaps(packed: bytes) -> np.ndarray:
+    """The numbers of ``gaps``."""
+    x = np.frombuffer(packed, np.uint8)
+    return np.cumsum(x, dtype=np.int64)[x != 255]
 
 
 def bitmap_size(n):
@@ -168,32 +199,37 @@ def _edges(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """``(doc_id, n_shingles, node, klass, bits, common)``, a row for each document.
+    """``(doc_id, n_shingles, node, klass, bits, common, segment, slots)``, a row for each document.
 
-    ``common`` is null there; rows with it hold packed shingles and in how many sets of a task
-    each is, and nothing else.
+    ``common`` and ``slots`` are null there; rows with ``common`` hold packed shingles and in how many
+    sets of a task each is, rows with ``slots`` the slots of a segment that the sets of a task name,
+    and nothing else.
     """
     bounds = np.array(size_classes(percent, 1 << 40))
-    names = ["doc_id", "n_shingles", "node", "klass", "bits", "common"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", "n_shingles", "node", "klass", "bits", "common", "segment", "slots"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    none = (None,) * 5
 
     def run(batches):
         seen, held, tokens = set(), 0, []
 
         def proposed():
             token, many = np.unique(np.concatenate(tokens), return_counts=True)
+            slot = np.repeat((token >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64), np.minimum(many, NAMED))
+            ends = np.searchsorted(slot, np.arange(0, SLOTS + 1, SEGMENT))
+            slots = [(*none, None, k, gaps(slot[a:b] - k * SEGMENT)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
             top = np.argsort(-many, kind="stable")[:PROPOSED]
             top = top[many[top] > 1]
-            return _batch([(None, None, None, None, None, np.stack([token[top], many[top].astype(np.uint64)]).tobytes())], names, kinds)
+            return _batch([(*none, np.stack([token[top], many[top].astype(np.uint64)]).tobytes(), None, None), *slots], names, kinds)
 
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k)):
                 if len(t) == 0:
-                    rows.append((doc, 0, None, None, None, None))
+                    rows.append((doc, 0, *(None,) * 6))
                     continue
                 node = node_name(t)
-                rows.append((doc, len(t), node, int(np.searchsorted(bounds, len(t), side="right")) - 1, bitmap(t).tobytes(), None))
+                rows.append((doc, len(t), node, int(np.searchsorted(bounds, len(t), side="right")) - 1, bitmap(t).tobytes(), None, None, None))
                 if node not in seen:
                     seen.add(node)
                     tokens.append(t)
@@ -206,7 +242,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
             yield proposed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, klass int, bits binary, common binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, klass int, bits binary, common binary, segment int, slots binary")
 
 
 def _common(sketch: DataFrame, made: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -239,16 +275,48 @@ def _common(sketch: DataFrame, made: Tables) -> tuple[np.ndarray, np.ndarray]:
     return token[order], rank[order].astype(np.int32)
 
 
-def _routed(texts: DataFrame, k: int, percent: int, buckets: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Packed keys: ``(bucket, ids, keys, owner)``; equal sets of one task are sent once."""
-    names, kinds = ["bucket", "ids", "keys", "owner"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+def _full(sketch: DataFrame, total: int) -> np.ndarray:
+    """Packed bits of the slots that sets name more often than unrelated shingles alone would.
+
+    There are two to four slots for each of the ``total`` of shingles, but ``SLOTS`` at most. Whatever is full,
+    the order is one and the same for all sets.
+    """
+    fewer = max(0, min(SLOTS.bit_length() - max(4 * total, 1 << 16).bit_length(), 13))
+    slots, segment = SLOTS >> fewer, SEGMENT >> fewer
+    # the least number, three at least, that one shingle in four at most meets with strangers in its slot
+    many, mean = 3, total / slots
+    while many < NAMED and sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(many - 1)) < 0.75:
+        many += 1
+
+    def run(table: pa.Table) -> pa.Table:
+        seen, parts, held = np.zeros(segment, np.int64), [], 0
+        for x in [*table.column("slots"), None]:
+            if x is not None:
+                parts.append(ungaps(x.as_py()) >> fewer)
+                held += len(parts[-1])
+            if parts and (x is None or held > segment):
+                seen += np.bincount(np.concatenate(parts), minlength=segment)
+                parts, held = [], 0
+        out = pa.table([table.column("segment").slice(0, 1).combine_chunks(), pa.array([np.packbits(seen >= many).tobytes()], pa.binary())], names=["segment", "bits"])
+        release()
+        return out
+
+    full = np.zeros(slots // 8, np.uint8)
+    for r in sketch.where("slots is not null").select("segment", "slots").groupBy("segment").applyInArrow(run, "segment int, bits binary").collect():
+        full[r.segment * segment // 8 : (r.segment + 1) * segment // 8] = np.frombuffer(r.bits, np.uint8)
+    return full
+
+
+def _routed(texts: DataFrame, k: int, percent: int, buckets: int, common: tuple[np.ndarray, ...]) -> DataFrame:
+    """Packed keys: ``(bucket, ids, sizes, keys, owner)``; equal sets of one task are sent once."""
+    names, kinds = ["bucket", "ids", "sizes", "keys", "owner"], [pa.int32(), *(pa.binary(),) * 4]
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        seen, keys, owner, ids, held = set(), [], [], [], 0
+        seen, keys, owner, ids, sizes, held = set(), [], [], [], [], 0
 
         def flush():
-            key, who, name = np.concatenate(keys), np.concatenate(owner), np.array(ids, np.int64)
+            key, who, name, size = np.concatenate(keys), np.concatenate(owner), np.array(ids, np.int64), np.array(sizes, np.int64)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             key, who, bucket = key[order], who[order], bucket[order]
@@ -257,7 +325,7 @@ def _routed(texts: DataFrame, k: int, percent: int, buckets: int, common: tuple[
             for b in np.flatnonzero(ends[1:] > ends[:-1]):
                 s = slice(ends[b], ends[b + 1])
                 used, local = np.unique(who[s], return_inverse=True)
-                rows.append((int(b), name[used].tobytes(), key[s].tobytes(), local.astype(np.uint32).tobytes()))
+                rows.append((int(b), name[used].tobytes(), size[used].tobytes(), key[s].tobytes(), local.astype(np.uint32).tobytes()))
             return _batch(rows, names, kinds)
 
         for batch in batches:
@@ -272,42 +340,77 @@ def _routed(texts: DataFrame, k: int, percent: int, buckets: int, common: tuple[
                 keys.append(x)
                 owner.append(np.full(len(x), len(ids)))
                 ids.append(node)
+                sizes.append(len(t))
                 held += len(x)
                 if held >= FLUSH:
                     yield flush()
-                    keys, owner, ids, held = [], [], [], 0
+                    keys, owner, ids, sizes, held = [], [], [], [], 0
                 if len(seen) > 1 << 17:
                     seen.clear()
         if keys:
             yield flush()
 
-    return texts.mapInArrow(run, "bucket int, ids binary, keys binary, owner binary")
+    return texts.mapInArrow(run, "bucket int, ids binary, sizes binary, keys binary, owner binary")
+
 
+def _coarse_edges(packed: DataFrame, percent: int) -> DataFrame:
+    """``(u, v, many)``: nodes that share a key and whose sizes allow a link.
 
-def _coarse_edges(packed: DataFrame) -> DataFrame:
-    """Edges between nodes that share a key, at most one for each node and bucket."""
+    Of keys that at most ``FEW`` nodes hold, every such pair; of others, with ``many``, a chain through
+    the nodes in order of size, which breaks where a size is too far from the next.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("many", pa.bool_())])
 
     def run(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
         names = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]
-        every = np.unique(np.concatenate(names))
+        every, first = np.unique(np.concatenate(names), return_index=True)
+        size = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sizes")])[first]
         place = [np.searchsorted(every, x).astype(np.uint32) for x in names]
         docs = np.concatenate([p[np.frombuffer(o.as_buffer(), np.uint32)] for p, o in zip(place, table.column("owner"))])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         keys, docs = keys[order], docs[order]
-        del order
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
-        del keys
         start = np.flatnonzero(new)
-        low = np.repeat(np.minimum.reduceat(docs, start), np.diff(np.append(start, len(docs))))
-        some = low != docs
-        pair = np.unique(low[some].astype(np.uint64) << np.uint64(32) | docs[some])
-        out = _edges([every[(pair >> np.uint64(32)).astype(np.int64)]], [every[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]])
+        held = np.diff(np.append(start, len(docs)))
+        del order, keys, new
+        # what shares its key, by key and size
+        several = np.repeat(held > 1, held)
+        docs, held = docs[several], held[held > 1]
+        group = np.repeat(np.arange(len(held)), held)
+        docs = docs[np.lexsort((docs, size[docs], group))]
+
+        def pairs(step: int, which: np.ndarray) -> np.ndarray:
+            i = np.flatnonzero((group[:-step] == group[step:]) & which[group[step:]])
+            a, b = docs[i].astype(np.uint64), docs[i + step].astype(np.uint64)
+            ok = (a != b) & (100 * size[docs[i]] >= percent * size[docs[i + step]])
+            return np.minimum(a, b)[ok] << np.uint64(32) | np.maximum(a, b)[ok]
+
+        ends = lambda pair: (every[(pair >> np.uint64(32)).astype(np.int64)], every[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+        some = np.unique(np.concatenate([np.zeros(0, np.uint64), *(pairs(k, held <= FEW) for k in range(1, FEW))]))
+        chain = _edges(*([x] for x in ends(np.unique(pairs(1, held > FEW)))))
+        u, v = ends(some)
+        out = pa.concat_tables([pa.table([pa.array(u), pa.array(v), pa.array(np.zeros(len(u), bool))], schema=schema), pa.Table.from_batches([chain]).append_column("many", pa.array(np.ones(len(chain), bool)))])
         release()
-        return pa.Table.from_batches([out])
+        return out
+
+    return packed.groupBy("bucket").applyInArrow(run, "u long, v long, many boolean")
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(u, v)`` whose bitmaps allow a link, of ``nodes(node, n, bits)``."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"))
+
+    def run(batches):
+        def one(n, bits):
+            return np.array([n]), np.unpackbits(np.frombuffer(bits, np.uint8))[None]
+
+        for batch in batches:
+            keep = [bool(survivors(*one(r["nu"], r["bitsu"]), *one(r["nv"], r["bitsv"]), percent).any()) for r in batch.to_pylist()]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return packed.groupBy("bucket").applyInArrow(run, "u long, v long")
+    return pairs.select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
 
 
 def _leaves(members: DataFrame, weight, limit: int) -> DataFrame:
@@ -657,16 +760,18 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     sketch = table(sketches(docs, id_col, text_col, k, percent))
-    rows = sketch.where("common is null").select("doc_id", "n_shingles", "node")
+    rows = sketch.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
     with Tables(spark) as made:
         every = sketch.where("node is not null").select("node", F.col("n_shingles").alias("n"), "klass", "bits")
         # a set sends 1 - p of its shingles, of 12 bytes
-        volume = (every.agg(F.sum("n")).first()[0] or 0) * 12 * (100 - percent) // 100
-        packed = _routed(texts, k, percent, max(2, volume // BUCKET_BYTES), _common(sketch, made))
-        coarse = connected_components(_coarse_edges(packed))
-        members = every.dropDuplicates(["node"]).join(coarse, "node")
-        tight = _tight(members, percent, made)
-        members = made.write(every.select("node", "n", "klass").dropDuplicates(["node"]).join(tight, "node"))
+        total = every.agg(F.sum("n")).first()[0] or 0
+        volume = total * 12 * (100 - percent) // 100
+        packed = _routed(texts, k, percent, max(2, volume // BUCKET_BYTES), (*_common(sketch, made), _full(sketch, total)))
+        nodes = made.write(every.dropDuplicates(["node"]))
+        edges = made.write(_coarse_edges(packed, percent))
+        coarse = connected_components(edges.where("many").select("u", "v").unionByName(_compared(edges.where("not many"), nodes, percent)))
+        tight = _tight(nodes.join(coarse, "node"), percent, made)
+        members = made.write(nodes.select("node", "n", "klass").join(tight, "node"))
         comps = cut(_links(members, texts, k, percent, made))
     # copies are counted at the node first, then nodes at the component; hot ones are split
     nodes = cut(

@@ -669,3 +669,34 @@ def test_lm_trains_on_windows_of_every_shard(spark, docs, monkeypatch):
     one, two = (lm._fit(*(lambda got, shards: (got, 4, shards))(*lm._gathered(d, F.lit(True), none, 4))) for d in (narrow, narrow.repartition(7)))
     assert all(np.allclose(one.weights[n], two.weights[n], atol=1e-4) for n in one.weights)
     assert np.array_equal(one.klass, two.klass)
+
+
+def test_slots_of_repeated_shingles_come_last(spark):
+    """Gaps are read back, the passage that texts of many tasks share is full, and no prefix starts with it."""
+    rng = np.random.default_rng(3)
+    for at in ([], [0], [0, 0, 254, 255, 256, 5000, 5000], np.sort(rng.integers(0, 1 << 22, 500)).tolist()):
+        assert jaccard_join.ungaps(jaccard_join.gaps(np.array(at, np.int64))).tolist() == at
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 9)))
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(80)] + passage) for _ in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    sketch = jaccard_join.sketches(docs, "doc_id", "text", 4, 85).cache()
+    full = jaccard_join._full(sketch, sum(r.n_shingles or 0 for r in sketch.select("n_shingles").collect()))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    shared = next(jaccard_join.shingle_sets(pa.array([" ".join(passage)]), 4))
+    for t in jaccard_join.shingle_sets(pa.array(texts), 4):
+        assert not np.isin(jaccard_join.prefix(t, 85, *none, full), shared).any() and np.isin(jaccard_join.prefix(t, 85, *none), shared).any()
+
+
+def test_pairs_of_a_rare_key_are_compared_at_once(spark):
+    """Texts that share a passage only form no group; copies with a changed word do."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 9)))
+    passage, other = [word() for _ in range(100)], [word() for _ in range(200)]
+    texts = [" ".join([word() for _ in range(100)] + passage) for _ in range(2)] + [" ".join(passage)] + [" ".join(other), " ".join([*other[:-1], "x"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketch = jaccard_join.sketches(docs, "doc_id", "text", 4, 85).where("node is not null").select("doc_id", "node", F.col("n_shingles").alias("n"), "bits").cache()
+    edges = jaccard_join._coarse_edges(jaccard_join._routed(docs.select("text"), 4, 85, 2, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), 85).cache()
+    name = {r.node: r.doc_id for r in sketch.collect()}
+    assert {frozenset((name[r.u], name[r.v])) for r in edges.collect()} == {frozenset((0, 1)), frozenset((3, 4))}
+    assert {frozenset((name[r.u], name[r.v])) for r in jaccard_join._compared(edges, sketch, 85).collect()} == {frozenset((3, 4))}
