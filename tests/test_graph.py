@@ -1,5 +1,7 @@
 """DataFrame operators on hand-made graphs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +213,26 @@ def test_hop_distances_write_every_pair_once(spark, monkeypatch):
     got = {(r.source, r.node): r.hops for r in graph.hop_distances(path, spark.range(13)).collect()}
     assert got == {(a, b): abs(a - b) for a in range(13) for b in range(13)}
     assert sum(written) == len(got) + 2 * 12
+
+
+@pytest.mark.parametrize("cells", [1 << 28, 200])
+def test_pairs_of_large_clusters_go_by_strips(spark, monkeypatch, cells):
+    """Absent and far pairs and twins by brute force, in one strip and in many; no join lists all pairs."""
+    from knotwork.operators import strips
+
+    monkeypatch.setattr(strips, "CELLS", cells)
+    rng = random.Random(8)
+    e = {(u, v) for u in range(60) for v in range(u + 1, 60) if rng.random() < (0.05 if v < 50 else 0.02)} | {(70, 71), (70, 72), (71, 72), (72, 73), (80, 81)} | {(0, x) for x in range(1, 60)} - {(0, 7), (0, 9)}
+    df = storage.cut(spark.createDataFrame(sorted(e), "u long, v long"))
+    comps = storage.cut(connected_components(df))
+    comp = {r.node: r.comp for r in comps.collect()}
+    near = {n: {n} | {v for u, v in e if u == n} | {u for u, v in e if v == n} for n in comp}
+    pairs = [(u, v) for u in comp for v in comp if u < v and comp[u] == comp[v]]
+    far, edits = measure.far_pairs(df, comps), cost.edit_list(df, comps.withColumnRenamed("comp", "cluster"))
+    assert rows(far) == sorted((comp[u], u, v) for u, v in pairs if not near[u] & near[v])
+    assert rows(edits) == sorted((u, v, "insert") for u, v in pairs if v not in near[u])
+    assert not any("LeftAnti" in x._jdf.queryExecution().toString() for x in (far, edits))
+    twin = {n: min(m for m in comp if near[m] == near[n]) for n in comp}
+    many = {t: sum(x == t for x in twin.values()) for t in set(twin.values())}
+    want = [(u, v, (1 if v in near[u] else -1) * many[u] * many[v], 0) for u, v in pairs if u in many and v in many] + [(t, t, 0, 0) for t, k in many.items() if k > 1]
+    assert rows(moves.contract_twins(df, comps, measure.twins(df))) == sorted(want) and max(many.values()) > 1
