@@ -236,3 +236,18 @@ def test_pairs_of_large_clusters_go_by_strips(spark, monkeypatch, cells):
     many = {t: sum(x == t for x in twin.values()) for t in set(twin.values())}
     want = [(u, v, (1 if v in near[u] else -1) * many[u] * many[v], 0) for u, v in pairs if u in many and v in many] + [(t, t, 0, 0) for t, k in many.items() if k > 1]
     assert rows(moves.contract_twins(df, comps, measure.twins(df))) == sorted(want) and max(many.values()) > 1
+
+
+def test_similarity_in_many_blocks(spark, monkeypatch):
+    """Every pair once over an odd and an even number of blocks, and each vector goes to about half of them."""
+    rng = random.Random(4)
+    made = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(90)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = [(i, j) for i, a in made for j, b in made if i < j and dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 >= 0.4]
+    df = spark.createDataFrame(made, "id long, x array<double>")
+    for least in (11, 10):
+        monkeypatch.setattr(derive, "LEAST", least)
+        monkeypatch.setattr(derive, "STRIP", 3)
+        assert rows(derive.similarity_edges(df, "id", "x", 0.4)) == want
+        monkeypatch.setattr(derive, "MOST", 7)
+        assert rows(derive.similarity_edges(df, "id", "x", 0.4)) == want
