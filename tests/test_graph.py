@@ -246,7 +246,7 @@ def test_similarity_in_many_blocks(spark, monkeypatch):
     want = [(i, j) for i, a in made for j, b in made if i < j and dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 >= 0.4]
     df = spark.createDataFrame(made, "id long, x array<double>")
     for least in (11, 10):
-        monkeypatch.setattr(derive, "LEAST", least)
+        monkeypatch.setattr(derive, "BLOCK", least)
         monkeypatch.setattr(derive, "STRIP", 3)
         assert rows(derive.similarity_edges(df, "id", "x", 0.4)) == want
         monkeypatch.setattr(derive, "MOST", 7)
