@@ -12,11 +12,11 @@ table look-ups when scoring.
 *What is gathered.* One pass encodes every document once and keeps the ids as a table. It
 counts every pair of neighbouring subwords of all training documents, packed by hash bucket
 like the words below; counts, shares, pairs and the neighbours of every id are sums of these, so
-nothing is sampled for them. It also draws training windows from every training document, by a
-hash of id and window: all of them in a small corpus, and never less than ``SHARE`` of them, so
-the set grows with the input. Windows are dealt over shards of about ``SHARD``. One shard is
-trained from the start in plain numpy with Adam; with more of them, all shards go on from its
-weights side by side, and the weights are averaged after each of ``ROUNDS`` rounds.
+nothing is sampled for them. Every window of every training document trains the attention.
+Documents are dealt over shards of about ``SHARD`` windows by a hash of id and text. The first
+shard is trained from the start in plain numpy with Adam; with more of them, all documents train
+once more from its weights, in ``ROUNDS`` parts and in shards ``LARGE`` times as large side by
+side, whose weights are averaged after each part. Documents travel as ids, not as windows.
 
 *Scoring.* Windows overlap by half: each window's last ``STRIDE`` positions are scored and
 its first half is context, so every token is scored once and sees at least ``STRIDE``
@@ -41,6 +41,7 @@ import os
 import re
 import sys
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from types import ModuleType
 
@@ -58,9 +59,10 @@ WINDOW, STRIDE, WIDTH, CLASSES, SINGLE = 32, 16, 32, 64, 40
 STEPS, BATCH, COMMON, PAIRS = 800, 512, 1 << 17, 1 << 19
 #: Discount of the pair counts; attention scores and logits are cut off at this size.
 DISCOUNT, CLIP = 0.75, 60
-#: Columns of frequent neighbours on each side; least share of the windows that train, and the
-#: bytes up to which all of them do; windows of a shard; rounds of all shards.
-SIDE, SHARE, WHOLE, SHARD, ROUNDS = 96, 1 / 64, 1_000_000, 200_000, 2
+#: Columns of frequent neighbours on each side; windows of the first shard, and how many times as
+#: many later ones hold; parts that all documents train in; windows in memory at once, and subword
+#: ids that a task holds before it sends them.
+SIDE, SHARD, LARGE, ROUNDS, CHUNK, HELD = 96, 200_000, 5, 2, 1 << 16, 1 << 22
 #: Bytes of text for each hash bucket of words and of pairs.
 BUCKET = 16_000_000
 #: Words whose subwords a worker keeps.
@@ -249,17 +251,17 @@ def train(ids: np.ndarray, offsets: np.ndarray, steps: int = STEPS, rate: float
     if len(ids) == 0:
         return Model(klass, share, pairs, w)
     inputs, targets, _ = _windows(ids, offsets)
-    return Model(klass, share, pairs, _descend(w, klass, inputs, targets, [rng.integers(0, len(inputs), BATCH) for _ in range(steps)], rate))
+    picks = (rng.integers(0, len(inputs), BATCH) for _ in range(steps))
+    return Model(klass, share, pairs, _descend(w, klass, ((inputs[p], targets[p]) for p in picks), steps, rate))
 
 
-def _descend(w: dict[str, np.ndarray], klass: np.ndarray, inputs: np.ndarray, targets: np.ndarray, picks: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
-    """Weights after a step of Adam for each of the picks of windows; of the embeddings only the
-    rows that a step reads change in it."""
-    w, d, steps = {n: x.copy() for n, x in w.items()}, WIDTH, len(picks)
+def _descend(w: dict[str, np.ndarray], klass: np.ndarray, windows: Iterable[tuple[np.ndarray, np.ndarray]], steps: int, rate: float) -> dict[str, np.ndarray]:
+    """Weights after ``steps`` steps of Adam, one for each inputs and targets of some windows; of the
+    embeddings only the rows that a step reads change in it."""
+    w, d = {n: x.copy() for n, x in w.items()}, WIDTH
     scale, m, v = np.float32(1 / np.sqrt(d)), {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    for t, pick in enumerate(picks, 1):
-        x_id, y = inputs[pick], targets[pick]
+    for t, (x_id, y) in enumerate(windows, 1):
         x = w["E"][x_id] + w["P"]
         xq = x[:, STRIDE:]
         q, k, val = xq @ w["q"] * scale, x @ w["k"], x @ w["v"]
@@ -490,19 +492,19 @@ def _summary(counts: DataFrame, common: int) -> tuple[int, int, np.ndarray, np.n
 
 
 _PREPARED = (
-    "kind int, batch long, bucket int, words binary, counts binary, owner binary, n long, ids binary, nulls binary, tokens binary, known binary, logs binary, pieces binary, sizes binary"
+    "kind int, batch long, bucket int, words binary, counts binary, owner binary, n long, ids binary, nulls binary, tokens binary, known binary, logs binary, pieces binary, sizes binary, learn binary, salts binary"
 )
 _NAMES = [x.split()[0] for x in _PREPARED.split(", ")]
 _KINDS = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _PREPARED.split(", ")]
-PAIR, DRAWN, LOCAL, ASKED = range(4)
+PAIR, LOCAL, ASKED = range(3)
 
 
-def _prepared(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, share: float, shards: int, hold: int = 1 << 20) -> DataFrame:
+def _prepared(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, hold: int = 1 << 20) -> DataFrame:
     """What one pass over ``docs(doc_id, text, learn)`` gathers, told apart by ``kind``.
 
-    ``PAIR``: pair counts of training documents by hash bucket. ``DRAWN``: windows drawn from them
-    with their keys, by shard. ``LOCAL``: for each batch its ids, encoded texts and what the
-    frequent words give for the base score. ``ASKED``: a batch's requests, one for each bucket.
+    ``PAIR``: pair counts of training documents by hash bucket. ``LOCAL``: for each batch its ids,
+    encoded texts, which of them train, and what the frequent words give for the base score.
+    ``ASKED``: a batch's requests, one for each bucket.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -510,17 +512,13 @@ def _prepared(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: i
         key, count = shared.value
         log = np.log10(count + 1.0)
         task, number = TaskContext.get().partitionId() << 32, 0
-        codes, many, drawn, held = [], [], [], 0
+        codes, many, held = [], [], 0
 
         def made(rows):
             return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _KINDS)], names=_NAMES)
 
         def gathered():
-            rows = [{"kind": PAIR, "bucket": b, "words": w, "counts": c} for b, w, c in _pack(*_merged(), buckets)]
-            if drawn:
-                keys, span = (np.concatenate(x) for x in zip(*drawn))
-                rows += [{"kind": DRAWN, "bucket": b, "words": w, "counts": c} for b, w, c in _pack(keys, [span], shards)]
-            return made(rows)
+            return made([{"kind": PAIR, "bucket": b, "words": w, "counts": c} for b, w, c in _pack(*_merged(), buckets)])
 
         def _merged():
             code, n = _merge(codes, many)
@@ -540,14 +538,13 @@ def _prepared(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: i
                     code, n = pair_counts(own, ends_)
                     codes.append(code)
                     many.append(n)
-                    drawn.append(_draw(own, ends_, salt[a:b][some], share))
-                    held += len(code) + 8 * len(drawn[-1][0])
+                    held += len(code)
                     if held > hold:
                         merged = _merge(codes, many)
-                        codes, many, held = [merged[0]], [merged[1]], len(merged[0]) + 8 * sum(len(x) for x, _ in drawn)
+                        codes, many, held = [merged[0]], [merged[1]], len(merged[0])
                         if held > hold // 2:
                             yield gathered()
-                            codes, many, drawn, held = [], [], [], 0
+                            codes, many, held = [], [], 0
                 n = b - a
                 doc = np.concatenate([np.repeat(np.arange(n), np.diff(per)), np.arange(n)])
                 h = np.concatenate([h, np.full(n, END_HASH)])
@@ -561,6 +558,7 @@ def _prepared(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: i
                     "kind": LOCAL, "batch": name, "ids": who.fill_null(0).to_numpy().tobytes(), "nulls": who.is_null().to_numpy(zero_copy_only=False).tobytes(),
                     "tokens": np.diff(per).astype(np.int64).tobytes(), "known": known.astype(np.int64).tobytes(), "logs": logs.tobytes(),
                     "pieces": ids.astype(np.uint16).tobytes(), "sizes": np.diff(at).astype(np.int64).tobytes(),
+                    "learn": some.tobytes(), "salts": salt[a:b].tobytes(),
                 }]
                 miss = np.flatnonzero(~hit)
                 order = miss[np.lexsort((doc[miss], h[miss]))]
@@ -575,7 +573,7 @@ def _prepared(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: i
         if codes:
             yield gathered()
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("learn", F.lit(False)).alias("learn"), F.xxhash64("doc_id").alias("salt"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("learn", F.lit(False)).alias("learn"), F.xxhash64("doc_id", "text").alias("salt"))
     return rows.mapInArrow(run, _PREPARED)
 
 
@@ -664,29 +662,92 @@ def _frequent(pairs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return code[order].astype(np.uint64), count[order]
 
 
-def _trained(windows: DataFrame, klass: np.ndarray, weights: dict[str, np.ndarray], turn: int, turns: int, rate: float, steps: int) -> dict[str, np.ndarray]:
-    """Weights trained by every shard on its windows of this turn, averaged by their numbers.
+def _taught(prepared: DataFrame, shards: int, turn: int = 0, turns: int = 1, first: bool = False) -> DataFrame:
+    """``(bucket, salts, sizes, pieces)``: the training documents of a turn, packed by shard; of the
+    first shard only, if asked."""
+    names, kinds = ["bucket", "salts", "sizes", "pieces"], [pa.int32(), *[pa.binary()] * 3]
+
+    def run(batches):
+        salts, sizes, pieces, held = [], [], [], 0
+
+        def flush():
+            salt, size, flat = (np.concatenate(x) for x in (salts, sizes, pieces))
+            shard, start = (mix(salt) % np.uint64(shards)).astype(np.int64), np.cumsum(size) - size
+            order = np.argsort(shard, kind="stable")
+            edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
+            rows = []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
+                s = order[a:b]
+                ids = np.concatenate([flat[x : x + n] for x, n in zip(start[s].tolist(), size[s].tolist())])
+                rows.append((int(shard[s[0]]), salt[s].tobytes(), size[s].tobytes(), ids.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            for learn, *packed in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                salt, size, ids = (np.frombuffer(x, d) for x, d in zip(packed, (np.uint64, np.int64, np.uint16)))
+                name = mix(salt)
+                some = np.frombuffer(learn, bool) & ((name >> np.uint64(40)) % np.uint64(turns) == turn)
+                if first:
+                    some &= name % np.uint64(shards) == 0
+                if not some.any():
+                    continue
+                salts.append(salt[some])
+                sizes.append(size[some])
+                pieces.append(ids[np.repeat(some, size)])
+                held += len(pieces[-1])
+                if held >= HELD:
+                    yield flush()
+                    salts, sizes, pieces, held = [], [], [], 0
+        if salts:
+            yield flush()
+
+    local = prepared.where(F.col("kind") == LOCAL).select("learn", "salts", "sizes", "pieces")
+    return local.mapInArrow(run, "bucket int, salts binary, sizes binary, pieces binary")
+
+
+def _chunks(size: np.ndarray) -> list[slice]:
+    """Ranges of documents that have about ``CHUNK`` windows each."""
+    part = np.cumsum(-(-size // STRIDE)) // CHUNK
+    edge = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    return [slice(a, b) for a, b in zip(edge, [*edge[1:], len(size)])]
+
+
+def _passes(salt: np.ndarray, size: np.ndarray, flat: np.ndarray, times: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and targets of all windows of some documents, ``BATCH`` windows of a chunk at a time.
+
+    Salts and keys are hashes, so their order is a random one, and the same for any partitions.
+    """
+    start, order = np.cumsum(size) - size, np.argsort(salt, kind="stable")
+    for _ in range(times):
+        for part in _chunks(size[order]):
+            s = order[part]
+            ids = np.concatenate([flat[x : x + n] for x, n in zip(start[s].tolist(), size[s].tolist())])
+            key, span = _draw(ids, np.concatenate([[0], np.cumsum(size[s])]), salt[s], 1.0)
+            span = span[np.argsort(key, kind="stable")].astype(np.int32)
+            span[span == BEFORE], span[span == OUTSIDE] = BEFORE_ROW, OUTSIDE_ROW
+            target = np.where(span[:, STRIDE + 1 :] < IDS, span[:, STRIDE + 1 :], -1)
+            for k in range(0, len(span), BATCH):
+                yield span[k : k + BATCH, :WINDOW], target[k : k + BATCH]
+
+
+def _trained(taught: DataFrame, klass: np.ndarray, weights: dict[str, np.ndarray], rate: float, steps: int) -> dict[str, np.ndarray]:
+    """Weights trained by every shard on all windows of its documents, averaged by their numbers.
 
     The windows are passed over until there are ``steps`` steps, once at least.
     """
-    shared = windows.sparkSession.sparkContext.broadcast((klass, weights))
+    shared = taught.sparkSession.sparkContext.broadcast((klass, weights))
     shape = {n: x.shape for n, x in weights.items()}
     kinds = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
 
     def local(table: pa.Table) -> pa.Table:
         klass, w = shared.value
-        key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("words")])
-        span = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("counts")]).reshape(-1, WINDOW + 1)
-        # keys are hashes, so their order is a random one, and the same for any partitions
-        span = span[np.argsort(key, kind="stable")][turn::turns].astype(np.int32)
-        span[span == BEFORE], span[span == OUTSIDE] = BEFORE_ROW, OUTSIDE_ROW
-        target = span[:, STRIDE + 1 :]
-        per = -(-len(span) // BATCH)
-        picks = [np.arange(BATCH * k, min(BATCH * k + BATCH, len(span))) for k in range(per)]
-        picks = picks * max(1, -(-steps // max(1, per)))
-        w = _descend(w, klass, span[:, :WINDOW], np.where(target < IDS, target, -1), picks, rate) if len(span) else w
+        salt, size, flat = (np.concatenate([np.frombuffer(x.as_buffer(), d) for x in table.column(n)]) for n, d in (("salts", np.uint64), ("sizes", np.int64), ("pieces", np.uint16)))
+        many, order = -(-size // STRIDE), np.argsort(salt, kind="stable")
+        per = sum(-(-int(many[order][part].sum()) // BATCH) for part in _chunks(size[order]))
+        times = max(1, -(-steps // max(1, per)))
+        w = _descend(w, klass, _passes(salt, size, flat, times), times * per, rate)
         flat = np.concatenate([w[n].ravel() for n in sorted(w)])
-        return pa.table([pa.array([table.column("bucket")[0].as_py() % 16], pa.int32()), pa.array([len(span)], pa.int64()), pa.array([flat.tobytes()], pa.binary())], schema=kinds)
+        return pa.table([pa.array([table.column("bucket")[0].as_py() % 16], pa.int32()), pa.array([int(many.sum())], pa.int64()), pa.array([flat.tobytes()], pa.binary())], schema=kinds)
 
     def total(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["weights"]))
@@ -694,7 +755,7 @@ def _trained(windows: DataFrame, klass: np.ndarray, weights: dict[str, np.ndarra
         flat = sum(np.frombuffer(r["weights"], np.float32).astype(float) * (r["n"] / max(1, many)) for r in rows)
         return pa.table([pa.array([0], pa.int32()), pa.array([many], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], schema=kinds)
 
-    each = windows.groupBy("bucket").applyInArrow(local, "part int, n long, weights binary")
+    each = taught.groupBy("bucket").applyInArrow(local, "part int, n long, weights binary")
     sums = each.groupBy("part").applyInArrow(total, "part int, n long, weights binary").groupBy("part").applyInArrow(total, "part int, n long, weights binary")
     got = sums.first()
     if got is None or not got.n:
@@ -713,10 +774,9 @@ def _fit(prepared: DataFrame, buckets: int, shards: int, seed: int = 7) -> Model
     klass, part = classes(counts, *_id_neighbours(pairs, np.argsort(-counts, kind="stable")[:SIDE], buckets), seed)
     w = _initial(klass, counts, np.random.default_rng(seed))
     if counts.any():
-        windows = prepared.where(F.col("kind") == DRAWN).select("bucket", "words", "counts")
-        w = _trained(windows.where("bucket = 0"), klass, w, 0, 1, 0.01, STEPS)
+        w = _trained(_taught(prepared, shards, first=True), klass, w, 0.01, STEPS)
         for turn in range(ROUNDS if shards > 1 else 0):
-            w = _trained(windows, klass, w, turn, ROUNDS, 0.003 / (1 + 2 * turn), 1)
+            w = _trained(_taught(prepared, max(1, shards // LARGE), turn, ROUNDS), klass, w, 0.003 / (1 + 2 * turn), 1)
     return Model(klass, part, _frequent(pairs, buckets), w)
 
 
@@ -746,10 +806,8 @@ def _gathered(docs: DataFrame, train_rows: Column, common: tuple[np.ndarray, np.
     """The written table of ``_prepared``, and the number of shards."""
     rows = docs.withColumn("learn", train_rows)
     volume = rows.where("learn").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # the drawn windows grow with the root of the volume, then in proportion
-    share = min(1.0, max(SHARE, (WHOLE / max(1, volume)) ** 0.5))
-    shards = max(1, round(volume / 3 / STRIDE * share / SHARD))
-    return table(_prepared(rows, common, buckets, share, shards), "kind"), shards
+    shards = max(1, round(volume / 3 / STRIDE / SHARD))
+    return table(_prepared(rows, common, buckets), "kind"), shards
 
 
 def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

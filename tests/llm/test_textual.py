@@ -700,3 +700,26 @@ def test_pairs_of_a_rare_key_are_compared_at_once(spark):
     name = {r.node: r.doc_id for r in sketch.collect()}
     assert {frozenset((name[r.u], name[r.v])) for r in edges.collect()} == {frozenset((0, 1)), frozenset((3, 4))}
     assert {frozenset((name[r.u], name[r.v])) for r in jaccard_join._compared(edges, sketch, 85).collect()} == {frozenset((3, 4))}
+
+
+def test_lm_trains_on_every_window_of_a_corpus_above_a_megabyte(spark, monkeypatch):
+    """Over the turns every training document comes up once, in one shard, with all of its windows."""
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, 240)) + f" x{i}" for i in range(1200)]
+    docs = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(lm, "SHARD", 2000)
+    monkeypatch.setattr(lm, "HELD", 30_000)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    got, shards = lm._gathered(docs, F.col("text").endswith("3") == F.lit(False), none, 4)
+    enc, want, seen, held = lm.encoder(), collections.Counter(), collections.Counter(), 0
+    for t in texts:
+        if not t.endswith("3"):
+            want[tuple(i for w in t.lower().split() for i in enc.encode_ordinary(" " + w)) + (lm.END_ID,)] += 1
+    assert sum(map(len, texts)) > 1_000_000 and shards > 5
+    for turn in range(2):
+        for r in lm._taught(got, 3, turn, 2).collect():
+            salt, size, ids = np.frombuffer(r.salts, np.uint64), np.frombuffer(r.sizes, np.int64), np.frombuffer(r.pieces, np.uint16)
+            ends = np.cumsum(size)
+            seen.update(tuple(ids[a:b].tolist()) for a, b in zip(ends - size, ends))
+            held += sum(len(x) for x, _ in lm._passes(salt, size, ids, 1))
+    assert seen == want and held == sum(-(-len(x) // lm.STRIDE) * n for x, n in want.items())
