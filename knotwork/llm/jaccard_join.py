@@ -36,6 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,8 @@ COMMON, PROPOSED = 1 << 19, 1 << 18
 #: Slots in which all shingles are counted, slots of a segment, and how often a flush names a slot
 #: for one shingle at most. A slot of several sets puts its shingles behind all others.
 SLOTS, SEGMENT, NAMED = 1 << 29, 1 << 22, 15
+#: Bytes of packed slots that come to the driver at once.
+PIECE = 1 << 23
 #: Nodes of a key up to which its pairs are compared one by one.
 FEW = 8
 
@@ -302,15 +305,23 @@ def _full(sketch: DataFrame, total: int) -> np.ndarray:
         return out
 
     full = np.zeros(slots // 8, np.uint8)
-    for r in sketch.where("slots is not null").select("segment", "slots").groupBy("segment").applyInArrow(run, "segment int, bits binary").collect():
-        full[r.segment * segment // 8 : (r.segment + 1) * segment // 8] = np.frombuffer(r.bits, np.uint8)
+    step = max(1, PIECE // (segment // 8))
+    counted = sketch.where("slots is not null").select("segment", "slots").groupBy("segment").applyInArrow(run, "segment int, bits binary")
+    with Tables(sketch.sparkSession) as made:
+        if step < slots // segment:
+            counted = made.write(counted)
+        for k in range(0, slots // segment, step):
+            for r in counted.where(F.col("segment").between(k, k + step - 1)).collect():
+                full[r.segment * segment // 8 : (r.segment + 1) * segment // 8] = np.frombuffer(r.bits, np.uint8)
     return full
 
 
-def _routed(texts: DataFrame, k: int, percent: int, buckets: int, common: tuple[np.ndarray, ...]) -> DataFrame:
-    """Packed keys: ``(bucket, ids, sizes, keys, owner)``; equal sets of one task are sent once."""
+def _routed(texts: DataFrame, k: int, percent: int, buckets: int, shared: Broadcast) -> DataFrame:
+    """Packed keys: ``(bucket, ids, sizes, keys, owner)``; equal sets of one task are sent once.
+
+    ``shared`` holds what ``prefix`` needs of the order.
+    """
     names, kinds = ["bucket", "ids", "sizes", "keys", "owner"], [pa.int32(), *(pa.binary(),) * 4]
-    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         seen, keys, owner, ids, sizes, held = set(), [], [], [], [], 0
@@ -766,9 +777,11 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # a set sends 1 - p of its shingles, of 12 bytes
         total = every.agg(F.sum("n")).first()[0] or 0
         volume = total * 12 * (100 - percent) // 100
-        packed = _routed(texts, k, percent, max(2, volume // BUCKET_BYTES), (*_common(sketch, made), _full(sketch, total)))
         nodes = made.write(every.dropDuplicates(["node"]))
-        edges = made.write(_coarse_edges(packed, percent))
+        shared = spark.sparkContext.broadcast((*_common(sketch, made), _full(sketch, total)))
+        edges = made.write(_coarse_edges(_routed(texts, k, percent, max(2, volume // BUCKET_BYTES), shared), percent))
+        # dozens of megabytes, of which the driver would hold a copy to the end
+        shared.destroy()
         coarse = connected_components(edges.where("many").select("u", "v").unionByName(_compared(edges.where("not many"), nodes, percent)))
         tight = _tight(nodes.join(coarse, "node"), percent, made)
         members = made.write(nodes.select("node", "n", "klass").join(tight, "node"))

@@ -25,7 +25,8 @@ def sieve(bits: DataFrame) -> np.ndarray:
 
     paged = bits.distinct().withColumn("page", F.floor(F.col("bit") / _PAGE).cast("int"))
     out = np.zeros(SIEVE // 8, np.uint8)
-    for r in paged.groupBy("page").applyInArrow(pack, "page int, bits binary").toLocalIterator():
+    # 8 MB in one job; an iterator would run a job for every partition
+    for r in paged.groupBy("page").applyInArrow(pack, "page int, bits binary").collect():
         out[r.page * (_PAGE // 8) : (r.page + 1) * (_PAGE // 8)] = np.frombuffer(r.bits, np.uint8)
     return out
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.llm import decontam, induced, jaccard_join, langid, lm, matroska, mixing, suffix_dedup, token_scan, toxicity
+from knotwork.llm import decontam, induced, jaccard_join, langid, lm, matroska, mixing, sieve, suffix_dedup, token_scan, toxicity
 from knotwork.llm.queries import remainder
 from knotwork.llm.textkernel import shingle_sets, utf8
 
@@ -723,3 +723,27 @@ def test_lm_trains_on_every_window_of_a_corpus_above_a_megabyte(spark, monkeypat
             seen.update(tuple(ids[a:b].tolist()) for a, b in zip(ends - size, ends))
             held += sum(len(x) for x, _ in lm._passes(salt, size, ids, 1))
     assert seen == want and held == sum(-(-len(x) // lm.STRIDE) * n for x, n in want.items())
+
+
+def test_driver_gets_filters_in_few_jobs_and_slots_in_pieces(spark, monkeypatch):
+    """A sieve is no job for each partition, and slots that come in pieces are the same."""
+    sc, held = spark.sparkContext, {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    names = [int(x) for x in np.random.default_rng(4).integers(0, sieve.SIEVE, 2000)]
+    bits = spark.createDataFrame([(x,) for x in names], "bit long")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sc.setJobGroup("sieve", "sieve")
+        got = sieve.sieve(bits)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for n, x in held.items():
+            spark.conf.set(n, x)
+    assert len(sc.statusTracker().getJobIdsForGroup("sieve")) < 10
+    assert np.array_equal(np.flatnonzero(np.unpackbits(got)), np.unique(names))
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 60) + ["same old line again"] * 3)) for i in range(40)], "doc_id long, text string").repartition(6)
+    sketch = jaccard_join.sketches(docs, "doc_id", "text", 4, 85).cache()
+    whole = jaccard_join._full(sketch, 2400)
+    monkeypatch.setattr(jaccard_join, "PIECE", len(whole) // 5)
+    assert whole.any() and np.array_equal(jaccard_join._full(sketch, 2400), whole)
