@@ -172,6 +172,22 @@ def test_a_start_that_is_least_need_not_gain(spark, monkeypatch):
     assert not catalog_large._gains(catalog._part(), 2, 0)
 
 
+def _unsolved(spark, monkeypatch):
+    """A path of three nodes with a proof, and a cycle of five whose solution has none."""
+    rows = [(0, 1), (1, 2)] + [(10 + i, 10 + i + 1) for i in range(4)] + [(10, 14)]
+    monkeypatch.setattr(catalog, "_emb", lambda *_: cut(spark.createDataFrame(rows, TWO)))
+    exact = solve.exact
+    monkeypatch.setattr(solve, "exact", lambda *a, **k: exact(*a, **k).withColumn("proved", F.col("comp") == 0))
+
+
+def test_edits_without_a_proof_are_no_minimum(spark, monkeypatch):
+    _unsolved(spark, monkeypatch)
+    rows = {(r.comp, r.edits, r.cliques) for r in catalog.queries()["exact_edits"](spark, "").collect()}
+    assert rows == {(0, 1, True), (10, None, True)}
+    found = catalog_solvers.minimum_edits(spark, "").collect()
+    assert len(found) == 4 and all(r.proved == (r.u < 10) for r in found)
+
+
 def test_core_numbers(spark):
     rng = random.Random(6)
     rows = random_parts(rng, 2, 40, 0.15) + [(100, 101)]
