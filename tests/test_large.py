@@ -188,6 +188,11 @@ def test_edits_without_a_proof_are_no_minimum(spark, monkeypatch):
     assert len(found) == 4 and all(r.proved == (r.u < 10) for r in found)
 
 
+def test_a_verified_cost_without_a_proof_is_no_optimum(spark, monkeypatch):
+    _unsolved(spark, monkeypatch)
+    assert [tuple(r) for r in catalog.queries()["exact_verified"](spark, "").collect()] == [(0, 0, None, True)]
+
+
 def test_core_numbers(spark):
     rng = random.Random(6)
     rows = random_parts(rng, 2, 40, 0.15) + [(100, 101)]
