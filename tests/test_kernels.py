@@ -166,6 +166,30 @@ def test_refiners_report_their_change():
         assert refine.label_propagation(st, 50, rng) + before == st.cost() <= before
 
 
+def test_lists_are_states():
+    rng = random.Random(3)
+    for k in range(100):
+        n = rng.randrange(3, 25)
+        edges = [(i, j) for j in range(n) for i in range(j) if rng.random() < 0.35] or [(0, 1)]
+        u, v = map(np.array, zip(*edges))
+        label = np.array([rng.randrange(n) for _ in range(n)])
+        x = Instance.from_edges(n, edges)
+        a, b = State(x, label), refine.Lists(n, u, v, label)
+        for _ in range(10):
+            held = np.flatnonzero(a.size)
+            w, to = rng.randrange(n), int(rng.choice(held.tolist()))
+            assert (a.weights(w, held) == b.weights(w, held)).all() and a.empty() == b.empty()
+            assert all(a.apart(int(c), 3) == b.apart(int(c), 3) and (a.members(c) == b.members(c)).all() for c in held)
+            goes, change = b.best_many(np.arange(n))
+            assert all(b.best(i) == (goes[i], change[i]) and a.delta(i, goes[i]) == change[i] for i in range(n))
+            assert a.move(w, to) == b.move(w, to) and a.cost() == b.cost()
+        for step in (refine.boundary_fm, refine.localized_fm, refine.remove_clusters, refine.split_clusters, refine.swap_nodes):
+            st = refine.Lists(n, u, v, label)
+            before = st.cost()
+            d = step(st, rng)
+            assert d <= 0 and st.cost() == before + d == x.cost_of(st.label)
+
+
 def test_evolution_and_portfolio():
     rng = random.Random(8)
     x = rand(rng, 10, 0.35)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from knotwork import catalog, catalog_large, catalog_solvers
 from knotwork.operators import cost, graph, setmoves
-from knotwork.plans import regions, search, shrink, solve, sparse
+from knotwork.plans import refine, regions, search, shrink, solve, sparse
 from knotwork.plans.instance import Instance
 from knotwork.sources.config import Settings
 from knotwork.storage import cut
@@ -172,6 +172,20 @@ def test_a_start_that_is_least_need_not_gain(spark, monkeypatch):
     assert not catalog_large._gains(catalog._part(), 2, 0)
 
 
+@pytest.mark.parametrize("step", ["boundary_fm", "localized_fm", "remove_clusters", "split_clusters", "swap_nodes"])
+def test_refiners_do_the_same_on_components_of_any_size(spark, monkeypatch, step):
+    """A ring of 130 cliques of five nodes: more nodes than a dense kernel takes."""
+    rows = [(5 * k + i, 5 * k + j) for k in range(130) for j in range(5) for i in range(j)] + [tuple(sorted((5 * k, (5 * k + 6) % 650))) for k in range(130)]
+    monkeypatch.setattr(solve, "_large", None)
+    got = solve.refined(spark.createDataFrame(rows, TWO), step).collect()
+    u, v = map(np.array, zip(*rows))
+    rng, st = random.Random(0), refine.Lists(650, u, v)
+    refine.label_propagation(st, 100, rng)
+    getattr(refine, step)(st, rng)
+    assert len(got) == 650 and {r.cost for r in got} == {st.cost()}
+    assert {r.node: r.cluster for r in got} == {i: int(np.flatnonzero(st.label == c)[0]) for i, c in enumerate(st.label)}
+
+
 def _unsolved(spark, monkeypatch):
     """A path of three nodes with a proof, and a cycle of five whose solution has none."""
     rows = [(0, 1), (1, 2)] + [(10 + i, 10 + i + 1) for i in range(4)] + [(10, 14)]
