@@ -190,6 +190,16 @@ def test_lists_are_states():
             assert d <= 0 and st.cost() == before + d == x.cost_of(st.label)
 
 
+def test_nodes_swap_into_clusters_of_any_size():
+    """A clique of 41 nodes, one of them apart."""
+    edges = [(i, j) for j in range(41) for i in range(j)]
+    u, v = map(np.array, zip(*edges))
+    label = np.array([0] * 40 + [1])
+    for st in (State(Instance.from_edges(41, edges), label), refine.Lists(41, u, v, label)):
+        # nodes of the clique also change places with the one apart, for nothing
+        assert sum(refine.swap_nodes(st, random.Random(k)) for k in range(20)) == -40 and st.cost() == 0
+
+
 def test_evolution_and_portfolio():
     rng = random.Random(8)
     x = rand(rng, 10, 0.35)
