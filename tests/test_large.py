@@ -218,6 +218,12 @@ def test_a_verified_cost_without_a_proof_is_no_optimum(spark, monkeypatch):
     assert [tuple(r) for r in catalog.queries()["exact_verified"](spark, "").collect()] == [(0, 0, None, True)]
 
 
+def test_bounds_without_a_proof_have_no_optimum(spark, monkeypatch):
+    _unsolved(spark, monkeypatch)
+    rows = {(r.comp, r.optimum, r.below, r.positive) for r in catalog.queries()["lower_bounds"](spark, "").collect()}
+    assert rows == {(0, 1, True, True), (10, None, True, True)}
+
+
 def test_core_numbers(spark):
     rng = random.Random(6)
     rows = random_parts(rng, 2, 40, 0.15) + [(100, 101)]
